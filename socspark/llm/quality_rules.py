@@ -43,44 +43,47 @@ def _pairs(values: Column, k: int) -> Column:
     return F.zip_with(F.slice(values, 1, F.greatest(F.size(values) - k, F.lit(0))), _after(values, k), lambda a, b: F.xxhash64(a, b))
 
 
-def window_hashes(w: Column) -> Column:
-    """A hash of each window of eight words: three rounds of pairing."""
-    return _pairs(_pairs(_pairs(F.transform(w, lambda x: F.xxhash64(x)), 1), 2), 4)
+def _empty(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
 
 
-def repeated_words(w: Column, hashes: Column) -> Column:
-    """Words inside eight-word windows that occur twice or more in ``w``.
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """``docs``, which has ``_words``, with ``n_repeat_words``: words inside eight-word windows that occur twice or more.
 
-    Places are sorted by hash, neighbours with equal hashes are compared word by
-    word, and the covered words are summed over the places in order.
+    Three rounds of pairing give a hash of each window. Where some hash repeats,
+    places are sorted by hash, neighbours with equal hashes are compared word by
+    word, and the covered words are summed over the places in order. Each array
+    is a column of its own, so that it is computed once a row.
     """
-    placed = F.array_sort(F.zip_with(hashes, F.sequence(F.lit(1), F.size(hashes)), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    w = F.col("_words")
+    out = docs.withColumn("_h1", F.transform(w, lambda x: F.xxhash64(x)))
+    for k in (1, 2, 4):
+        out = out.withColumn(f"_h{2 * k}", _pairs(F.col(f"_h{k}"), k))
+    repeats = F.size(F.array_distinct("_h8")) < F.size("_h8")
+    placed = F.array_sort(F.zip_with("_h8", F.sequence(F.lit(1), F.size("_h8")), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = out.withColumn("_placed", F.when(repeats, placed).otherwise(_empty("struct<h:bigint,i:int>")))
     same = lambda a, b: (a["h"] == b["h"]) & (F.slice(w, a["i"], REPEAT_WINDOW) == F.slice(w, b["i"], REPEAT_WINDOW))
-    ahead = F.zip_with(F.slice(placed, 1, F.size(placed) - 1), _after(placed, 1), lambda a, b: F.when(same(a, b), F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    places = F.array_sort(F.array_distinct(F.flatten(ahead)))
+    ahead = F.zip_with(F.slice("_placed", 1, F.greatest(F.size("_placed") - 1, F.lit(0))), _after(F.col("_placed"), 1), lambda a, b: F.when(same(a, b), F.array(a["i"], b["i"])).otherwise(_empty("int")))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("far"))
     step = lambda acc, i: F.struct((acc["n"] + i + REPEAT_WINDOW - F.greatest(acc["far"], i)).cast("int").alias("n"), (i + REPEAT_WINDOW).cast("int").alias("far"))
-    return F.aggregate(places, start, step, lambda acc: acc["n"])
+    count = F.aggregate(F.array_sort(F.array_distinct(F.flatten(ahead))), start, step, lambda acc: acc["n"])
+    return out.withColumn("n_repeat_words", F.when(F.size("_placed") > 0, count).otherwise(F.lit(0)).cast("long")).drop("_h1", "_h2", "_h4", "_h8", "_placed")
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long) and the array ``_words``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
-    # Each array is named in a projection of its own, so that it is computed once.
-    out = docs.withColumn("_words", words(text))
-    out = out.withColumn("_hashes", F.when(F.size("_words") > REPEAT_WINDOW, window_hashes(F.col("_words"))).otherwise(F.array().cast("array<bigint>")))
-    out = out.withColumn("_lines", lines)
+    out = repeated_words(docs.withColumn("_words", words(text))).withColumn("_lines", lines)
     out = out.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": (F.size(F.split(text, r"[#*$%&|<>]", -1)) - 1).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.size(F.array_distinct("_hashes")) == F.size("_hashes"), F.lit(0)).otherwise(repeated_words(F.col("_words"), F.col("_hashes"))).cast("long"),
         }
     )
-    return out.drop("_hashes", "_lines")
+    return out.drop("_lines")
 
 
 def base_failed() -> Column:
