@@ -1,49 +1,17 @@
-"""Helpers of the training-data operators: shared tables and batch annotation."""
+"""Helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from socspark.plans.storage import shared_path, shared_root, stored
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the cluster names none, a temporary folder is set, which only suits
-    local mode; any other master without the setting is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    sc = spark.sparkContext
-    if not sc.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    sc.setCheckpointDir(root)
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    The written table cuts the lineage and outlives lost executors.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["annotate", "chunks", "hashed_share", "shared_path", "shared_root", "stored"]
 
 
 def annotate(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], fields: list[T.StructField], drop: Iterable[str] = ()) -> DataFrame:
