@@ -55,6 +55,7 @@ def labellers(text: Column) -> list[Labeller]:
         Labeller("sentences", _vote((ends * 200 > n) & (ends * 10 < n), ends * 1000 < n)),
         Labeller("lines", _vote(F.lit(False), unique * 2 < lines)),
         Labeller("words", _vote(F.lit(False), (spaces * 25 < n) | (spaces * 3 > n))),
+        Labeller("repeats", _vote(F.lit(False), matches(r"(?:^|\s)(\S+)(?:\s+\1(?=\s|$)){2,}") * 100 > spaces)),
         Labeller("cells", _vote(F.lit(False), matches(r"\|") * 60 > n)),
     ]
 
@@ -97,16 +98,11 @@ def estimate_accuracies(votes: np.ndarray, counts: np.ndarray, rounds: int = 60,
     return model
 
 
-def features(text: str, buckets: int) -> np.ndarray:
-    """Hashed features of a whole text, with repeats: shapes of words, lower-case words and word ends."""
-    out = []
-    for word in text.split():
-        low = word.lower()
-        shape = ("U" if word.isupper() else "l" if word.islower() else "m") + ("a" if word.isalpha() else "p") + str(min(9, len(word)))
-        out.append(zlib.crc32(low.encode("utf-8", "surrogatepass")) % buckets)
-        out.append(zlib.crc32(b"s" + shape.encode()) % buckets)
-        out.append(zlib.crc32(b"e" + low[-2:].encode("utf-8", "surrogatepass")) % buckets)
-    return np.array(out, dtype=np.int64)
+def word_features(word: str, buckets: int) -> list[int]:
+    """Hashed features of a word: itself in lower case, its shape and its end."""
+    low = word.lower()
+    shape = ("U" if word.isupper() else "l" if word.islower() else "m") + ("a" if word.isalpha() else "p") + str(min(9, len(word)))
+    return [zlib.crc32(x) % buckets for x in (low.encode("utf-8", "surrogatepass"), b"s" + shape.encode(), b"e" + low[-2:].encode("utf-8", "surrogatepass"))]
 
 
 class _Words(dict):
@@ -118,9 +114,16 @@ class _Words(dict):
     def __missing__(self, word: str) -> list[int]:
         if len(self) >= self.most:
             self.clear()
-        self[word] = out = features(word, self.buckets).tolist()
+        self[word] = out = word_features(word, self.buckets)
         return out
 
+    def of_text(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(features, weights) of a whole text; a word that repeats the one before it is a feature of its own."""
+        found = [i for w in words for i in self[w]]
+        found += [zlib.crc32(b"again") % self.buckets] * sum(map(str.__eq__, words, words[1:]))
+        index, n = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+        return index, np.sqrt(n / n.sum())
+
 
 def train(rows: list[tuple[str, float]], buckets: int = 1 << 16, passes: int = 6, rate: float = 0.5, seed: int = 7) -> np.ndarray:
     """Weights of a logistic scorer; a document's features are averaged and its label is a probability.
@@ -129,12 +132,12 @@ def train(rows: list[tuple[str, float]], buckets: int = 1 << 16, passes: int = 6
     """
     weights = np.zeros(buckets + 1)
     squares = np.full(buckets + 1, 1e-6)
-    made = [(np.unique(features(t, buckets), return_counts=True), y) for t, y in rows if t and t.strip()]
+    known = _Words(buckets)
+    made = [(known.of_text(t.split()), y) for t, y in rows if t and t.strip()]
     order = np.random.default_rng(seed)
     for _ in range(passes):
         for i in order.permutation(len(made)):
-            (index, n), y = made[i]
-            x = np.sqrt(n / n.sum())
+            (index, x), y = made[i]
             z = weights[index] @ x + weights[-1]
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
             grad = error * x
@@ -196,8 +199,8 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", chunk_chars:
                 if not words:
                     out.append(0.0)
                     continue
-                index, n = np.unique(np.fromiter((i for w in words for i in known[w]), dtype=np.int64), return_counts=True)
-                z = weights[index] @ np.sqrt(n / n.sum()) + weights[-1]
+                index, x = known.of_text(words)
+                z = weights[index] @ x + weights[-1]
                 out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
         return {"quality_score": pa.array(out, pa.float64())}
 
