@@ -201,12 +201,13 @@ def verified_links(docs: DataFrame, families: DataFrame, id_col: str, text_col:
     """(src, dst): verified links inside families; ``families`` has (node, component).
 
     A family is cut into blocks of about ``block_rows`` by a hash of the node,
-    and every two blocks, or a block by itself, are compared in one place.
+    and every two blocks, or a block by itself, are compared in one place. Texts
+    reach their families by a sort-merge join at every size.
     """
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
     parts = families.join(sizes, "component").withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
     parts = parts.withColumn("_side", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    rows = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("_text")).join(parts, "node")
+    rows = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("_text")).join(parts.hint("merge"), "node")
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     keyed = rows.select("component", F.least("_side", "_other").alias("_i"), F.greatest("_side", "_other").alias("_j"), "_side", "node", "_text")
     dealt = keyed.repartition("component", "_i", "_j").sortWithinPartitions("component", "_i", "_j", "node")
@@ -253,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = reps.select("rep", F.explode("bands").alias("band"))
     leaders = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     edges = banded.join(leaders, "band").where("rep <> leader").select(F.col("leader").alias("src"), F.col("rep").alias("dst"))
-    families = connected_components(edges)
+    families = connected_components(stored(edges.distinct(), "bucket-links"))
     classes = connected_components(stored(verified_links(rows, families, id_col, text_col), "links"))
     named = reps.select("key", "rep").join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("_class"))
     out = sketches.select(id_col, "key").join(named, "key", "left")
