@@ -55,7 +55,7 @@ def labellers(text: Column) -> list[Labeller]:
         Labeller("sentences", _vote((ends * 200 > n) & (ends * 10 < n), ends * 1000 < n)),
         Labeller("lines", _vote(F.lit(False), unique * 2 < lines)),
         Labeller("words", _vote(F.lit(False), (spaces * 25 < n) | (spaces * 3 > n))),
-        Labeller("repeats", _vote(F.lit(False), matches(r"(?:^|\s)(\S+)(?:\s+\1(?=\s|$)){2,}") * 100 > spaces)),
+        Labeller("repeats", _vote(F.lit(False), matches(r"(?<!\S)(\S+)\s+\1\s+\1(?!\S)") * 100 > spaces)),
         Labeller("cells", _vote(F.lit(False), matches(r"\|") * 60 > n)),
     ]
 

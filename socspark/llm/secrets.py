@@ -69,14 +69,15 @@ def _code(c: Column) -> Column:
     return F.call_function("locate", c, F.lit(ALPHABET))
 
 
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = 20_000, smoothing: float = 0.5) -> list[float]:
+def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = 20_000, smoothing: tuple[float, float] = (0.5, 4.0)) -> list[float]:
     """Log-likelihood ratios of character pairs, random against ordinary, as one list of SIZE * SIZE.
 
     About ``sample_rows`` documents, chosen by a hash of the id, give the
     labelled tokens: values of fixed-pattern matches are random strings, words
     of documents without a match are ordinary. ``smoothing`` is added to every
-    count, so pairs that neither sample holds stay neutral. Without any token of
-    one class, that class is uniform.
+    count of ordinary and of random pairs; the larger one for random strings
+    keeps their model near uniform, so that it also fits alphabets that the
+    sample lacks. Without any token of one class, that class is uniform.
     """
     share = min(1.0, sample_rows / max(1, docs.count()))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -90,9 +91,9 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sampl
     counts = {(secret, a, b): n for secret, a, b, n in _pairs(tokens).collect()}  # SIZE * SIZE * 2 rows at most
     ratio = [[0.0] * SIZE for _ in range(SIZE)]
     for a in range(SIZE):
-        totals = [sum(counts.get((k, a, b), 0) for b in range(SIZE)) + smoothing * SIZE for k in (0, 1)]
+        totals = [sum(counts.get((k, a, b), 0) for b in range(SIZE)) + smoothing[k] * SIZE for k in (0, 1)]
         for b in range(SIZE):
-            plain, secret = ((counts.get((k, a, b), 0) + smoothing) / totals[k] for k in (0, 1))
+            plain, secret = ((counts.get((k, a, b), 0) + smoothing[k]) / totals[k] for k in (0, 1))
             ratio[a][b] = math.log(secret / plain)
     return [round(x, 4) for row in ratio for x in row]
 
