@@ -318,7 +318,7 @@ def search_text(spark, sf_dir):
     return views.search_text(security_events(spark, sf_dir), "SITE1").select("event_id")
 
 
-@query(f"WITH {EV} SELECT event_id FROM ev WHERE epoch_us(timestamp) >= (SELECT max(epoch_us(timestamp)) FROM ev) - 1440 * 60000000")
+@query(f"WITH {EV} SELECT event_id FROM ev WHERE epoch_us(timestamp) >= (SELECT max(epoch_us(timestamp)) FROM ev) - 86400000000")
 def recent_activity(spark, sf_dir):
     return views.recent_activity(security_events(spark, sf_dir), 1440).select("event_id")
 

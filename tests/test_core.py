@@ -56,7 +56,7 @@ def test_pair_scores(spark):
     links = {(r.source_event_id, r.target_event_id): r for r in correlate.correlate_pairs(events).collect()}
     assert set(links) == {("e1", "e2"), ("e1", "e3"), ("e2", "e3")}
     assert links[("e1", "e2")].score == 1.0 and "host_pivot" in [f.name for f in links[("e1", "e3")].factors]
-    assert [(r.supporting_event_id, r.source_host, r.destination_host) for r in correlate.lateral_movement(events).collect()] == [("e2", "A", "B")]
+    assert [(r.supporting_event_id, r.source_host, r.destination_host) for r in correlate.lateral_movement(events).collect()] == [("e1", "A", "B")]  # of equal scores the earlier event supports
     chain = chains.build_chains(events)["chains"].first()
     assert (chain.chain_id, chain.event_count, chain.reached, chain.current_host, chain.lateral_count) == ("ATTACK-001", 3, ["A", "B"], "A", 1)
 
