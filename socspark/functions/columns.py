@@ -48,7 +48,7 @@ def first_present(raw: Column, *names: str) -> Column:
 def parse_ts(value: Column) -> Column:
     """Seconds since 1970 or ISO text to a timestamp; text without a zone is UTC; anything else is null."""
     text = F.trim(value.cast("string"))
-    return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), F.timestamp_micros((text.cast("double") * 1_000_000).cast("long"))).otherwise(F.try_to_timestamp(text))
+    return F.when(text.rlike(r"^[0-9]{1,11}(\.[0-9]+)?$|^[0-9]\.[0-9]+[eE]\+?(10|[0-9])$"), F.timestamp_micros(F.round(text.try_cast("double") * 1_000_000).cast("long"))).otherwise(F.try_to_timestamp(text))
 
 
 def is_ip(value: Column) -> Column:

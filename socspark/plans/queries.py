@@ -430,8 +430,12 @@ def precision_recall(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from socspark.plans import source_queries  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from socspark.plans import source_queries  # noqa: F401
+
     return dict(SQL)

@@ -10,9 +10,10 @@ import __spark_entry__
 from socspark.functions import columns as C
 from socspark.operators import chains, correlate, detect, enrich
 from socspark.operators.components import connected_components
-from socspark.plans.queries import QUERIES, SQL
+from socspark.plans.queries import oracle_sql, queries
 from socspark.plans.schemas import EVENT_SCHEMA
 
+QUERIES, SQL = queries(), oracle_sql()
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
