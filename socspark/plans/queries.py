@@ -68,7 +68,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's events as normalised security events."""
-    rows = spark.sql(EVENTS_SQL, events=table(spark, sf_dir, "events"))
+    return as_security_events(table(spark, sf_dir, "events"))
+
+
+def as_security_events(rows: DataFrame) -> DataFrame:
+    """Rows of the table ``events``, or a stream of them, as security events."""
+    rows = rows.sparkSession.sql(EVENTS_SQL, events=rows)
     nothing = lambda kind: F.lit(None).cast(kind)
     return rows.withColumns({"timestamp": F.col("timestamp").cast("timestamp"), "tags": F.array().cast("array<string>"), "source_log": F.lit("events"), "raw": nothing("string")})
 
@@ -430,12 +435,12 @@ def precision_recall(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from socspark.plans import source_queries  # noqa: F401
+    from socspark.plans import source_queries, stream_queries  # noqa: F401
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from socspark.plans import source_queries  # noqa: F401
+    from socspark.plans import source_queries, stream_queries  # noqa: F401
 
     return dict(SQL)
