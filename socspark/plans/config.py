@@ -56,3 +56,18 @@ class DetectionConfig:
     baseline_events: int = 20
     baseline_hours: int = 24
     routine_days: int = 3
+
+
+@dataclass(frozen=True)
+class PredictionConfig:
+    """Points of the factors of a next target, and how many targets a chain has."""
+
+    # The weights of the score.
+    access: float = 30.0
+    privilege: float = 25.0
+    connectivity: float = 20.0
+    criticality: float = 20.0
+    recent: float = 15.0
+    proximity: float = 20.0
+    ceiling: float = 140.0
+    most: int = 4
