@@ -8,10 +8,17 @@ holder of the key can undo it. The two halves of a value take turns in adding a
 keyed hash of the other half modulo their own size, so a domain of u * v values
 is permuted exactly, without cycle walking. E-mail addresses become keyed
 tokens.
+
+Card numbers are sought in runs of digits with single spaces or hyphens: every
+stretch of 13 to 19 digits between two separators or ends of its run is tested,
+so a card keeps its pseudonym next to other numbers. What no card covers is
+searched for the other formats.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +30,13 @@ IPV4 = _EDGE + r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]
 DATE = _EDGE + r"(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])" + _END
 SSN = _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _END
-CARD = _EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + _END
-PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, DATE, SSN, PHONE, CARD))
+#: A number that goes on as another format does not belong to a run.
+_OTHER = rf"(?!{IPV4}|{EMAIL}|[0-9]{{3}}(?:\.[0-9]{{3}}[ .-]|[ -][0-9]{{3}}\.)[0-9]{{4}}{_END})"
+RUN = _EDGE + rf"(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++{_END}(?:[ -]{_OTHER}[0-9]++{_END})*+"
+PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, DATE, SSN, PHONE, RUN))
+IN_RUN = "|".join(f"(?:{p})" for p in (DATE, SSN, PHONE))
+#: Usual layouts of cards. A stretch of another layout never takes a part of one of these.
+CARD = "[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 #: Days of the date domain, from 1900-01-01, as a product of two numbers.
 DAYS = (270, 271)
@@ -86,7 +98,7 @@ def _into(value: Column, digits: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a match of PATTERN, or null if its value is not valid in its format."""
+    """The kind of a value, or null if it is not valid in its format."""
     whole = lambda p: value.rlike(f"^(?:{p})$")
     return (
         F.when(value.contains("@"), F.lit("email"))
@@ -98,6 +110,60 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _piece(value: Column, kind: Column) -> Column:
+    return F.struct(value.alias("v"), kind.alias("k"))
+
+
+def _other_pieces(text: Column) -> Column:
+    """``text`` of a run outside its cards, cut at the values of other formats."""
+    none = F.lit(None).cast("string")
+    pairs = F.zip_with(F.split(text, IN_RUN, -1), F.regexp_extract_all(text, F.lit(IN_RUN), F.lit(0)), lambda b, m: F.array(_piece(b, none), _piece(F.coalesce(m, F.lit("")), F.when(m.isNotNull(), kind_of(m)))))
+    return F.flatten(pairs)
+
+
+def pieces_of(run: Column) -> Column:
+    """A match of RUN, cut into pieces (v, k) with a null kind for what stays.
+
+    From the left, the longest valid stretch at each number is a card, unless it
+    would take a part of a valid stretch in one of the usual layouts.
+    """
+    text = lambda g, first, n: F.array_join(F.slice(g, first, n), "")
+
+    def valid(g: Column, i: Column) -> Column:
+        def stretch(w: Column) -> Column:
+            return F.struct(i.alias("at"), (i + w).alias("end"), F.regexp_replace(text(g, i, w), "^[ -]", "").alias("v"))
+
+        options = F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(g) - i + 1)), stretch)
+        digits = lambda c: _only_digits(c["v"])
+        good = F.filter(options, lambda c: F.when(F.length(digits(c)).between(13, 19), luhn_sum(digits(c)) % 10 == 0).otherwise(False))
+        return F.reverse(F.transform(good, lambda c: F.struct(c["at"].alias("at"), c["end"].alias("end"), c["v"].rlike(f"^(?:{CARD})$").alias("usual"))))
+
+    def chosen(found: Column) -> Column:
+        cuts = lambda c: F.exists(F.flatten(F.slice(found, c["at"] + 1, c["end"] - c["at"] - 1)), lambda x: x["usual"] & (x["end"] > c["end"]))
+        best = F.filter(F.transform(found, lambda at: F.get(F.filter(at, lambda c: c["usual"] | ~cuts(c)), F.lit(0))), lambda c: c.isNotNull())
+        span = lambda c, before: F.struct(before.alias("before"), c["at"].alias("at"), c["end"].alias("end"))
+        start = F.struct(F.lit(1).alias("end"), F.array().cast("array<struct<before:int,at:int,end:int>>").alias("out"))
+        step = lambda acc, c: F.when(c["at"] >= acc["end"], F.struct(c["end"].alias("end"), F.concat(acc["out"], F.array(span(c, acc["end"]))).alias("out"))).otherwise(acc)
+        return F.aggregate(best, start, step)
+
+    def cut(g: Column, picked: Column) -> Column:
+        def pieces(c: Column) -> Column:
+            card = text(g, c["at"], c["end"] - c["at"])
+            lead = F.regexp_extract(card, "^[ -]?", 0)
+            return F.concat(_other_pieces(F.concat(text(g, c["before"], c["at"] - c["before"]), lead)), F.array(_piece(F.regexp_replace(card, "^[ -]", ""), F.lit("card"))))
+
+        return F.concat(F.flatten(F.transform(picked["out"], pieces)), _other_pieces(text(g, picked["end"], F.size(g))))
+
+    numbers = F.regexp_extract_all(run, F.lit("[ -]?[0-9]+"), F.lit(0))
+    found = lambda g: F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: valid(g, i))
+    return _let(numbers, lambda g: _let(_let(found(g), chosen), lambda picked: cut(g, picked)))
+
+
 def pseudonym(value: Column, kind: Column, key: str, invert: bool = False) -> Column:
     """The pseudonym of a valid value; with ``invert``, the value of a pseudonym (e-mail tokens cannot be undone)."""
     octets = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
@@ -126,7 +192,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", invert: bool
     A null text stays null and counts nothing. Values that are not valid in
     their format (a card whose check digit is wrong, a day that no month has)
     stay. Dates from 1900 to 2099 count as personal, and a pseudonym may lie as
-    far as May 2100. Repeated rows get equal results; other columns pass
+    far as May 2100. A longer valid stretch wins over a card inside it; where one
+    comes about by a pseudonym before one or three more digits (one in ten), that
+    card cannot be undone. Repeated rows get equal results; other columns pass
     through, save those with the new names; an empty table stays empty.
     """
     text = F.col(text_col)
@@ -134,9 +202,10 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", invert: bool
     matches = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     out = docs.drop(*names, "_found", "_before")
     has = text.rlike(PATTERN)
-    found = F.transform(matches, lambda m: F.struct(m.alias("v"), kind_of(m).alias("k")))
-    out = out.withColumns({"_found": F.when(has, found).otherwise(F.array().cast("array<struct<v:string,k:string>>")), "_before": F.when(has, F.split(text, PATTERN, -1)).otherwise(F.array().cast("array<string>"))})
-    pieces = F.zip_with("_before", "_found", lambda b, m: F.concat(b, F.when(m["v"].isNull(), F.lit("")).otherwise(pseudonym(m["v"], m["k"], key, invert))))
-    of_kind = lambda k: F.size(F.filter("_found", lambda m: m["k"] == k)).cast("long")
+    run = lambda m: m.rlike("^[0-9 -]+$") & ~m.rlike(f"^(?:{IN_RUN})$")
+    found = F.transform(matches, lambda m: F.when(run(m), pieces_of(m)).otherwise(F.array(_piece(m, kind_of(m)))))
+    out = out.withColumns({"_found": F.when(has, found).otherwise(F.array().cast("array<array<struct<v:string,k:string>>>")), "_before": F.when(has, F.split(text, PATTERN, -1)).otherwise(F.array().cast("array<string>"))})
+    pieces = F.zip_with("_before", "_found", lambda b, m: F.concat(b, F.when(m.isNull(), F.lit("")).otherwise(F.array_join(F.transform(m, lambda p: pseudonym(p["v"], p["k"], key, invert)), ""))))
+    of_kind = lambda k: F.size(F.filter(F.flatten("_found"), lambda m: m["k"] == k)).cast("long")
     counts = {f"n_{k}": of_kind(k) for k in KINDS}
     return out.withColumns({text_col: F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(text), **counts}).drop("_found", "_before")

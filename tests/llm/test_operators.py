@@ -247,6 +247,31 @@ def test_pii(spark, sf_dir, odd):
     assert pii.pseudonymise(odd, "k").count() == len(ROWS)
 
 
+def test_cards_next_to_other_numbers(spark):
+    card = "4111111111111111"
+    texts = [
+        "4111 1111 1111 1111 123",
+        f"{card} 12/27",
+        f"room 12 {card}",
+        "99 4111-1111-1111-1111 7 378282246310005 2024-02-29",
+        f"{card} 10.20.30.40 and {card} 555.123.4567 and {card} 743-555-3824",
+        "41111 111111 11111 5",
+        "4111111111111112 123",
+        f"{'7 ' * 4000}{card} x",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    masked = pii.pseudonymise(docs, "k")
+    got = {r.doc_id: r for r in masked.collect()}
+    for i, (text, cards) in enumerate(zip(texts, (1, 1, 1, 2, 3, 1, 0, None), strict=True)):
+        assert re.sub("[0-9]", "9", got[i].text).split(" and ")[0][:12] == re.sub("[0-9]", "9", text).split(" and ")[0][:12]
+        assert cards is None or got[i].n_card == cards, text
+        assert card not in re.sub("[ -]", "", got[i].text) and "378282246310005" not in got[i].text
+    assert got[0].text.endswith(" 123") and got[1].text.endswith(" 12/27") and got[2].text.startswith("room 12 ") and got[6].text == texts[6]
+    assert got[3].n_date == 1 and "2024-02-29" not in got[3].text and (got[4].n_ip, got[4].n_phone) == (1, 2)
+    back = {r.doc_id: r.text for r in pii.pseudonymise(masked.where("doc_id in (1, 2, 6)").select("doc_id", "text"), "k", invert=True).collect()}
+    assert back == {i: texts[i] for i in (1, 2, 6)}
+
+
 def test_decontamination(spark, odd):
     items = [(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "Short item"), (3, None), (4, "..."), (2, "Short item")]
     bench = spark.createDataFrame(items, "item_id long, text string")
