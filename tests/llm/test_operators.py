@@ -247,6 +247,41 @@ def test_pii(spark, sf_dir, odd):
     assert pii.pseudonymise(odd, "k").count() == len(ROWS)
 
 
+def test_pairs_of_a_low_estimate_are_linked_in_blocks_of_every_size():
+    rng = np.random.default_rng(5)
+    hashes = near_dup.WordHashes()
+    low = []
+    for _ in range(12):
+        words = rng.integers(0, 1 << 40, (500, 104))
+        docs = [[b"%x" % x for x in row[a:b]] for row in words for a, b in ((0, 94), (10, 104))]  # 80 of 100 shingles
+        sig = near_dup.signatures(len(docs), *near_dup.shingles(docs, hashes))
+        agree = (sig[::2] == sig[1::2]).mean(axis=1)
+        low += [(docs[2 * k], docs[2 * k + 1]) for k in np.flatnonzero(agree < near_dup.LEAST_ESTIMATE)]
+    assert low
+    a, b = (b" ".join(d).decode() for d in low[0])
+    other = [f"filler {k} " + " ".join(f"f{k}x{i}" for i in range(90)) for k in range(20)]
+    for n in (0, 20):
+        found = near_dup.links_within(list(range(n + 2)), [a, b, *other[:n]], [0] * (n + 2), hashes)
+        assert found == [(0, 1)]
+
+
+def test_prefix_mates_lose_no_pair():
+    rng = np.random.default_rng(7)
+    hashes = near_dup.WordHashes()
+    base = [f"w{x}" for x in rng.integers(0, 40, 120)]
+    docs = [[w if rng.random() > 0.03 else f"v{rng.integers(9)}" for w in base[: rng.integers(60, 120)]] for _ in range(60)]
+    docs = [[w.encode() for w in d] for d in docs]
+    owner, value, count = near_dup.shingles(docs, hashes)
+    bags = [collections.Counter(dict(zip(value[owner == i].tolist(), count[owner == i].tolist(), strict=True))) for i in range(60)]
+    like = 0
+    for i, mates in enumerate(near_dup.prefix_mates(60, owner, value, count, 0.5)):
+        for j in range(60):
+            if j != i and sum((bags[i] & bags[j]).values()) >= 0.5 * sum((bags[i] | bags[j]).values()):
+                like += 1
+                assert mates[j]
+    assert like > 50
+
+
 def test_cards_next_to_other_numbers(spark):
     card = "4111111111111111"
     texts = [
