@@ -40,10 +40,11 @@ _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Container:
-    __slots__ = ("inside", "key", "noise", "own", "parent", "tag", "total")
+    __slots__ = ("full", "hidden", "inside", "key", "mark", "noise", "own", "parent", "tag", "total")
 
-    def __init__(self, tag: str, key: str, noise: bool, parent: Container | None, inside: bool):
-        self.tag, self.key, self.noise, self.parent, self.inside, self.own, self.total = tag, key, noise, parent, inside, 0.0, 0.0
+    def __init__(self, tag: str, key: str, mark: bool, hidden: bool, parent: Container | None, inside: bool):
+        self.tag, self.key, self.mark, self.hidden, self.parent, self.inside = tag, key, mark, hidden, parent, inside
+        self.noise, self.own, self.total, self.full = False, 0.0, 0.0, 0.0
 
     def path(self) -> str:
         keys, at = [], self
@@ -54,7 +55,7 @@ class Container:
 
 
 def _open(tag: str, attrs: str, parent: Container | None) -> Container:
-    key, noise, inside = tag, tag in NOISE_TAGS, parent is not None and (parent.inside or parent.tag in ("article", "main"))
+    key, noise, hidden, inside = tag, tag in NOISE_TAGS, False, parent is not None and (parent.inside or parent.tag in ("article", "main"))
     if tag == "header" and not inside:
         noise = True
     if attrs:
@@ -65,9 +66,59 @@ def _open(tag: str, attrs: str, parent: Container | None) -> Container:
         pieces = {x.lower() for x in _PIECES.findall(found.get("class", "") + " " + found.get("id", ""))}
         noise = noise or bool(pieces & NOISE_WORDS) and tag not in ("body", "html", "main", "article")
         noise = noise or not inside and any(x.lower().replace("-", "").replace("_", "") in HEADER_WORDS for x in (*names, found.get("id", "")))
-        noise = noise or found.get("role", "").lower() in NOISE_ROLES or found.get("aria-hidden", "") == "true" or "hidden" in found
-        noise = noise or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return Container(tag, key, noise or parent is not None and parent.noise, parent, inside)
+        noise = noise or found.get("role", "").lower() in NOISE_ROLES
+        hidden = found.get("aria-hidden", "") == "true" or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+    return Container(tag, key, noise, hidden or parent is not None and parent.hidden, parent, inside)
+
+
+def _running(text: str, linked: int) -> int:
+    return max(0, len(text.strip()) - 2 * linked)
+
+
+def _settle(blocks: list[tuple[Container, str, int]]) -> None:
+    """Decides which containers are noise.
+
+    A marked container is noise with all below it, unless it holds most of the
+    page's running text, or its main article, and little is left without it, no
+    article among it.
+    Where only noise has running text, nothing is noise.
+    """
+    boxes: list[Container] = []
+    seen: set[int] = set()
+    for box, text, linked in blocks:
+        box.own += _running(text, linked)
+        chain, at = [], box
+        while at is not None and id(at) not in seen:
+            seen.add(id(at))
+            chain.append(at)
+            at = at.parent
+        boxes += reversed(chain)
+    for box in reversed(boxes):
+        box.full += 0.0 if box.hidden else box.own
+        if box.parent is not None:
+            box.parent.full += box.full
+    whole = boxes[0].full if boxes else 0.0
+    articles = [b for b in boxes if b.tag in ("article", "main") and b.full and b.full >= 0.25 * whole]
+    while True:
+        for box in boxes:
+            box.noise = box.mark or box.hidden or box.parent is not None and box.parent.noise
+        clean = sum(b.own for b in boxes if not b.noise)
+        few, holders = clean < 0.25 * whole and not any(b.tag in ("article", "main") and b.full and not b.noise for b in boxes), set()
+        if articles and all(b.noise for b in articles):
+            at = max(articles, key=lambda b: b.full)
+            while at is not None:
+                holders.add(id(at))
+                at = at.parent
+        freed = [b for b in boxes if b.mark and not b.hidden and (b.parent is None or not b.parent.noise) and (few and 2 * b.full > whole or id(b) in holders)]
+        if not freed:
+            break
+        for box in freed:
+            box.mark = False
+    if not clean and any(b.own for b in boxes):
+        for box in boxes:
+            box.noise = False
+    for box in boxes:
+        box.own = 0.0
 
 
 def parse(html: str) -> list[tuple[Container, str, int]]:
@@ -76,7 +127,7 @@ def parse(html: str) -> list[tuple[Container, str, int]]:
     Only containers are nested, so unclosed paragraphs and inline tags do no
     harm. An unfinished tag at the end is dropped.
     """
-    root = Container("", "", False, None, False)
+    root = Container("", "", False, False, None, False)
     here, blocks, parts, linked, in_link, at = root, [], [], 0, False, 0
 
     def close() -> None:
@@ -115,6 +166,7 @@ def parse(html: str) -> list[tuple[Container, str, int]]:
                 in_link = False
     parts.append(html[at:])
     close()
+    _settle(blocks)
     return blocks
 
 
@@ -128,7 +180,7 @@ def best_container(blocks: list[tuple[Container, str, int]]) -> tuple[Container
     seen: dict[int, Container] = {}
     for box, text, linked in blocks:
         if not box.noise:
-            box.own += max(0, len(text.strip()) - 2 * linked)
+            box.own += _running(text, linked)
         while box is not None and id(box) not in seen:
             seen[id(box)] = box
             box = box.parent
@@ -177,17 +229,21 @@ def extract(html: str | None, paths: list[str]) -> str:
         return ""
     blocks = parse(html)
     boxes: dict[str, set[int]] = {}
+    held: dict[str, list[Container]] = {}
     seen: set[int] = set()
     for box, _, _ in blocks:
         while box is not None and id(box) not in seen:
             seen.add(id(box))
             if not box.noise:
-                boxes.setdefault(box.path(), set()).add(id(box))
+                path = box.path()
+                boxes.setdefault(path, set()).add(id(box))
+                held.setdefault(path, []).append(box)
             box = box.parent
+    best, _ = best_container(blocks)
     for path in paths:
-        if path in boxes and (text := text_of(blocks, boxes[path])):
+        # A path wins only where it holds a fair share of what the page's own best container holds.
+        if path in boxes and (best is None or sum(b.total for b in held[path]) >= 0.3 * best.total) and (text := text_of(blocks, boxes[path])):
             return text
-    best, _ = best_container(blocks)
     return text_of(blocks, {id(best)}) if best is not None else ""
 
 

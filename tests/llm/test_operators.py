@@ -106,6 +106,20 @@ def test_html_text(spark, sf_dir):
         assert r.text == "\n".join(x for x in want if x)
 
 
+def test_html_wrappers_with_noise_words_and_two_templates():
+    story = "<p>" + "Words of the story go on and on. " * 12 + "</p>"
+    want = html_text.extract(f"<body><article>{story}</article></body>", [])
+    side = "<div class='sidebar'><p>Side words</p></div>"
+    for wrap in ("class='content no-sidebar'", "class='has-sidebar'", "class='overflow-hidden'", "id='search-results'"):
+        for tag in ("article", "div"):
+            page = f"<body><div {wrap}><{tag} class='x'>{story}</{tag}>{side}</div></body>"
+            assert html_text.extract(page, []) == want, page
+    assert html_text.extract(f"<body><div class='content'>{story}</div><div id='comments'>{story * 2}</div></body>", []) == want
+    assert html_text.extract("<body><footer><p>Only a foot</p></footer></body>", []) == "Only a foot"
+    teaser = f"<body><div class='a'><p>Teaser</p></div><div class='b'>{story}</div></body>"
+    assert html_text.extract(teaser, [">body>div.a"]) == want
+
+
 def test_quality_rules(spark, odd):
     got = {(r.doc_id, r.n_words, r.n_repeat_words, r.base_failed, r.kept) for r in quality_rules.judge_quality(odd).collect()}
     assert (1, 0, 0, True, False) in got and (4, 30_000, 30_000, True, False) in got and (3, 10, 0, True, False) in got
