@@ -5,6 +5,11 @@ the generalised path (tags with their classes, digits masked) of its best
 container, with the share of the page's text that it holds. Votes are summed
 per host in Spark, and each page is then extracted from the first of its host's
 winning paths that it has, or from its own best container if it has none.
+
+Noise is decided for whole elements, before the vote: by tag, role and the
+``hidden`` marks, and by names. A name counts only where all its words are words
+of noise or of layout (``ad-box``, not ``legal-analysis``), and never for an
+element that the page's article turns out to be in.
 """
 
 from __future__ import annotations
@@ -19,32 +24,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import annotate, stored
+from .shared import annotate, fresh, small_enough, stored
 
-CONTAINERS = frozenset("body div article section main td aside nav header footer form figure ul ol table blockquote dialog details center fieldset head html".split())
-BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dl dt dd tr th pre figcaption address hr summary caption thead tbody tfoot option legend".split())
+#: Elements that nest. Items, rows and cells end where their next sibling begins.
+ITEMS = frozenset("li dd dt tr td th thead tbody tfoot".split())
+CONTAINERS = ITEMS | frozenset("body div article section main aside nav header footer form figure ul ol dl table blockquote dialog details center fieldset head html menu".split())
+BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre figcaption address hr summary caption option legend".split())
+#: Left out with all they hold; the block around them goes on.
+UNSEEN = frozenset("svg template select button object canvas".split())
 NOISE_TAGS = frozenset("nav aside footer form head dialog menu".split())
-RAW = "script|style|noscript|template|svg|iframe|textarea|select|button|title|object|canvas"
+RAW = "script|style|noscript|iframe|textarea|title|noembed|noframes|xmp"
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
     "nav navbar navigation menu sidebar footer ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion "
     "promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing "
     "social related recommended recommendations comment comments commentlist respond disqus discussion replies breadcrumb breadcrumbs pagination pager "
     "widget widgets toolbar masthead copyright legal search skip hidden teaser paywall".split()
 )
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Words that say where or how an element stands, not what it holds.
+LAYOUT_WORDS = frozenset(
+    "area article articles aside bar bars block blocks body bottom box boxes btn button buttons center col column container content desktop div entry feed field fixed form "
+    "global group head header icons inline inner item items js large left link links list main md lg sm xs mobile module outer page panel placeholder policy post posts primary right row "
+    "secondary section side site slot small space sticky stories text thread tools top unit wrap wrapper zone".split()
+)
 HEADER_WORDS = frozenset("header siteheader pageheader topbar".split())
-
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: What a character of a link counts for, next to one of running text.
+LINK_WEIGHT = 0.2
+
+_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+"
+_TOKEN = re.compile(
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>{RAW})\b{_ATTRS}(?:>.*?(?:</(?P=raw)\b[^>]*+(?:>|\Z)|\Z)|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{_ATTRS})(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)",
+    re.S | re.I,
+)
+_ATTR = re.compile(r"""([^\s=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_MAY_HIDE = re.compile("hidden|none", re.I)
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 class Container:
-    __slots__ = ("full", "hidden", "inside", "key", "mark", "noise", "own", "parent", "tag", "total")
+    __slots__ = ("full", "heavy", "hidden", "inside", "key", "loose", "mark", "noise", "own", "parent", "scope", "tag", "total")
 
     def __init__(self, tag: str, key: str, mark: bool, hidden: bool, parent: Container | None, inside: bool):
         self.tag, self.key, self.mark, self.hidden, self.parent, self.inside = tag, key, mark, hidden, parent, inside
-        self.noise, self.own, self.total, self.full = False, 0.0, 0.0, 0.0
+        #: The nearest element, itself included, that is no plain division.
+        self.scope = self if parent is None or tag not in ("div", "center") else parent.scope
+        self.heavy: Container | None = None
+        self.noise, self.own, self.total, self.full, self.loose = False, 0.0, 0.0, 0.0, 0.0
 
     def path(self) -> str:
         keys, at = [], self
@@ -54,197 +81,272 @@ class Container:
         return ">".join(reversed(keys))
 
 
+def _noisy_name(name: str) -> bool:
+    """Whether all words of a class or id are words of noise or layout, one at least of noise."""
+    pieces = [x.lower() for x in _PIECES.findall(name)]
+    return any(x in NOISE_WORDS for x in pieces) and all(x in NOISE_WORDS or x in LAYOUT_WORDS for x in pieces)
+
+
+def _attributes(attrs: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        out.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+    return out
+
+
+def _is_hidden(found: dict[str, str]) -> bool:
+    return found.get("aria-hidden", "").lower() == "true" or "hidden" in found or "display:none" in "".join(found.get("style", "").split()).lower()
+
+
 def _open(tag: str, attrs: str, parent: Container | None) -> Container:
     key, noise, hidden, inside = tag, tag in NOISE_TAGS, False, parent is not None and (parent.inside or parent.tag in ("article", "main"))
     if tag == "header" and not inside:
         noise = True
     if attrs:
-        found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(attrs)}
+        found = _attributes(attrs)
         names = found.get("class", "").split()
         if names:
-            key = tag + "".join("." + re.sub(r"\d+", "#", x) for x in sorted(names))
-        pieces = {x.lower() for x in _PIECES.findall(found.get("class", "") + " " + found.get("id", ""))}
-        noise = noise or bool(pieces & NOISE_WORDS) and tag not in ("body", "html", "main", "article")
-        noise = noise or not inside and any(x.lower().replace("-", "").replace("_", "") in HEADER_WORDS for x in (*names, found.get("id", "")))
+            key = tag + "".join("." + re.sub(r"\d+", "#", x.replace(">", "_")) for x in sorted(names))
+        known = [*names, found.get("id", "")]
+        noise = noise or tag not in ("body", "html", "main", "article") and any(map(_noisy_name, known))
+        noise = noise or not inside and any(x.lower().replace("-", "").replace("_", "") in HEADER_WORDS for x in known)
         noise = noise or found.get("role", "").lower() in NOISE_ROLES
-        hidden = found.get("aria-hidden", "") == "true" or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+        hidden = _is_hidden(found)
     return Container(tag, key, noise, hidden or parent is not None and parent.hidden, parent, inside)
 
 
-def _running(text: str, linked: int) -> int:
-    return max(0, len(text.strip()) - 2 * linked)
+def _settle(boxes: list[Container]) -> None:
+    """Decides which of a page's containers, parents first, are noise; ``own`` holds the text of each.
 
-
-def _settle(blocks: list[tuple[Container, str, int]]) -> None:
-    """Decides which containers are noise.
-
-    A marked container is noise with all below it, unless it holds most of the
-    page's running text, or its main article, and little is left without it, no
-    article among it.
-    Where only noise has running text, nothing is noise.
+    A marked container is noise with all below it. Marks go from around the
+    page's main article where no article is free of them, and from a container
+    that holds most of the page's text if little is left without it. Where only
+    noise has text, nothing is noise.
     """
-    boxes: list[Container] = []
-    seen: set[int] = set()
-    for box, text, linked in blocks:
-        box.own += _running(text, linked)
-        chain, at = [], box
-        while at is not None and id(at) not in seen:
-            seen.add(id(at))
-            chain.append(at)
-            at = at.parent
-        boxes += reversed(chain)
     for box in reversed(boxes):
         box.full += 0.0 if box.hidden else box.own
         if box.parent is not None:
             box.parent.full += box.full
-    whole = boxes[0].full if boxes else 0.0
-    articles = [b for b in boxes if b.tag in ("article", "main") and b.full and b.full >= 0.25 * whole]
-    while True:
+            if box.parent.heavy is None or box.full > box.parent.heavy.full:
+                box.parent.heavy = box
+    whole = boxes[0].full
+
+    def spread() -> None:
         for box in boxes:
             box.noise = box.mark or box.hidden or box.parent is not None and box.parent.noise
-        clean = sum(b.own for b in boxes if not b.noise)
-        few, holders = clean < 0.25 * whole and not any(b.tag in ("article", "main") and b.full and not b.noise for b in boxes), set()
-        if articles and all(b.noise for b in articles):
-            at = max(articles, key=lambda b: b.full)
-            while at is not None:
-                holders.add(id(at))
-                at = at.parent
-        freed = [b for b in boxes if b.mark and not b.hidden and (b.parent is None or not b.parent.noise) and (few and 2 * b.full > whole or id(b) in holders)]
-        if not freed:
-            break
-        for box in freed:
-            box.mark = False
-    if not clean and any(b.own for b in boxes):
-        for box in boxes:
-            box.noise = False
+
+    spread()
+    articles = [b for b in boxes if b.tag in ("article", "main") and b.full and b.full >= 0.25 * whole]
+    if articles and all(b.noise for b in articles):
+        at: Container | None = max(articles, key=lambda b: b.full)
+        while at is not None:
+            at.mark, at = False, at.parent
+        spread()
+    # ``loose`` is the text below a container that no mark below it covers.
+    free = {id(b) for b in boxes if b.tag in ("article", "main") and b.full and not b.noise}
     for box in boxes:
-        box.own = 0.0
+        box.loose = 0.0
+    for box in reversed(boxes):
+        box.loose += 0.0 if box.hidden else box.own
+        if box.parent is not None and not box.mark:
+            box.parent.loose += box.loose
+    clean, at = boxes[0].loose, boxes[0]
+    while at is not None and 2 * at.full > whole:
+        if at.mark:
+            if clean >= 0.25 * whole or free:
+                break
+            at.mark = False
+            clean += at.loose
+            if at.tag in ("article", "main"):
+                free.add(id(at))
+        at = at.heavy
+    spread()
+    if not any(b.own for b in boxes if not b.noise):
+        visible = any(b.own for b in boxes if not b.hidden)
+        for box in boxes:
+            box.noise = visible and box.hidden
 
 
-def parse(html: str) -> list[tuple[Container, str, int]]:
-    """(container, raw text, characters of links) of every block, in page order.
+def parse(html: str) -> tuple[list[Container], list[tuple[Container, str]]]:
+    """The containers of a page, parents first, and the text of each block with its container, in page order.
 
-    Only containers are nested, so unclosed paragraphs and inline tags do no
-    harm. An unfinished tag at the end is dropped.
+    References are decoded in every stretch between tags by itself. Only
+    containers are nested, so unclosed paragraphs and inline tags do no harm; a
+    paragraph or heading that is marked as noise is a container up to the next
+    block. Inline elements with a hidden mark leave their block as it is without
+    them. A quote that is never closed ends with its tag, and an unfinished tag
+    at the end is dropped. Time and memory grow with the length of the page, at
+    any depth.
     """
     root = Container("", "", False, False, None, False)
-    here, blocks, parts, linked, in_link, at = root, [], [], 0, False, 0
+    boxes, blocks, parts = [root], [], []
+    here, leaf, in_link, at = root, None, False, 0
+    opened: dict[str, int] = {}
+    unseen: list | None = None  # tag, depth and container of an inline element that is left out
+
+    def text_until(end: int) -> None:
+        if end > at and unseen is None:
+            part = unescape(html[at:end])
+            parts.append(part)
+            (leaf or here).own += (len("".join(part.split())) if part.isspace() else len(part.strip())) * (LINK_WEIGHT if in_link else 1.0)
 
     def close() -> None:
-        nonlocal parts, linked
+        nonlocal parts
         if parts:
-            blocks.append((here, "".join(parts), linked))
-            parts, linked = [], 0
+            if text := " ".join("".join(parts).split()):
+                blocks.append((leaf or here, text))
+            parts = []
+
+    def pop_to(box: Container) -> None:
+        """Ends ``box`` and what is open in it."""
+        nonlocal here, unseen
+        up = here
+        while True:
+            opened[up.tag] -= 1
+            if unseen is not None and unseen[2] is up:
+                unseen = None
+            if up is box:
+                break
+            up = up.parent
+        here = box.parent
 
     for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            text = html[at : m.start()]
-            parts.append(text)
-            if in_link:
-                linked += len(text)
+        text_until(m.start())
         at = m.end()
         tag = m["tag"]
         if not tag:
             continue
-        tag = tag.lower()
+        tag, ends = tag.lower(), bool(m["end"])
         if tag == "a":
-            in_link = not m["end"]
-        elif tag == "br":
+            in_link = not ends
+        elif tag == "br" and unseen is None:
             parts.append(" ")
         if tag not in BLOCKS:
+            if unseen is not None:
+                if tag == unseen[0]:
+                    unseen[1] += -1 if ends else 1
+                    if not unseen[1]:
+                        unseen = None
+            elif not ends and tag not in _VOID and (tag in UNSEEN and not m["attrs"].endswith("/") or _MAY_HIDE.search(m["attrs"]) and _is_hidden(_attributes(m["attrs"]))):
+                unseen = [tag, 1, here]
             continue
         close()
-        if tag in CONTAINERS:
-            if not m["end"]:
-                here = _open(tag, m["attrs"], here)
-            else:
+        leaf = None
+        if tag not in CONTAINERS:
+            if ends:
+                if unseen is not None and unseen[2] is here:
+                    unseen = None
+            elif m["attrs"]:
+                box = _open(tag, m["attrs"], here)
+                if box.mark or box.hidden:
+                    leaf = box
+                    boxes.append(box)
+        elif ends:
+            if opened.get(tag):
                 up = here
-                while up is not None and up.tag != tag:
+                while up.tag != tag:
                     up = up.parent
-                if up is not None and up.parent is not None:
-                    here = up.parent
+                pop_to(up)
                 in_link = False
-    parts.append(html[at:])
+        else:
+            if tag in ITEMS:
+                _end_items(tag, lambda: here, pop_to)
+            here = _open(tag, m["attrs"], here)
+            boxes.append(here)
+            opened[tag] = opened.get(tag, 0) + 1
+    text_until(len(html))
     close()
-    _settle(blocks)
-    return blocks
+    return boxes, blocks
 
 
-def best_container(blocks: list[tuple[Container, str, int]]) -> tuple[Container | None, float]:
-    """The container to extract and its share of the page's running text.
+#: What an item ends when it begins.
+_ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
+_GROUP_ENDS = ("td", "th", "tr", "thead", "tbody", "tfoot")
+
+
+def _end_items(tag: str, here, pop_to) -> None:
+    for _ in range(3):
+        up = here().scope
+        if up.tag not in _ENDS.get(tag, _GROUP_ENDS):
+            break
+        pop_to(up)
 
-    A container's worth is its text outside links, noise left out. The search
-    goes down from the root while one child holds most of it; ``article`` and
-    ``main`` win over their surroundings with a smaller share.
+
+def best_container(boxes: list[Container]) -> tuple[Container | None, float]:
+    """The container to extract and its share of the page's text, noise left out.
+
+    Text of links counts for less. The search goes down from the root while one
+    child holds most of the text; ``article`` and ``main`` win over their
+    surroundings with a smaller share.
     """
-    seen: dict[int, Container] = {}
-    for box, text, linked in blocks:
-        if not box.noise:
-            box.own += _running(text, linked)
-        while box is not None and id(box) not in seen:
-            seen[id(box)] = box
-            box = box.parent
     children: dict[int, list[Container]] = {}
-    for box in seen.values():
-        if box.parent is not None:
+    for box in boxes:
+        box.total = 0.0 if box.noise else box.own
+        if box.parent is not None and not box.noise and box.tag not in ("li", "dd", "dt"):
             children.setdefault(id(box.parent), []).append(box)
-        at = box
-        while at is not None:
-            at.total += box.own
-            at = at.parent
-    root = next((b for b in seen.values() if b.parent is None), None)
-    if root is None or not root.total:
+    for box in reversed(boxes):
+        if box.parent is not None:
+            box.parent.total += box.total
+    root = boxes[0]
+    if not root.total:
         return None, 0.0
     here = root
     while True:
-        below = [b for b in children.get(id(here), []) if not b.noise]
+        below = children.get(id(here), [])
         marked = [b for b in below if b.tag in ("article", "main") and b.total >= 0.25 * here.total]
         top = max(marked or below, key=lambda b: b.total, default=None)
-        same = [b for b in below if top is not None and b.key == top.key]
-        if top is None or len(same) > 1 and top.total < 0.8 * here.total or not marked and top.total < 0.7 * here.total:
+        if top is None or not marked and top.total < 0.7 * here.total or top.total < 0.8 * here.total and sum(b.key == top.key for b in below) > 1:
             return here, here.total / root.total
         here = top
 
 
-def text_of(blocks: list[tuple[Container, str, int]], chosen: set[int]) -> str:
-    """Blocks below the chosen containers, without noise: references decoded, white space single, joined by line feeds."""
-    out, under = [], {}
+def text_of(boxes: list[Container], blocks: list[tuple[Container, str]], chosen: set[int]) -> str:
+    """Blocks below the chosen containers, without noise, joined by line feeds."""
+    under: set[int] = set()
+    for box in boxes:
+        if id(box) in chosen or box.parent is not None and id(box.parent) in under:
+            under.add(id(box))
+    return "\n".join(text for box, text in blocks if not box.noise and id(box) in under)
 
-    def inside(box: Container | None) -> bool:
-        if box is None:
-            return False
-        if id(box) not in under:
-            under[id(box)] = id(box) in chosen or inside(box.parent)
-        return under[id(box)]
 
-    for box, text, _ in blocks:
-        if not box.noise and inside(box) and (clean := " ".join(unescape(text).split())):
-            out.append(clean)
-    return "\n".join(out)
+def _at_path(boxes: list[Container], path: str) -> list[Container]:
+    """The containers at a path, found level by level."""
+    keys = path.split(">")
+    level = {id(boxes[0])} if keys[0] == boxes[0].key else set()
+    depth, found = {id(boxes[0]): 0}, []
+    for box in boxes:
+        if box.parent is not None:
+            depth[id(box)] = depth[id(box.parent)] + 1
+            n = depth[id(box)]
+            if id(box.parent) in level and n < len(keys) and box.key == keys[n] and not box.noise:
+                level.add(id(box))
+        if id(box) in level and depth[id(box)] == len(keys) - 1:
+            found.append(box)
+    return found
+
+
+def analyse(html: str) -> tuple[list[Container], list[tuple[Container, str]], Container | None, float]:
+    boxes, blocks = parse(html)
+    _settle(boxes)
+    return boxes, blocks, *best_container(boxes)
 
 
 def extract(html: str | None, paths: list[str]) -> str:
-    """The main text of a page, given its host's winning paths in order."""
+    """The main text of a page, given its host's winning paths in order.
+
+    A path wins only where it holds half at least of what the page's own best
+    container holds.
+    """
     if not html:
         return ""
-    blocks = parse(html)
-    boxes: dict[str, set[int]] = {}
-    held: dict[str, list[Container]] = {}
-    seen: set[int] = set()
-    for box, _, _ in blocks:
-        while box is not None and id(box) not in seen:
-            seen.add(id(box))
-            if not box.noise:
-                path = box.path()
-                boxes.setdefault(path, set()).add(id(box))
-                held.setdefault(path, []).append(box)
-            box = box.parent
-    best, _ = best_container(blocks)
+    boxes, blocks, best, _ = analyse(html)
+    if best is None:
+        return ""
     for path in paths:
-        # A path wins only where it holds a fair share of what the page's own best container holds.
-        if path in boxes and (best is None or sum(b.total for b in held[path]) >= 0.3 * best.total) and (text := text_of(blocks, boxes[path])):
-            return text
-    return text_of(blocks, {id(best)}) if best is not None else ""
+        found = _at_path(boxes, path)
+        if found and sum(b.total for b in found) >= 0.5 * best.total:
+            return text_of(boxes, blocks, set(map(id, found)))
+    return text_of(boxes, blocks, {id(best)})
 
 
 def host(url: Column) -> Column:
@@ -260,8 +362,8 @@ def vote(pages: DataFrame, url_col: str = "url", html_col: str = "html", most_pa
             votes: dict[tuple[str, str], float] = {}
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = html.as_py()
-                best, share = best_container(parse(text)) if text else (None, 0.0)
-                if best is not None and share:
+                best, share = analyse(text)[2:] if text else (None, 0.0)
+                if best is not None:
                     key = name, best.path()
                     votes[key] = votes.get(key, 0.0) + share
             keys = list(votes)
@@ -273,23 +375,24 @@ def vote(pages: DataFrame, url_col: str = "url", html_col: str = "html", most_pa
     return first.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("n", "path"))).alias("paths")).select("host", F.col("paths.path").alias("paths"))
 
 
-def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 100_000) -> DataFrame:
+def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` in place of the html.
 
-    A null html, or one without running text, has an empty text. Rows without a
-    usable url share one unnamed host. Other columns pass through, save those
-    with the new names; repeated rows are extracted each for itself. The
-    winners' table is broadcast when a count shows it to be small and joined by
-    host beyond that.
+    A null html, or one without text, has an empty text. Rows without a usable
+    url share one unnamed host. Other columns pass through, save those named
+    ``text`` or ``n_chars``; repeated rows are extracted each for itself. The
+    winners' table is broadcast where its measured size is below
+    ``broadcast_bytes`` and joined by host beyond that.
     """
     winners = stored(vote(pages, url_col, html_col), "host-paths")
-    small = winners.count() <= broadcast_hosts
-    joined = pages.drop("_host", "_paths").withColumn("_host", host(F.col(url_col)))
-    joined = joined.join((F.broadcast(winners) if small else winners).select(F.col("host").alias("_host"), F.col("paths").alias("_paths")), "_host", "left")
+    key, paths = fresh(pages, "host", "paths")
+    named = winners.select(F.col("host").alias(key), F.col("paths").alias(paths))
+    small = small_enough(named, broadcast_bytes)
+    joined = pages.withColumn(key, host(F.col(url_col))).join(F.broadcast(named) if small else named, key, "left")
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        html, paths = batch.column(batch.schema.get_field_index(html_col)), batch.column(batch.schema.get_field_index("_paths")).to_pylist()
-        return {"text": pa.array([extract(h.as_py(), p or []) for h, p in zip(html, paths, strict=True)], pa.string())}
+        html, won = batch.column(batch.schema.get_field_index(html_col)), batch.column(batch.schema.get_field_index(paths)).to_pylist()
+        return {"text": pa.array([extract(h.as_py(), p or []) for h, p in zip(html, won, strict=True)], pa.string())}
 
-    out = annotate(joined, run, [T.StructField("text", T.StringType())], drop=["_host", "_paths", html_col])
+    out = annotate(joined, run, [T.StructField("text", T.StringType())], drop=[key, paths, html_col])
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from socspark.plans.storage import shared_path, shared_root, stored
 
-__all__ = ["annotate", "chunks", "hashed_share", "shared_path", "shared_root", "stored"]
+__all__ = ["annotate", "chunks", "fresh", "hashed_share", "shared_path", "shared_root", "small_enough", "stored"]
 
 
 def annotate(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], fields: list[T.StructField], drop: Iterable[str] = ()) -> DataFrame:
@@ -48,3 +48,21 @@ def chunks(texts: list, most_chars: int) -> Iterator[tuple[int, int]]:
 def hashed_share(col: str, share: float, seed: int = 0):
     """A condition that holds for about ``share`` of the rows, chosen by a hash of ``col``."""
     return F.pmod(F.xxhash64(F.lit(seed), F.col(col)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The given names, each lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def small_enough(df: DataFrame, most_bytes: int) -> bool:
+    """Whether the text of all rows of a stored table is at most ``most_bytes`` long, so that it may be broadcast."""
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"]
+    return (size or 0) <= most_bytes

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -98,12 +99,87 @@ def test_html_text(spark, sf_dir):
     main = "Head & line\nFirst para bold\nSecond é one.\nOne\nTwo"
     assert got == {(1, main, len(main)): 1, (2, "", 0): 1, (3, "Alone", 5): 1, (4, main, len(main)): 1, (4, "", 0): 1}
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-    for r in queries.op2_html_text(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id").collect():
-        article = r.html.partition("<article>")[2].partition("</article>")[0]
-        import html
 
-        want = [" ".join(html.unescape(re.sub("<[^>]*>?", " " if "br" in b else "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", article)]
-        assert r.text == "\n".join(x for x in want if x)
+
+class Article(HTMLParser):
+    """The text of ``article`` by another parser, for pages that hold exactly one."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.on, self.skip, self.blocks = False, [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.on = True
+        names = dict(attrs).get("class") or ""
+        if self.skip or tag in ("script", "style", "aside", "nav", "form", "footer") or {"ad", "comments", "sidebar"} & set(names.split()):
+            self.skip.append(tag)
+        if tag in ("p", "h1", "h2", "h3", "div", "ul", "ol", "li", "table", "tr", "td", "blockquote", "pre", "section"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.on = False
+        if tag in self.skip:
+            del self.skip[self.skip.index(tag) :]
+        elif tag in ("p", "h1", "h2", "h3", "div", "ul", "ol", "li", "table", "tr", "td", "blockquote", "pre", "section"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.on and not self.skip:
+            self.blocks[-1] += data
+
+
+def test_html_text_against_another_parser(spark, sf_dir):
+    for folder in (sf_dir, "/root/testdata/sf0.01"):
+        rows = queries.op2_html_text(spark, folder).join(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html"), "page_id").collect()
+        assert len(rows) == spark.read.parquet(f"{folder}/pages.parquet").count()
+        for r in rows:
+            other = Article()
+            other.feed(r.html or "")
+            other.close()
+            assert r.text == "\n".join(x for b in other.blocks if (x := " ".join(b.split()))), r.page_id
+
+
+STORY = "Words of the story go on and on. " * 12
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<article><p>{s}<p class='ad'>Buy<p>Two</article>", "{s}\nTwo"),
+        ("<article><p>{s}<ul><li>One<li class=comment>Reader<p>more</li><li>Two</ul></article>", "{s}\nOne\nTwo"),
+        ("<article><h2 hidden>No</h2><p>{s}<p style='display: none'>no</p><h3>Yes</h3></article>", "{s}\nYes"),
+        ("<article><p>Some <span hidden>x <span>y</span> z</span> text. {s}</article>", "Some text. {s}"),
+        ("<article><p>Some <span hidden>never closed</p><p>{s}</article>", "Some\n{s}"),
+        ("<article><p>Some <button>press</button> text. {s}</article>", "Some text. {s}"),
+        ("<article><p>{s}</p><div class='legal-analysis'>Law</div><div class='social-science'>Science</div><div class='ad-box'>Buy</div></article>", "{s}\nLaw\nScience"),
+        ("<nav><a>Menu</a></nav><article><p><a href=x>All of it is one link</a></p></article><div>2020</div>", "All of it is one link"),
+        ('<article><p>Hi <a title="z>never closed</a> and on</article>', "Hi never closed and on"),
+        ("<article><p>&am<b>p;</b> x &amp; y</article>", "&amp; x & y"),
+        ("<p title=it's>One</p><p>it's two</p>", "One\nit's two"),
+        ("<article><p>{s}<!--><p>Two<!-- x --!><script>a='<p>'</SCRIPT ><p>Three</article>", "{s}\nTwo\nThree"),
+        ("<table><tr><td>{s}<td><div>{s}<tr><td>Next</table>", "{s}\n{s}\nNext"),
+        ("<form><div><p>{s}</div></form>", "{s}"),
+    ],
+)
+def test_html_of_awkward_pages(html, want):
+    assert html_text.extract(html.replace("{s}", STORY), []) == want.replace("{s}", STORY.strip())
+
+
+def test_html_at_any_depth(spark):
+    deep = [f"<p>{STORY}" + "<div>" * 100_000, "<div class=ad>" * 100_000 + f"<p>{STORY}", "<div>" * 50_000 + "</section>" * 50_000 + f"<p>{STORY}", "<b hidden>" * 50_000 + "</b>" * 50_000 + f"<p>{STORY}"]
+    rows = [(i, "http://deep.example/", html) for i, html in enumerate(deep)]
+    out = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in out} == {STORY.strip()}
+
+
+def test_html_keeps_columns_with_any_name(spark):
+    rows = [(1, "http://a.b/", "<p>x", "h", "p", None)]
+    out = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, host string, paths string, text string"))
+    assert out.select("host", "paths", "text").first() == ("h", "p", "x")
 
 
 def test_html_wrappers_with_noise_words_and_two_templates():
