@@ -282,7 +282,7 @@ def best_container(boxes: list[Container]) -> tuple[Container | None, float]:
     children: dict[int, list[Container]] = {}
     for box in boxes:
         box.total = 0.0 if box.noise else box.own
-        if box.parent is not None and not box.noise and box.tag not in ("li", "dd", "dt"):
+        if box.parent is not None and not box.noise and box.tag not in ITEMS:
             children.setdefault(id(box.parent), []).append(box)
     for box in reversed(boxes):
         if box.parent is not None:
