@@ -7,11 +7,13 @@ count covers in part, a level that must lie below the count. A place holds the
 earliest time, so two signatures agree in a place with the probability of the
 weighted Jaccard similarity. A process stops once its time is past all places.
 
-Equal texts are one node. Bands of signature places link nodes to the smallest
-node of their bucket; the components of those links are families, within which
-links are verified on the shingle multisets themselves. Large families are cut
-into blocks, and a pair of blocks is one unit of work, so that no task holds a
-family and no pair of documents is ever a row.
+Equal texts are one node. Nodes that share a band of signature places are a
+bucket. In a star round every bucket picks a leader, and the others are verified
+against it on the shingle multisets themselves; a bucket whose nodes are of one
+class by then is done. What the star rounds leave is cut into blocks, and pairs
+of blocks whose classes differ are compared exactly, so that no task holds a
+bucket, a hot leader is dealt to many tasks, and no text links in vain to a
+class that it already belongs to.
 """
 
 from __future__ import annotations
@@ -33,8 +35,6 @@ SHINGLE = 5
 LEAST = 0.8
 PLACES = 128
 BANDS, ROWS = 25, 5
-#: Pairs whose signatures agree in at least this share are verified first, which connects most of a family; the rest follow by `prefix_mates`.
-LEAST_ESTIMATE = 0.68
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -129,24 +129,97 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int = 1_000_000) -> DataFrame:
-    """(id, key, bands): ``key`` is equal for texts of equal words and null for texts without a word."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("key", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """(id, text_hash, key, weight, bands): ``key`` is equal for texts of equal words and null for texts without a word; ``weight`` counts shingles."""
+    fields = [("text_hash", T.LongType()), ("key", T.BinaryType()), ("weight", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(*f) for f in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes = WordHashes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for first, after in chunks(texts, chunk_chars):
                 words = [words_of(t) for t in texts[first:after]]
-                sig = signatures(len(words), *shingles(words, hashes))
-                bands = band_hashes(sig)
-                keys = [xxhash.xxh3_128_hexdigest(b" ".join(w)) if w else None for w in words]
+                owner, value, count = shingles(words, hashes)
+                bands = band_hashes(signatures(len(words), owner, value, count))
+                keys = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
+                weight = np.bincount(owner, count, len(words)).astype(np.int64)
                 offsets = pa.array(np.arange(len(words) + 1, dtype=np.int32) * BANDS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, after - first), pa.array(keys, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))], names=[id_col, "key", "bands"])
+                part = [c.slice(first, after - first) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(keys, pa.binary()), pa.array(weight), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))], names=schema.names)
+
+    return docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col).mapInArrow(run, schema)
+
+
+BAG = [T.StructField("value", T.ArrayType(T.LongType())), T.StructField("count", T.ArrayType(T.IntegerType()))]
+
+
+def bags_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, chunk_chars: int = 1_000_000) -> DataFrame:
+    """(node, value, count): the shingles of the texts that ``nodes`` (node, id, text_hash) names, joined by sort and merge at every size."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = rows.join(nodes.hint("merge"), ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for first, after in chunks(texts, chunk_chars):
+                owner, value, count = shingles([words_of(t) for t in texts[first:after]], hashes)
+                offsets = pa.array(np.searchsorted(owner, np.arange(after - first + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (value.view(np.int64), count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, after - first), *lists], names=["node", "value", "count"])
+
+    return rows.select("node", "text").mapInArrow(run, T.StructType([T.StructField("node", T.BinaryType()), *BAG]))
+
+
+Bag = tuple[np.ndarray, np.ndarray]
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+def _bags(value: pa.ListArray, count: pa.ListArray) -> list[Bag]:
+    """The rows of two Arrow columns as pairs of arrays, the values sorted as they were made."""
+    bounds = value.offsets.to_numpy()
+    values, counts = value.values.to_numpy().view(np.uint64), count.values.to_numpy()
+    return [(values[s:e], counts[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def similar(a: Bag, b: Bag, least: float = LEAST) -> bool:
+    """Whether the weighted Jaccard similarity of two bags is ``least`` or more."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    hit = b[0][at] == a[0]
+    both = int(np.minimum(a[1][hit], b[1][at[hit]]).sum())
+    return both >= least * (int(a[1].sum()) + int(b[1].sum()) - both)
+
+
+def verified_stars(pairs: DataFrame, bags: DataFrame, salt_rows: int = 256) -> DataFrame:
+    """(src, dst): the pairs (leader, node) that are similar enough.
+
+    The nodes of one leader are dealt in parts of about ``salt_rows``, each with
+    one copy of the leader's bag, and pass by it one at a time.
+    """
+    sizes = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("parts"))
+    dealt = pairs.join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    leaders = dealt.select("leader", "part", F.lit(0).alias("turn"), F.col("leader").alias("node")).distinct()
+    wanted = dealt.select("leader", "part", F.lit(1).alias("turn"), "node").unionByName(leaders)
+    rows = wanted.join(bags, "node").select("leader", "part", "turn", "node", "value", "count")
+    rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = None
+        for batch in batches:
+            src, dst = [], []
+            columns = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            for leader, turn, node, bag in zip(*columns, _bags(batch.column(4), batch.column(5)), strict=True):
+                if turn == 0:
+                    lead = bag
+                elif similar(lead, bag):
+                    src.append(leader)
+                    dst.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], names=["src", "dst"])
+
+    return rows.mapInArrow(run, "src binary, dst binary")
 
 
 def prefix_mates(n: int, owner: np.ndarray, value: np.ndarray, count: np.ndarray, least: float) -> Iterator[np.ndarray]:
@@ -177,20 +250,20 @@ def prefix_mates(n: int, owner: np.ndarray, value: np.ndarray, count: np.ndarray
         yield mates
 
 
-def links_within(nodes: list, texts: list[str], side: list[int], hashes: WordHashes, least: float = LEAST) -> list[tuple]:
-    """Links of at least ``least`` similarity that connect all that are connected, a spanning forest.
+def links_within(nodes: list, classes: list, side: list[int], bags: list[Bag], least: float = LEAST) -> list[tuple]:
+    """Links of at least ``least`` similarity that connect all classes that are connected here, a spanning forest.
 
     ``side`` holds the block of each node; where there are two blocks, only
     pairs across them are compared. Pairs already connected are skipped.
     """
     n = len(nodes)
-    owner, value, count = shingles([words_of(t) for t in texts], hashes)
-    bounds = np.searchsorted(owner, np.arange(n + 1))
-    bags = [(value[s:e], count[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+    owner = np.repeat(np.arange(n), [len(v) for v, _ in bags])
+    value, count = (np.concatenate(x) for x in zip(*bags, strict=True))
     weight = np.array([c.sum() for _, c in bags])
     side_of = np.array(side)
     across = side_of.min() != side_of.max()
-    head, found = list(range(n)), []
+    first: dict = {}
+    head, found = [first.setdefault(c, i) for i, c in enumerate(classes)], []
 
     def top(i: int) -> int:
         while head[i] != i:
@@ -198,108 +271,109 @@ def links_within(nodes: list, texts: list[str], side: list[int], hashes: WordHas
             i = head[i]
         return i
 
-    def rest_of(i: int) -> np.ndarray:
-        rest = np.arange(i + 1, n)
+    for i, mates in enumerate(prefix_mates(n, owner, value, count, least)):
+        mates[: i + 1] = False
         if across:
-            rest = rest[side_of[rest] != side_of[i]]
+            mates &= side_of != side_of[i]
         # The similarity is at most the smaller weight over the larger.
-        return rest[np.minimum(weight[rest], weight[i]) >= least * np.maximum(weight[rest], weight[i])]
-
-    def verify(pairs: list[tuple[float, int, int]]) -> None:
-        for _, i, j in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+        mates &= np.minimum(weight, weight[i]) >= least * np.maximum(weight, weight[i])
+        for j in np.flatnonzero(mates).tolist():
             a, b = top(i), top(j)
-            if a == b:
-                continue
-            _, x, y = np.intersect1d(bags[i][0], bags[j][0], assume_unique=True, return_indices=True)
-            both = int(np.minimum(bags[i][1][x], bags[j][1][y]).sum())
-            if both >= least * (weight[i] + weight[j] - both):
+            if a != b and similar(bags[i], bags[j], least):
                 head[max(a, b)] = min(a, b)
                 found.append((nodes[i], nodes[j]))
-
-    if n <= 8:
-        verify([(1.0, i, j) for i in range(n - 1) for j in rest_of(i).tolist()])
-        return found
-    sig = signatures(n, owner, value, count)
-    alike = lambda i, rest: (sig[rest] == sig[i]).mean(axis=1)
-    pairs: list[tuple[float, int, int]] = []
-    for i in range(n - 1):
-        if len(rest := rest_of(i)):
-            share = alike(i, rest)
-            near = share >= LEAST_ESTIMATE
-            pairs += zip(share[near].tolist(), [i] * int(near.sum()), rest[near].tolist(), strict=True)
-    verify(pairs)
-    tops = np.array([top(i) for i in range(n)])
-    if (tops == tops[0]).all():
-        return found
-    pairs = []
-    for i, mates in enumerate(prefix_mates(n, owner, value, count, least)):
-        rest = rest_of(i)
-        rest = rest[mates[rest] & (tops[rest] != tops[i])]
-        if len(rest):
-            pairs += zip(alike(i, rest).tolist(), [i] * len(rest), rest.tolist(), strict=True)
-    verify(pairs)
     return found
 
 
-def verified_links(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, block_rows: int = 512) -> DataFrame:
-    """(src, dst): verified links inside families; ``families`` has (node, component).
+def verified_blocks(live: DataFrame, bags: DataFrame, block_rows: int = 128) -> DataFrame:
+    """(src, dst): verified links between the classes of each bucket family of ``live`` (band, node, class).
 
-    A family is cut into blocks of about ``block_rows`` by a hash of the node,
-    and every two blocks, or a block by itself, are compared in one place. Texts
-    reach their families by a sort-merge join at every size.
+    The nodes of a family's largest class and all its others are cut into blocks
+    of about ``block_rows`` by a hash of the node; every block of others meets
+    every block, and blocks of the largest class do not meet each other.
     """
-    sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
-    parts = families.join(sizes, "component").withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
-    parts = parts.withColumn("_side", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    rows = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("_text")).join(parts.hint("merge"), "node")
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    keyed = rows.select("component", F.least("_side", "_other").alias("_i"), F.greatest("_side", "_other").alias("_j"), "_side", "node", "_text")
-    dealt = keyed.repartition("component", "_i", "_j").sortWithinPartitions("component", "_i", "_j", "node")
-    node_type = families.schema["node"].dataType
-    schema = T.StructType([T.StructField("src", node_type), T.StructField("dst", node_type)])
+    stars = live.groupBy("band").agg(F.min("node").alias("src")).join(live.select("band", F.col("node").alias("dst")), "band").select("src", "dst").distinct()
+    nodes = live.select("node", "class").distinct().join(connected_components(stars), "node")
+    sizes = nodes.groupBy("component", "class").agg(F.count(F.lit(1)).alias("n"))
+    shape = sizes.groupBy("component").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.ceil(F.max("n") / block_rows).cast("int").alias("a"), F.ceil((F.sum("n") - F.max("n")) / block_rows).cast("int").alias("b"))
+    parts = nodes.join(shape, "component").where("b > 0").withColumn("is_main", F.col("class") == F.col("main"))
+    parts = parts.withColumn("side", F.when(F.col("is_main"), F.pmod(F.xxhash64("node"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("node"), F.col("b"))).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.when(F.col("is_main"), F.col("a")).otherwise(0), F.col("a") + F.col("b") - 1)))
+    units = parts.select("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "class")
+    rows = units.join(bags, "node").select("component", "i", "j", "side", "node", "class", "value", "count")
+    rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        last, group = None, ([], [], [])
+        last, group = None, ([], [], [], [])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(group[0]) > 1 and (found := links_within(*group, hashes)):
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], node_kind), pa.array([b for _, b in found], node_kind)], names=["src", "dst"])
+            if len(set(group[1])) > 1 and (found := links_within(*group)):
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["src", "dst"])
 
-        node_kind = None
         for batch in batches:
-            node_kind = batch.column(4).type
-            for component, i, j, side, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            columns = (c.to_pylist() for c in batch.columns[:6])
+            for component, i, j, side, node, klass, bag in zip(*columns, _bags(batch.column(6), batch.column(7)), strict=True):
                 if (component, i, j) != last:
                     yield from flush()
-                    last, group = (component, i, j), ([], [], [])
-                for to, x in zip(group, (node, text or "", side), strict=True):
+                    last, group = (component, i, j), ([], [], [], [])
+                for to, x in zip(group, (node, klass, side, (bag[0].copy(), bag[1].copy())), strict=True):
                     to.append(x)
         yield from flush()
 
-    return dealt.mapInArrow(run, schema).where("src <> dst")
+    return rows.mapInArrow(run, "src binary, dst binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, is_representative) for each row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 1) -> DataFrame:
+    """(id, class_id, is_representative, text_hash) for each row of ``docs``.
 
     A class is a connected component of the links of 0.8 or more weighted
     Jaccard similarity on five-word shingles, words being runs of letters,
     digits and non-ASCII characters in lower case; its id is its smallest
-    document id, which is the representative's. Texts without a word, null
-    among them, and rows with a null id are each a class of their own. Rows that
-    repeat an id count as one document, the first of them being as good as
-    another; other columns are left out, and an empty table gives no rows.
+    document id. Texts without a word, null among them, and rows with a null id
+    are each a class of their own and represent it. Rows that repeat an id are
+    documents of their own where their texts differ, so that their classes may
+    share an id; ``text_hash`` (of the raw text) tells them apart, and the
+    smallest (id, text_hash) of a class represents it. Rows that repeat both
+    are alike in every result. Other columns are left out, and an empty table
+    gives no rows. ``star_rounds`` shifts work between stars and blocks; the
+    classes are the same.
     """
     rows = docs.select(id_col, text_col)
     sketches = stored(sketch(rows, id_col, text_col), "sketches")
     usable = sketches.where(F.col("key").isNotNull() & F.col(id_col).isNotNull())
-    reps = stored(usable.groupBy("key").agg(F.min(id_col).alias("rep"), F.first("bands").alias("bands")), "distinct-texts")
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = banded.join(leaders, "band").where("rep <> leader").select(F.col("leader").alias("src"), F.col("rep").alias("dst"))
-    families = connected_components(stored(edges.distinct(), "bucket-links"))
-    classes = connected_components(stored(verified_links(rows, families, id_col, text_col), "links"))
-    named = reps.select("key", "rep").join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("_class"))
-    out = sketches.select(id_col, "key").join(named, "key", "left")
-    return out.select(id_col, F.coalesce("_class", F.col(id_col)).alias("class_id")).withColumn("is_representative", F.col(id_col).isNull() | (F.col("class_id") == F.col(id_col)))
+    first = F.min(F.struct(F.col(id_col).alias("id"), "text_hash"))
+    reps = stored(usable.groupBy(F.col("key").alias("node")).agg(first.alias("rep"), F.first("bands").alias("bands"), F.first("weight").alias("weight")), "distinct-texts")
+    banded = reps.select("node", "weight", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    live = stored(banded.join(shared, "band").select("band", "node", "weight", F.col("node").alias("class")), "buckets")
+    bags = stored(bags_of(rows, reps.join(live.select("node").distinct(), "node").select("node", "rep.*"), id_col, text_col), "shingles")
+    links: DataFrame | None = None
+    classes: DataFrame | None = None
+    for n in range(star_rounds + 1):
+        if live.isEmpty():
+            break
+        if n < star_rounds:
+            order = F.struct(F.xxhash64(F.lit(n), "node").alias("h"), "node", "class", "weight")
+            led = live.join(live.groupBy("band").agg(F.min(order).alias("to")), "band")
+            fits = F.least("weight", "to.weight") >= LEAST * F.greatest("weight", "to.weight")
+            pairs = led.where((F.col("class") != F.col("to.class")) & fits).select(F.col("to.node").alias("leader"), "node").distinct()
+            new = stored(verified_stars(stored(pairs, "stars"), bags), "links")
+        else:
+            new = stored(verified_blocks(live, bags), "links")
+        links = new if links is None else links.unionByName(new)
+        classes = stored(connected_components(links), "classes")
+        known = live.drop("class").join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+        if n < star_rounds:
+            open_bands = known.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("band")
+            live = stored(known.join(open_bands, "band").select("band", "node", "weight", "class"), "buckets")
+    named = reps.select("node", "rep")
+    named = named.withColumn("class", F.col("node")) if classes is None else named.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    heads = named.join(named.groupBy("class").agg(F.min("rep").alias("head")), "class").select(F.col("node").alias("key"), "head")
+    out = sketches.select(id_col, "text_hash", "key").join(heads, "key", "left")
+    alone = F.col("key").isNull() | F.col(id_col).isNull()
+    return out.select(
+        id_col,
+        F.when(alone, F.col(id_col)).otherwise(F.col("head.id")).alias("class_id"),
+        (alone | ((F.col(id_col) == F.col("head.id")) & (F.col("text_hash") == F.col("head.text_hash")))).alias("is_representative"),
+        "text_hash",
+    )

@@ -307,6 +307,36 @@ def test_near_duplicates(spark, sf_dir, texts, odd):
     assert near_dup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_against_all_pairs_of_the_larger_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_classes({r.doc_id: r.text for r in docs.collect()})
+    assert len(set(want.values())) < len(want)
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()} == want
+
+
+def test_large_group_of_near_copies_is_the_same_for_every_plan(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 10_000, 200)]
+    copies = [" ".join(w if rng.random() > 0.01 else f"v{rng.integers(10_000)}" for w in base) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string").unionByName(spark.createDataFrame([(500, copies[7]), (501, None)], "doc_id long, text string"))
+    want = brute_classes({r.doc_id: r.text for r in docs.collect()})
+    assert 5 < len(set(want.values())) < 100
+    for rounds in (0, 1, 2):
+        got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs, star_rounds=rounds).collect()}
+        # Bands may miss a link at 0.8 once in 20,000; this table is fixed, and none is missed.
+        assert got == want, rounds
+
+
+def test_rows_that_share_an_id_stay_documents_of_their_own(spark):
+    a, b = ("a text of some length that goes on for a while " + x for x in ("here", "there and then again"))
+    rows = [(1, a, "x"), (1, a, "y"), (1, "another text with nothing in common with them at all", "x"), (2, b, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    out = near_dup.near_duplicates(docs).collect()
+    assert len(out) == 4 and all(r.is_representative for r in out)
+    kept = corpus_pipeline.keep_one_of_each_class(spark, docs, "").collect()
+    assert sorted(kept) == sorted([rows[0], rows[2], rows[3]])
+
+
 def test_signatures_estimate_the_weighted_similarity():
     a = collections.Counter({i: 1 + i % 7 for i in range(60)})
     b = collections.Counter({i: 1 + (i * 3) % 5 for i in range(20, 80)})
@@ -337,22 +367,33 @@ def test_pii(spark, sf_dir, odd):
     assert pii.pseudonymise(odd, "k").count() == len(ROWS)
 
 
-def test_pairs_of_a_low_estimate_are_linked_in_blocks_of_every_size():
+def test_links_within_blocks_find_every_link_between_classes():
     rng = np.random.default_rng(5)
-    hashes = near_dup.WordHashes()
-    low = []
-    for _ in range(12):
-        words = rng.integers(0, 1 << 40, (500, 104))
-        docs = [[b"%x" % x for x in row[a:b]] for row in words for a, b in ((0, 94), (10, 104))]  # 80 of 100 shingles
-        sig = near_dup.signatures(len(docs), *near_dup.shingles(docs, hashes))
-        agree = (sig[::2] == sig[1::2]).mean(axis=1)
-        low += [(docs[2 * k], docs[2 * k + 1]) for k in np.flatnonzero(agree < near_dup.LEAST_ESTIMATE)]
-    assert low
-    a, b = (b" ".join(d).decode() for d in low[0])
-    other = [f"filler {k} " + " ".join(f"f{k}x{i}" for i in range(90)) for k in range(20)]
-    for n in (0, 20):
-        found = near_dup.links_within(list(range(n + 2)), [a, b, *other[:n]], [0] * (n + 2), hashes)
-        assert found == [(0, 1)]
+    base = [b"w%x" % x for x in rng.integers(0, 1 << 40, 120)]
+    docs = [[w if rng.random() > rate else b"v%x" % rng.integers(1 << 40) for w in base] for rate in rng.uniform(0, 0.03, 40)]
+    owner, value, count = near_dup.shingles(docs, near_dup.WordHashes())
+    bags = [(value[owner == i], count[owner == i]) for i in range(40)]
+    counters = [collections.Counter(dict(zip(v.tolist(), c.tolist(), strict=True))) for v, c in bags]
+    for classes in (list(range(40)), [min(i, 20) for i in range(40)]):
+        found = near_dup.links_within(list(range(40)), classes, [0] * 40, bags)
+        head = {c: c for c in classes}
+        top = lambda c: c if head[c] == c else top(head[c])  # noqa: E731, B023
+        for i in range(40):
+            for j in range(i):
+                both = sum((counters[i] & counters[j]).values())
+                like = both >= 0.8 * (sum(counters[i].values()) + sum(counters[j].values()) - both)
+                assert near_dup.similar(bags[i], bags[j]) == like
+                if like:
+                    head[top(classes[i])] = top(classes[j])
+        want = {c: top(c) for c in classes}
+        assert 1 < len(set(want.values())) < len(set(classes))
+        head = {c: c for c in classes}
+        for i, j in found:
+            assert top(classes[i]) != top(classes[j])
+            head[top(classes[i])] = top(classes[j])
+        for x in classes:
+            for y in classes:
+                assert (want[x] == want[y]) == (top(x) == top(y))
 
 
 def test_prefix_mates_lose_no_pair():
