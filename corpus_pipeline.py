@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from socspark.llm import decontaminate, langid, near_dup, packing, secrets
-from socspark.llm.shared import stored
+from socspark.llm.shared import fresh, stored
 
 #: A document whose language has a smaller posterior than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -20,10 +20,18 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document with the smallest id stays, once; rows with a null id all stay."""
-    chosen = near_dup.near_duplicates(docs).where(F.col("is_representative") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """Of near-duplicates the document with the smallest id stays, once; rows with a null id all stay.
+
+    Different texts under one id are documents of their own. Of rows that repeat
+    both id and text, the one whose other columns come first in order stays.
+    """
+    key = fresh(docs, "text_hash")[0]
+    found = near_dup.near_duplicates(docs)
+    chosen = found.where(F.col("is_representative") & F.col("doc_id").isNotNull()).select("doc_id", F.col("text_hash").alias(key)).distinct()
+    kept = docs.withColumn(key, F.xxhash64("text")).join(chosen, ["doc_id", key], "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = kept.groupBy("doc_id", key).agg(F.min(F.struct("text", *rest)).alias("row"))
+    return one.select("doc_id", "row.*").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
