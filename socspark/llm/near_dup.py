@@ -35,6 +35,8 @@ SHINGLE = 5
 LEAST = 0.8
 PLACES = 128
 BANDS, ROWS = 25, 5
+#: Nodes of a bucket that one part of it holds, about.
+PART_ROWS = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -323,6 +325,13 @@ def verified_blocks(live: DataFrame, bags: DataFrame, block_rows: int = 128) ->
     return rows.mapInArrow(run, "src binary, dst binary")
 
 
+def by_bucket(live: DataFrame, found: DataFrame) -> DataFrame:
+    """``live`` joined to ``found``, a row for each bucket; a large bucket is dealt in ``parts``, each with a copy of that row."""
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    copies = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return live.withColumn("part", part).join(copies, ["band", "part"]).drop("part")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 1) -> DataFrame:
     """(id, class_id, is_representative, text_hash) for each row of ``docs``.
 
@@ -344,8 +353,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct(F.col(id_col).alias("id"), "text_hash"))
     reps = stored(usable.groupBy(F.col("key").alias("node")).agg(first.alias("rep"), F.first("bands").alias("bands"), F.first("weight").alias("weight")), "distinct-texts")
     banded = reps.select("node", "weight", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    live = stored(banded.join(shared, "band").select("band", "node", "weight", F.col("node").alias("class")), "buckets")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
+    live = stored(banded.join(shared, "band").select("band", "node", "weight", F.col("node").alias("class"), "parts"), "buckets")
     bags = stored(bags_of(rows, reps.join(live.select("node").distinct(), "node").select("node", "rep.*"), id_col, text_col), "shingles")
     links: DataFrame | None = None
     classes: DataFrame | None = None
@@ -354,7 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         if n < star_rounds:
             order = F.struct(F.xxhash64(F.lit(n), "node").alias("h"), "node", "class", "weight")
-            led = live.join(live.groupBy("band").agg(F.min(order).alias("to")), "band")
+            led = by_bucket(live, live.groupBy("band").agg(F.min(order).alias("to"), F.first("parts").alias("parts")))
             fits = F.least("weight", "to.weight") >= LEAST * F.greatest("weight", "to.weight")
             pairs = led.where((F.col("class") != F.col("to.class")) & fits).select(F.col("to.node").alias("leader"), "node").distinct()
             new = stored(verified_stars(stored(pairs, "stars"), bags), "links")
@@ -364,8 +373,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes = stored(connected_components(links), "classes")
         known = live.drop("class").join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
         if n < star_rounds:
-            open_bands = known.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("band")
-            live = stored(known.join(open_bands, "band").select("band", "node", "weight", "class"), "buckets")
+            open_bands = known.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.first("parts").alias("parts")).where("a <> b").select("band", "parts")
+            live = stored(by_bucket(known, open_bands).select("band", "node", "weight", "class", "parts"), "buckets")
     named = reps.select("node", "rep")
     named = named.withColumn("class", F.col("node")) if classes is None else named.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     heads = named.join(named.groupBy("class").agg(F.min("rep").alias("head")), "class").select(F.col("node").alias("key"), "head")
