@@ -235,22 +235,81 @@ def plain_spans(text):
     return sorted(out, key=lambda s: (s[0], secrets.KINDS.index(s[1])))
 
 
-def test_secrets(spark, sf_dir, texts, odd):
+def plain_ratio(token, models):
+    numbers = [secrets.ALPHABET.find(c) + 1 for c in token]
+    top = 0.0
+    for table in models.ratios.values():
+        now = 0.0
+        for x, y in zip(numbers[:-1], numbers[1:], strict=True):
+            now = max(0.0, now + table[x * secrets.SIZE + y])
+            top = max(top, now)
+    return top
+
+
+def all_plain_spans(text, models):
+    base = plain_spans(text)
+    more = [(m.start(), "markov", m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text) if re.search("[A-Za-z]", m[0]) and plain_ratio(m[0], models) > models.threshold]
+    more = [m for m in more if not any(b[0] <= m[0] and m[2] <= b[2] for b in base)]
+    return sorted(base + more, key=lambda s: (s[0], secrets.KINDS.index(s[1]), s[2]))
+
+
+def plain_mask(text, found):
+    out, at = "", 0
+    for a, _, e in found:
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, e)
+    return out + text[at:]
+
+
+@pytest.fixture(scope="module")
+def models(spark, sf_dir):
+    return secrets.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORDINARY = "/blog/2024/05/how-to-bake-bread-at-home src/main/java/com/example/service/UserController2 my-very-long-kebab-case-identifier-2 ThisIsACamelCaseIdentifierNumber1 DE_LONGEST_CONSTANT_NAME_EVER kubernetes-deployment-v2-production com/google/common/collect/ImmutableListMultimap getElementsByClassNameAndTagName 20240501123000 4539148803436467123".split()
+RANDOM = "9xQ2vLr8Tz1KpW4mBn7cYd3H ghp_16C7e42F292c6912E7710c838347Ae178B4a /reset/aB3dE5fG7hJ9kL1mN3pQ5 qzxvkjwpqmznxbvtrqkx Zk8QvT2xWp9LmB4c 7C4A8D09CA3762AF61E59520943DC264".split()
+
+
+def test_secrets(spark, sf_dir, texts, odd, models):
     for r in queries.op6_secrets(spark, sf_dir).collect():
         want = ",".join(f"{k}:{a}:{e}" for a, k, e in plain_spans(texts[r.doc_id] or ""))
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
-    cases = ["token=token: abcdefgh", "é PASSWORD : 'hunter22' AKIA" + "A" * 16, "secret=abc password=abcdef", "a" * 30, "k = 9xQ2vLr8Tz1KpW4mBn7cYd3H", "plain"]
+        assert r.spans == ",".join(f"{k}:{a}:{e}" for a, k, e in all_plain_spans(texts[r.doc_id] or "", models))
+    draw = np.random.default_rng(4)
+    bits = ["password=hunter22", "token: abc", "a" * 30, "AKIA" + "A" * 16, "é☃", "\U0001f600", " ", "\n", "word", "secret=" + "b" * 26, *RANDOM, *ORDINARY]
+    cases = ["token=token: abcdefgh", "é PASSWORD : 'hunter22' AKIA" + "A" * 16, "secret=abc password=abcdef", "a" * 30, "k = 9xQ2vLr8Tz1KpW4mBn7cYd3H", "plain", "x" * 2047 + " password=hunter22 " + "y" * 3000, "a" * 24 + "XkQ9vLr8Tz1KpW4mBn7cYd3H"]
+    cases += [" ".join(bits[k] for k in draw.integers(0, len(bits), n)) for n in (1, 5, 40, 400)]
     docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
-    ratios = secrets.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    found = secrets.scan_secrets(docs, ratios)
+    found = secrets.scan_secrets(docs, models)
     got = {r.doc_id: [(s.start, secrets.KINDS[s.kind], s.end) for s in r.spans] for r in found.collect()}
-    for i, text in enumerate(cases):
-        assert [s for s in got[i] if s[1] != "markov"] == plain_spans(text)
-    assert [s[1] for s in got[4]] == ["markov"] and got[5] == []
     masked = {r.doc_id: r.text for r in secrets.redact(found).collect()}
+    for i, text in enumerate(cases):
+        assert got[i] == all_plain_spans(text, models)
+        assert masked[i] == plain_mask(text, got[i])
+    assert [s[1] for s in got[4]] == ["markov"] and got[5] == [] and [s[1] for s in got[7]] == ["hex", "markov"]
     assert masked[1] == "é [SECRET]' [SECRET]" and masked[5] == "plain"
-    assert secrets.scan_secrets(odd, ratios).where("size(spans) > 0").count() == 0
+    assert secrets.scan_secrets(odd, models).where("size(spans) > 0").count() == 0
     assert secrets.scan_secrets(odd.limit(0), secrets.train(odd.limit(0))).count() == 0
+    assert secrets.scan_secrets(docs, secrets.train(odd.limit(0))).where("exists(spans, s -> s.kind = 3)").count() == 0
+    clash = docs.limit(1).selectExpr("*", "1 AS spans_found", "2 AS _base")
+    assert secrets.scan_secrets(clash, models).first()[2:4] == (1, 2)
+
+
+def test_secret_models_tell_random_strings_from_identifiers(spark, models):
+    share = models.flagged
+    assert share["ordinary"] < 0.001 and min(v for k, v in share.items() if k != "ordinary") > 0.95
+    right = sum(v for k, v in share.items() if k != "ordinary")
+    assert right / (right + 5 * share["ordinary"]) > 0.95
+    docs = spark.createDataFrame(list(enumerate(ORDINARY + RANDOM)), "doc_id long, text string")
+    found = {r.text for r in secrets.scan_secrets(docs, models).where("exists(spans, s -> s.kind = 3)").collect()}
+    assert found == set(RANDOM)
+
+
+def test_many_secrets_in_one_text(spark, models):
+    docs = spark.createDataFrame([(1, "password=hunter22 x " * 20_000)], "doc_id long, text string")
+    r = secrets.redact(secrets.scan_secrets(docs, models)).first()
+    assert len(r.spans) == 20_000 and r.text == "[SECRET] x " * 20_000
 
 
 def test_language_id(spark, sf_dir, odd):
@@ -480,14 +539,7 @@ def test_pipeline(spark, sf_dir, texts):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in got} == set(clean)
 
-    def mask(text):
-        out, at = "", 0
-        for a, _, e in plain_spans(text):
-            if a >= at:
-                out, at = out + text[at:a] + "[SECRET]", e
-            at = max(at, e)
-        return out + text[at:]
-
-    check_packing(got, {d: mask(t) for d, t in clean.items()})
+    found = secrets.train(docs.where(F.col("doc_id").isin(list(clean))))
+    check_packing(got, {d: plain_mask(t, all_plain_spans(t, found)) for d, t in clean.items()})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
