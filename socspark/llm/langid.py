@@ -4,9 +4,10 @@ For every language a byte context tree of depth 3 is counted on a bounded sample
 of labelled rows, then frozen. A byte's probability comes from the longest
 context that was seen; its escape probability (method C: kinds seen / (bytes
 seen + kinds seen)) is shared out over the bytes not seen there, in proportion
-to the next shorter context, so the probabilities of each context sum to 1 and
-the code lengths are exact. The trees are laid out as one table of code
-lengths, so that scoring is two array look-ups a byte for all languages at once.
+to the next shorter context, so the probabilities of each context sum to 1 over
+all 256 bytes and the code lengths are exact. The code lengths of all four-byte
+strings of the samples, in all languages at once, stand in one sorted table;
+what it lacks is worked out from the trees.
 """
 
 from __future__ import annotations
@@ -24,40 +25,83 @@ from pyspark.sql import types as T
 from .shared import annotate, chunks, hashed_share
 
 UNDETERMINED = "und"
-PAD = b"   "
+DEPTH = 3
+PAD = b" " * DEPTH
 
 
 def _bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass")
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``keys``, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class Tree:
+    """The contexts of one language: for every order the strings seen, with their probability, and the contexts, with what an escape leaves to a byte."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        first = np.bincount(gram & 255, weights=n, minlength=256)
+        kinds, total = np.count_nonzero(first), first.sum()
+        escape = kinds / (total + kinds) if 0 < kinds < 256 else 0.0
+        rest = np.where(first > 0, 0, escape / max(1, 256 - kinds)) if total else np.full(256, 1 / 256)
+        self.bytes = first / max(total, 1) * (1 - escape) + rest
+        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in range(1, DEPTH + 1):
+            seen, at = np.unique(gram & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            count = np.bincount(at, weights=n)
+            context, of = np.unique(seen >> 8, return_inverse=True)
+            kinds, total = np.bincount(of), np.bincount(of, weights=count)
+            left = np.maximum(1 - np.bincount(of, weights=self.probability(seen)), 1e-12)
+            escape = np.where(kinds < 256, kinds / (total + kinds), 0.0)
+            self.orders.append((seen, count / total[of] * (1 - escape[of]), context, escape / left))
+
+    def probability(self, gram: np.ndarray) -> np.ndarray:
+        """Probability of the last byte of each string after the bytes before it, by the orders known so far."""
+        out = self.bytes[gram & 255]
+        for k, (seen, own, context, escape) in enumerate(self.orders, 1):
+            key = gram & ((1 << 8 * (k + 1)) - 1)
+            at, known = _find(context, key >> 8)
+            out = np.where(known, out * escape[at] if len(escape) else out, out)
+            at, known = _find(seen, key)
+            out = np.where(known, own[at] if len(own) else out, out)
+        return out
+
+
 @dataclass
 class Model:
-    """Frozen code lengths: ``bits[row(context), symbol, language]``."""
+    """Frozen code lengths of languages, and of the background: bytes of all languages without their order."""
 
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol
-    n: int  # symbols
-    row: np.ndarray  # context of three symbols -> row of bits
+    trees: list[Tree]
+    background: np.ndarray
+    gram: np.ndarray
     bits: np.ndarray
 
-    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text in each language."""
-        whole = PAD + PAD.join(texts)
-        s = self.symbol[np.frombuffer(whole, dtype=np.uint8)]
-        context = (s[:-3] * self.n + s[1:-2]) * self.n + s[2:-1]
-        cost = self.bits[self.row[context] * self.n + s[3:]]
-        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        starts = np.cumsum(sizes + len(PAD)) - sizes - len(PAD)
-        out = np.zeros((len(texts), len(self.languages)))
-        full = np.flatnonzero(sizes)
-        if len(full):
-            ends = starts[full] + sizes[full]
-            cuts = np.stack([starts[full], np.minimum(ends, len(cost) - 1)], axis=1).ravel()
-            sums = np.add.reduceat(cost, cuts, axis=0)[::2]
-            out[full] = sums
+    def costs(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each four-byte string, by language."""
+        at, known = _find(self.gram, gram)
+        out = self.bits[at]
+        if not known.all():
+            new, back = np.unique(gram[~known], return_inverse=True)
+            out[~known] = np.stack([-np.log2(t.probability(new)) for t in self.trees], axis=1)[back]
         return out
 
+    def code_lengths(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each text in each language, and by the background."""
+        whole = np.frombuffer(PAD + PAD.join(texts), dtype=np.uint8).astype(np.int64)
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        starts = np.cumsum(sizes + DEPTH) - sizes
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        at = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        cost = self.costs(((whole[at - 3] << 8 | whole[at - 2]) << 8 | whole[at - 1]) << 8 | whole[at])
+        sums = np.stack([np.bincount(owner, cost[:, k], len(texts)) for k in range(len(self.languages))], axis=1)
+        return sums, np.bincount(owner, self.background[whole[at]], len(texts))
+
 
 def _count_grams(labelled: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """(language, four bytes as one number, count) over ``labelled``."""
@@ -78,24 +122,14 @@ def _count_grams(labelled: DataFrame, lang_col: str, text_col: str) -> DataFrame
     return grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _mix(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities of contexts (rows) from counts and those of the shorter contexts."""
-    seen = counts > 0
-    kinds, total = seen.sum(-1, keepdims=True), counts.sum(-1, keepdims=True)
-    rest = np.where(seen, 0, lower)
-    left = rest.sum(-1, keepdims=True)
-    escape = np.where(left > 0, kinds / np.maximum(total + kinds, 1), 0)  # no escape where all symbols were seen
-    own = counts / np.maximum(total, 1) * (1 - escape)
-    return np.where(total > 0, own + escape * rest / np.where(left > 0, left, 1), lower)
-
-
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows_per_language: int = 1500, most_symbols: int = 96, most_contexts: int = 12_000) -> Model | None:
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows_per_language: int = 1500) -> Model | None:
     """The model of the languages in ``labelled``; None if it has no usable row.
 
     It is fitted on about ``rows_per_language`` rows of each language, chosen by
-    a hash of the id: that is the documented bound of the sample. The
-    ``most_symbols - 1`` most frequent bytes have symbols of their own, and the
-    ``most_contexts`` most frequent contexts of three have rows of their own.
+    a hash of the id: that is the documented bound of the sample, of which every
+    byte and every context counts. Rows with a null language or an empty text
+    are left out, equal rows count each, and the order of rows does not matter.
+    The driver holds the distinct four-byte strings of the samples.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     sizes = {lang: n for lang, n in usable.groupBy(lang_col).count().collect()}
@@ -107,48 +141,28 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     table: pd.DataFrame = _count_grams(usable.where(chosen), lang_col, text_col).toPandas()
     if not len(table):
         return None
-    languages = sorted(table["lang"].unique())
-    lang = table["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-    gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
-
-    frequency = np.bincount(gram & 255, weights=n, minlength=256)
-    common = np.lexsort((np.arange(256), -frequency))[: most_symbols - 1]
-    common = common[frequency[common] > 0]
-    symbol = np.zeros(256, dtype=np.int64)
-    symbol[common] = np.arange(1, len(common) + 1)
-    size, kinds = len(common) + 1, len(languages)
-
-    a, b, c, d = (symbol[gram >> shift & 255] for shift in (24, 16, 8, 0))
-    context = (a * size + b) * size + c
-    weight = np.bincount(context, weights=n, minlength=size**3)
-    deep = np.lexsort((np.arange(size**3), -weight))[:most_contexts]
-    deep = np.sort(deep[weight[deep] >= 8])
-    index = np.full(size**3, -1, dtype=np.int64)
-    index[deep] = np.arange(len(deep))
-
-    bits = np.empty(((size**2 + len(deep)) * size, kinds), dtype=np.float32)
-    for k in range(kinds):
-        mine = lang == k
-        y, z, w, m, ctx = b[mine], c[mine], d[mine], n[mine], context[mine]
-        p0 = _mix(np.bincount(w, weights=m, minlength=size), np.full(size, 1 / size))
-        p1 = _mix(np.bincount(z * size + w, weights=m, minlength=size**2).reshape(size, size), np.broadcast_to(p0, (size, size)))
-        c2 = np.bincount((y * size + z) * size + w, weights=m, minlength=size**3).reshape(size, size, size)
-        p2 = _mix(c2, np.broadcast_to(p1, (size, size, size)))
-        known = index[ctx] >= 0
-        c3 = np.bincount(index[ctx[known]] * size + w[known], weights=m[known], minlength=len(deep) * size).reshape(len(deep), size)
-        p3 = _mix(c3, p2.reshape(size**2, size)[deep % size**2])
-        bits[:, k] = -np.log2(np.concatenate([p2.reshape(-1), p3.reshape(-1)]))
-    row = np.where(index >= 0, size**2 + index, np.arange(size**3) % size**2).astype(np.int32)
-    return Model(languages, symbol, size, row, bits)
+    return model_of({lang: (part["gram"].to_numpy(), part["n"].to_numpy().astype(float)) for lang, part in table.groupby("lang")})
+
+
+def model_of(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The model of the four-byte strings, with their counts, of each language."""
+    languages = sorted(counts)
+    trees = [Tree(*counts[lang]) for lang in languages]
+    gram = np.unique(np.concatenate([counts[lang][0] for lang in languages]))
+    bits = np.stack([-np.log2(t.probability(gram)) for t in trees], axis=1).astype(np.float32)
+    return Model(languages, trees, -np.log2(np.mean([t.bytes for t in trees], axis=0)), gram, bits)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", chunk_chars: int = 400_000) -> DataFrame:
     """``docs`` with ``lang_pred`` (string), ``score`` (0 to 1) and ``bits_per_byte``.
 
     The language with the shortest code length wins, the first in order on a
-    tie; the score is its posterior probability under equal priors. A null text,
-    or one without a letter, is ``und`` with score 0, as is every text without
-    a model. Other columns pass through, save those with the new names.
+    tie; the score is its posterior probability under equal priors, among all
+    languages and the background, so a text that no language describes better
+    than bytes without order do has a small score. A null text, or one without
+    a letter, is ``und`` with score 0, as is every text without a model. Long
+    texts are read whole, repeated rows each for themselves; other columns pass
+    through, save those with the new names.
     """
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -161,10 +175,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", chunk
         for first, after in chunks([texts[i] for i in known], chunk_chars):
             own = known[first:after]
             data = [_bytes(texts[i]) for i in own]
-            bits = model.code_lengths(data)
+            bits, background = model.code_lengths(data)
             best = bits.argmin(axis=1)
-            gap = bits - bits[np.arange(len(own)), best][:, None]
-            posterior = 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
+            gap = np.concatenate([bits, background[:, None]], axis=1) - bits[np.arange(len(own)), best][:, None]
+            posterior = 1 / np.exp2(-np.clip(gap, -1000, 1000)).sum(axis=1)
             for i, k, p, total, x in zip(own, best.tolist(), posterior.tolist(), bits.min(axis=1).tolist(), data, strict=True):
                 lang[i], score[i], rate[i] = model.languages[k], p, total / len(x)
         return {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "bits_per_byte": pa.array(rate, pa.float64())}

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on the smallest table, and on awkward rows."""
 
 import collections
+import functools
 import hashlib
 import re
 import zlib
@@ -318,19 +319,68 @@ def test_language_id(spark, sf_dir, odd):
     held = out.where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in held) > 0.98 * len(held)
     model = langid.fit(docs.where(langid.training_fold()))
-    n = model.n
-    assert np.allclose(np.exp2(-model.bits.reshape(-1, n, len(model.languages))).sum(axis=1), 1, atol=1e-4)
-    texts = ["The thing", "l'eau ré", ""]
-    whole = model.code_lengths([t.encode() for t in texts])
-    for t, bits in zip(texts, whole, strict=True):
-        s = model.symbol[np.frombuffer(b"   " + t.encode(), dtype=np.uint8)]
-        slow = sum((model.bits[model.row[(s[i - 3] * n + s[i - 2]) * n + s[i - 1]] * n + s[i]].astype(float) for i in range(3, len(s))), np.zeros(len(model.languages)))
-        assert np.allclose(bits, slow, rtol=1e-4)
     got = collections.Counter((r.doc_id, r.lang_pred == "und") for r in langid.identify(odd, model).collect())
     assert got[(1, True)] and got[(2, True)] and got[(5, True)] and got[(6, True)] and got[(3, False)] == 2
     assert langid.fit(odd.limit(0)) is None and langid.identify(odd, None).where("lang_pred <> 'und'").count() == 0
 
 
+def plain_model(counts):
+    """Probability of a byte after a context, by partial matching with exclusion, straight from the counts of every context."""
+
+    @functools.cache
+    def probability(context, byte):
+        if context is None:
+            return 1 / 256
+        shorter = context[1:] if context else None
+        seen = counts.get(context)
+        if not seen:
+            return probability(shorter, byte)
+        kinds, total = len(seen), sum(seen.values())
+        if byte in seen:
+            return seen[byte] / total * (1 - kinds / (total + kinds))
+        return kinds / (total + kinds) * probability(shorter, byte) / sum(probability(shorter, b) for b in range(256) if b not in seen)
+
+    return probability
+
+
+def test_code_lengths_are_those_of_plain_partial_matching(spark):
+    samples = {"a": ["The cat and the hat", "that"], "b": ["Größe ist größer als Ñandú", "что это"], "c": ["x"]}
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in samples.items() for t in ts)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    counts = {}
+    for lang, texts in samples.items():
+        own = counts[lang] = {}
+        for text in texts:
+            data = b"   " + text.lower().encode()
+            for i in range(3, len(data)):
+                for k in range(4):
+                    own.setdefault(data[i - k : i], collections.Counter())[data[i]] += 1
+    plain = {lang: plain_model(c) for lang, c in counts.items()}
+    texts = ["The größe", "что", "", "zzz\x00", "x"]
+    bits, background = model.code_lengths([t.lower().encode() for t in texts])
+    for t, got in zip(texts, bits, strict=True):
+        data = b"   " + t.lower().encode()
+        for lang, x in zip(model.languages, got, strict=True):
+            want = sum(-np.log2(plain[lang](data[i - 3 : i], data[i])) for i in range(3, len(data)))
+            assert abs(want - x) < 1e-3 * max(1, want)
+    for context in (b"the", b"\xd1\x87\xd1", b"\x00\x01\x02"):
+        grams = (np.frombuffer(context, dtype=np.uint8).astype(np.int64) * [1 << 24, 1 << 16, 1 << 8]).sum() + np.arange(256)
+        assert np.allclose(np.exp2(-model.costs(grams)).sum(axis=0), 1, atol=1e-5)
+    assert np.isclose(np.exp2(-model.background).sum(), 1) and background[2] == 0
+
+
+def test_scores_do_not_depend_on_batches_and_doubt_noise(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    draw = np.random.default_rng(2)
+    noise = "".join(chr(c) for c in draw.integers(33, 127, 400))
+    rows = [(1, "the and of that"), (2, "und der die das"), (3, noise), (4, "the " * 150_000), (5, "le")]
+    one = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model).collect()}
+    for chunk in (1, 30):
+        assert {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model, chunk_chars=chunk).collect()} == one
+    assert one[3].score < 0.01 < 0.9 < one[1].score and (one[1].lang_pred, one[2].lang_pred) == ("en", "de")
+
+
 def bag(text):
     w = decontaminate.words_of(text)
     w = w + [b""] * (5 - len(w)) if 0 < len(w) < 5 else w
