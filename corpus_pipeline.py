@@ -9,7 +9,7 @@ from socspark.llm import decontaminate, langid, near_dup, packing, secrets
 from socspark.llm.shared import fresh, stored
 
 #: A document whose language has a smaller posterior than this is rejected.
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.2
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
