@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import annotate, chunks
+from .shared import annotate, chunks, set_aside, stored
 
 WINDOW = 10
 #: Bytes to word characters: A-Z become lower case; what is no letter, digit or non-ASCII byte becomes a space.
@@ -30,10 +30,14 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """The windows of some benchmark items over their own vocabulary."""
-
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
-        self.window, self.names = window, [name for name, _ in items]
+    """The windows of some benchmark items over their own vocabulary; items of equal words are one."""
+
+    def __init__(self, named: list[tuple[str | None, list[bytes]]], window: int):
+        alike: dict[bytes, list[str]] = {}
+        for name, words in named:
+            alike.setdefault(b" ".join(words), []).extend([name] if name is not None else [])
+        items = [(names, words.split()) for words, names in alike.items()]
+        self.window, self.names = window, [sorted(set(names)) for names, _ in items]
         self.vocabulary: dict[bytes, int] = {}
         low, high, self.item, self.place, self.length = [], [], [], [], []
         shortest: dict[int, int] = {}
@@ -87,7 +91,7 @@ def _longest(place: np.ndarray, window: np.ndarray, block: Block) -> tuple[np.nd
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, most_chars: int) -> Iterator[Block]:
-    """The benchmark in blocks of at most ``most_chars`` characters (or one longer item); only one is held at a time."""
+    """The benchmark in blocks of at most ``most_chars`` characters, or one longer item."""
     items, size = [], 0
     for name, text in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
         if items and size + len(text or "") > most_chars:
@@ -107,6 +111,7 @@ def find_contamination(
     window: int = WINDOW,
     block_chars: int = 4_000_000,
     shard_chars: int = 16_000_000,
+    blocks_at_once: int = 4,
 ) -> DataFrame:
     """``docs`` with ``n_words, n_hit, n_items, items, longest_match, longest_at, contaminated``.
 
@@ -118,12 +123,16 @@ def find_contamination(
     which starts at word ``longest_at`` (-1 if there is none). Null and empty
     texts have no words; an empty benchmark hits nothing; repeated rows and
     items count once each for their row or id; other columns pass through, save
-    those with the new names, which are replaced.
+    those with the new names, which are replaced. The benchmark goes to the
+    tasks in blocks of ``block_chars``; after every ``blocks_at_once`` of them
+    the documents are written and the blocks leave the memory, so that what is
+    broadcast does not grow with the benchmark.
     """
     spark = docs.sparkSession
     fields = [T.StructField("_ranges", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType()))]
     counts = [T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "longest_match", "longest_at")]
-    out = docs.drop("n_items", "items", "contaminated").withColumns({"_ranges": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
+    docs, back = set_aside(docs.drop("n_items", "items", "contaminated"), "_ranges", "_items")
+    out = docs.withColumns({"_ranges": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
 
     def scan(shared):
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -148,8 +157,7 @@ def find_contamination(
                     owner = np.searchsorted(begins, start, side="right") - 1
                     for d, s, e, k in zip(owner.tolist(), start.tolist(), end.tolist(), item.tolist(), strict=True):
                         ranges[first + d] += [s - begins[d], e - begins[d]]
-                        if block.names[k] is not None:
-                            items[first + d].append(block.names[k])
+                        items[first + d] += block.names[k]
                 rows += sizes
             hit, longest, at = [], [], []
             for k, bounds in enumerate(ranges):
@@ -174,9 +182,17 @@ def find_contamination(
 
         return run
 
+    held = []
     for block in benchmark_blocks(benchmark, item_id_col, item_text_col, window, block_chars):
-        out = annotate(out, scan(spark.sparkContext.broadcast(block)), fields + counts)
-    return out.withColumns({"items": F.array_sort("_items"), "n_items": F.size("_items").cast("long"), "contaminated": F.col("n_hit") > 0}).drop("_ranges", "_items")
+        if len(held) == blocks_at_once:
+            out = stored(out, "decontamination")
+            for old in held:
+                old.destroy()
+            held = []
+        held.append(spark.sparkContext.broadcast(block))
+        out = annotate(out, scan(held[-1]), fields + counts)
+    out = out.withColumns({"items": F.array_sort("_items"), "n_items": F.size("_items").cast("long"), "contaminated": F.col("n_hit") > 0})
+    return back(out.drop("_ranges", "_items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -22,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import set_aside
+
 ROUNDS = 8
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: Starts at the head of a run and never goes back into it, so long runs take one pass.
@@ -38,8 +40,8 @@ IN_RUN = "|".join(f"(?:{p})" for p in (DATE, SSN, PHONE))
 #: Usual layouts of cards. A stretch of another layout never takes a part of one of these.
 CARD = "[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
-#: Days of the date domain, from 1900-01-01, as a product of two numbers.
-DAYS = (270, 271)
+#: Days from 1900-01-01 to 2099-12-31, as a product of two numbers.
+DAYS = (17, 4297)
 
 
 def feistel(a: Column, b: Column, u: Column | int, v: Column | int, tweak: Column | str, key: str, invert: bool = False) -> Column:
@@ -191,8 +193,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", invert: bool
 
     A null text stays null and counts nothing. Values that are not valid in
     their format (a card whose check digit is wrong, a day that no month has)
-    stay. Dates from 1900 to 2099 count as personal, and a pseudonym may lie as
-    far as May 2100. A longer valid stretch wins over a card inside it; where one
+    stay. Dates from 1900 to 2099 count as personal, and so do their pseudonyms. A longer valid stretch wins over a card inside it; where one
     comes about by a pseudonym before one or three more digits (one in ten), that
     card cannot be undone. Repeated rows get equal results; other columns pass
     through, save those with the new names; an empty table stays empty.
@@ -200,7 +201,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", invert: bool
     text = F.col(text_col)
     names = [f"n_{k}" for k in KINDS]
     matches = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    out = docs.drop(*names, "_found", "_before")
+    out, back = set_aside(docs.drop(*names), "_found", "_before")
     has = text.rlike(PATTERN)
     run = lambda m: m.rlike("^[0-9 -]+$") & ~m.rlike(f"^(?:{IN_RUN})$")
     found = F.transform(matches, lambda m: F.when(run(m), pieces_of(m)).otherwise(F.array(_piece(m, kind_of(m)))))
@@ -208,4 +209,4 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", invert: bool
     pieces = F.zip_with("_before", "_found", lambda b, m: F.concat(b, F.when(m.isNull(), F.lit("")).otherwise(F.array_join(F.transform(m, lambda p: pseudonym(p["v"], p["k"], key, invert)), ""))))
     of_kind = lambda k: F.size(F.filter(F.flatten("_found"), lambda m: m["k"] == k)).cast("long")
     counts = {f"n_{k}": of_kind(k) for k in KINDS}
-    return out.withColumns({text_col: F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(text), **counts}).drop("_found", "_before")
+    return back(out.withColumns({text_col: F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(text), **counts}).drop("_found", "_before"))

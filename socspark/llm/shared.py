@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from socspark.plans.storage import shared_path, shared_root, stored
 
-__all__ = ["annotate", "chunks", "fresh", "hashed_share", "shared_path", "shared_root", "small_enough", "stored"]
+__all__ = ["annotate", "chunks", "fresh", "hashed_share", "set_aside", "shared_path", "shared_root", "small_enough", "stored"]
 
 
 def annotate(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], fields: list[T.StructField], drop: Iterable[str] = ()) -> DataFrame:
@@ -62,6 +62,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns of the given names renamed, and a function that gives them their names back."""
+    wanted = {n.lower() for n in names}
+    moved = [c for c in df.columns if c.lower() in wanted]
+    to = dict(zip(moved, fresh(df, *moved), strict=True))
+    return df.withColumnsRenamed(to), lambda out: out.withColumnsRenamed({v: k for k, v in to.items()})
+
+
 def small_enough(df: DataFrame, most_bytes: int) -> bool:
     """Whether the text of all rows of a stored table is at most ``most_bytes`` long, so that it may be broadcast."""
     size = df.select(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"]

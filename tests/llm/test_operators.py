@@ -551,8 +551,8 @@ def test_decontamination(spark, odd):
     items = [(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "Short item"), (3, None), (4, "..."), (2, "Short item")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame([(1, "x ONE two three four five six seven eight nine ten, eleven y"), (2, "a short item short-item"), (3, None), (4, "one two three")], "doc_id long, text string")
-    for block in (10, 4_000_000):
-        got = {r.doc_id: (r.n_words, r.n_hit, r.items, r.longest_match, r.longest_at, r.contaminated) for r in decontaminate.find_contamination(docs, bench, block_chars=block).collect()}
+    for block in (1, 10, 4_000_000):
+        got = {r.doc_id: (r.n_words, r.n_hit, r.items, r.longest_match, r.longest_at, r.contaminated) for r in decontaminate.find_contamination(docs, bench, block_chars=block, blocks_at_once=2).collect()}
         assert got == {1: (13, 11, ["1"], 11, 1, True), 2: (5, 4, ["2"], 2, 1, True), 3: (0, 0, [], 0, -1, False), 4: (3, 0, [], 0, -1, False)}
     assert decontaminate.decontaminate(docs, bench).columns == docs.columns
     assert decontaminate.find_contamination(odd, bench.limit(0)).where("contaminated").count() == 0
@@ -593,3 +593,35 @@ def test_pipeline(spark, sf_dir, texts):
     check_packing(got, {d: plain_mask(t, all_plain_spans(t, found)) for d, t in clean.items()})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
+
+
+def test_columns_of_any_name_pass_through(spark):
+    inner = "_words _lines _h1 _placed _found _before _ranges _items _pass _host".split()
+    docs = spark.createDataFrame([(1, "some words of a text", *inner)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in inner))
+    bench = spark.createDataFrame([(1, "words of")], "item_id long, text string")
+    for out in (quality_rules.judge_quality(docs), pii.pseudonymise(docs, "k"), decontaminate.find_contamination(docs, bench)):
+        assert out.select(*inner).first() == tuple(inner)
+    other = docs.withColumnRenamed("text", "body")
+    assert quality_rules.judge_quality(other, text_col="body").first().n_words == 5
+    assert pii.pseudonymise(other, "k", text_col="body").first().body == "some words of a text"
+
+
+def test_cascade_order_and_costs(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" + "#" * (i % 2) for k in range(30))) for i in range(40)], "doc_id long, text string")
+    rules = [quality_rules.Rule("never", F.lit(False)), quality_rules.Rule("half", F.col("n_symbols") > 10), quality_rules.Rule("same", F.col("n_symbols") > 5)]
+    order = quality_rules.estimate(quality_rules.measure(docs), rules)
+    assert order[0][0].name in ("half", "same") and order[0][2] == 0.5 and all(x[2] == 0 for x in order[1:]) and all(x[1] > 0 for x in order)
+
+
+def test_pii_of_the_registered_query_can_be_undone(spark, sf_dir, texts):
+    out = queries.op9_pii(spark, sf_dir).cache()
+    assert out.count() == len(texts)
+    kinds = [f"n_{k}" for k in pii.KINDS]
+    back = pii.pseudonymise(out.where("n_email = 0").select("doc_id", "text"), "registered-query", invert=True)
+    assert all(r.text == texts[r.doc_id] for r in back.collect())
+    for r in out.collect():
+        assert (r.text != texts[r.doc_id]) == (sum(r[k] for k in kinds) > 0)
+    every = spark.sql("SELECT explode(sequence(date'1900-01-01', date'2099-12-31')) AS d").select(F.col("d").cast("string").alias("text"))
+    masked = pii.pseudonymise(every, "k")
+    assert masked.where("n_date = 1").select("text").distinct().count() == every.count() == pii.DAYS[0] * pii.DAYS[1]
+    assert pii.pseudonymise(masked, "k", invert=True).select("text").exceptAll(every).count() == 0
