@@ -183,7 +183,7 @@ def indicator_of() -> Column:
 
 
 def extract_findings(tags: Column) -> Column:
-    return F.transform(F.filter(tags, lambda t: t.startswith("finding:")), lambda t: F.substring(t, 9, 100_000))
+    return F.transform(F.filter(tags, lambda t: t.startswith("finding:")), lambda t: F.substring(t, F.lit(9), F.length(t)))
 
 
 def severity_rank(severity: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +69,14 @@ def connectivity(projection: DataFrame, hosts: DataFrame) -> DataFrame:
     return degree.join(F.broadcast(peak)).select("id", "degree", F.round(F.col("degree") / F.col("peak"), 6).alias("score"))
 
 
-def hops(projection: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
-    """GRA-3: (start, id, hops) by level-synchronous search from every start at once; unreachable pairs are absent."""
+def hops(projection: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """GRA-3: (start, id, hops) by level-synchronous search from every start at once; unreachable pairs, and those farther than ``most``, are absent."""
     both = stored(projection.select(F.col("a").alias("id"), F.col("b").alias("nbr")).union(projection.select(F.col("b").alias("id"), F.col("a").alias("nbr"))).distinct(), "adjacency")
     known = stored(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops")).distinct(), "hops")
     front = known
-    for level in range(1, most + 1):
+    for level in itertools.count(1):
+        if most is not None and level > most:
+            break
         ahead = front.join(both, "id").select("start", F.col("nbr").alias("id")).distinct()
         front = stored(ahead.join(known.select("start", "id"), ["start", "id"], "left_anti").withColumn("hops", F.lit(level)), "frontier")
         if front.isEmpty():
@@ -81,13 +85,15 @@ def hops(projection: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
     return known
 
 
-def attack_path(projection: DataFrame, src: str, dst: str, most: int = 20) -> DataFrame:
+def attack_path(projection: DataFrame, src: str, dst: str, most: int | None = None) -> DataFrame:
     """GRA-4: the shortest path from ``src`` to ``dst`` that is first in order, as an array; no row if there is none."""
     both = stored(projection.select(F.col("a").alias("id"), F.col("b").alias("nbr")).union(projection.select(F.col("b").alias("id"), F.col("a").alias("nbr"))).distinct(), "adjacency")
     spark = projection.sparkSession
     front = spark.createDataFrame([(src, [src])], "id string, path array<string>")
     seen = front
-    for _ in range(most):
+    for level in itertools.count():
+        if level == most:
+            break
         if not front.where(F.col("id") == dst).isEmpty():
             return front.where(F.col("id") == dst).select("path")
         ahead = front.join(both, "id").select(F.col("nbr").alias("id"), F.concat("path", F.array("nbr")).alias("path")).groupBy("id").agg(F.min("path").alias("path"))

@@ -31,20 +31,6 @@ class LateralConfig:
     actions: tuple[str, ...] = ("RDP_LOGIN", "SMB_AUTH", "NETWORK_LOGON", "PRIVILEGED_LOGIN", "REMOTE_SERVICE_EXEC")
 
 
-@dataclass(frozen=True)
-class PredictionConfig:
-    """Points of the six factors of a next-target score, and their possible sum."""
-
-    access: float = 30.0
-    privilege: float = 25.0
-    connectivity: float = 20.0
-    criticality: float = 20.0
-    recent: float = 15.0
-    proximity: float = 20.0
-    ceiling: float = 140.0
-    top: int = 4
-
-
 @dataclass(frozen=True)
 class DetectionConfig:
     dns_count: int = 5

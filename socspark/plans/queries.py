@@ -268,12 +268,12 @@ def entity_nodes(spark, sf_dir):
     return graph.entity_nodes(graph.entity_edges(security_events(spark, sf_dir)))
 
 
-TRADE = "pr AS (SELECT DISTINCT 's' || l_suppkey AS a, 'c' || o_custkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49)"
+TRADE = "pr AS (SELECT DISTINCT 's' || l_suppkey AS a, 'c' || o_custkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def _trade(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Suppliers and customers as two kinds of nodes, linked by large order lines."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("src"))
+    """Suppliers and customers as two kinds of nodes, linked by order lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("src"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), "o_custkey").alias("dst"))
     edges = lines.join(orders, "l_orderkey").select("src", "dst", F.lit("CONNECTED_TO").alias("kind"))
     hosts = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -286,12 +286,12 @@ def connectivity_scores(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {TRADE}, bo AS (SELECT a AS x, b AS y FROM pr UNION SELECT b, a FROM pr), w AS (SELECT 's1' AS id, 0 AS hops WHERE EXISTS (SELECT 1 FROM bo WHERE x = 's1') UNION SELECT y, hops + 1 FROM w JOIN bo ON x = id WHERE hops < 4)
+    f"""WITH RECURSIVE {TRADE}, bo AS (SELECT a AS x, b AS y FROM pr UNION SELECT b, a FROM pr), w AS (SELECT 's1' AS id, 0 AS hops WHERE EXISTS (SELECT 1 FROM bo WHERE x = 's1') UNION SELECT y, hops + 1 FROM w JOIN bo ON x = id WHERE hops < 8)
 SELECT 's1' AS start, id, min(hops) AS hops FROM w GROUP BY id"""
 )
 def hops_from_start(spark, sf_dir):
     projection, hosts = _trade(spark, sf_dir)
-    return graph.hops(projection, hosts.where("id = 's1'"), most=4)
+    return graph.hops(projection, hosts.where("id = 's1'"))
 
 
 @query(f"WITH {EV} SELECT host, count(*) AS events, count(*) FILTER (WHERE suspicious) AS suspicious, min(us) AS first_us, max(us) AS last_us, count(DISTINCT user) AS users FROM (SELECT unnest({HOSTS}) AS host, suspicious, epoch_us(timestamp) AS us, user FROM ev) GROUP BY host")
@@ -409,11 +409,9 @@ def apply_feedback(spark, sf_dir):
 @query("""WITH c AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) SELECT conv_id, count(*) AS entries, min(CASE WHEN turn <> coalesce(p + 1, turn) THEN turn END) AS first_broken, min(CASE WHEN turn <> coalesce(p + 1, turn) THEN turn END) IS NULL AS intact FROM c GROUP BY conv_id""")
 def verify_hash_chain(spark, sf_dir):
     """Entries are sealed in order of turn, then checked; a missing turn is the first broken entry."""
-    from pyspark.sql.window import Window
-
     body = F.concat_ws("|", "role", F.coalesce("text", F.lit("")))
-    turns = F.array_sort(F.collect_list(F.struct("turn", body.alias("body"))).over(Window.partitionBy("conv_id")))
-    sealed = table(spark, sf_dir, "conversations").select("conv_id", turns.alias("x")).dropDuplicates(["conv_id"])
+    turns = F.array_sort(F.collect_list(F.struct("turn", body.alias("body"))))
+    sealed = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("x"))
     start = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<turn:bigint,prev:string,hash:string,body:string>>").alias("out"))
 
     def seal(acc, x):

@@ -441,6 +441,12 @@ def cef(rows: DataFrame) -> DataFrame:
 AUDIT_PAIR = r"(\w+)=(\"[^\"]*\"|[^\s'\"]+)"
 
 
+def _numbered(keys):
+    """The names ``a0``, ``a1``, ... among ``keys``, in order of their numbers."""
+    found = F.filter(keys, lambda k: k.rlike("^a[0-9]{1,9}$"))
+    return F.array_sort(F.transform(found, lambda k: F.struct(F.substring(k, F.lit(2), F.length(k)).cast("int").alias("n"), k.alias("name"))))
+
+
 def auditd(rows: DataFrame) -> DataFrame:
     """NORM-10: commands, account changes and sign-ins of Linux hosts."""
     line = field("message", "raw")
@@ -455,7 +461,7 @@ def auditd(rows: DataFrame) -> DataFrame:
             "_at": F.nullif(F.regexp_extract(stamp, r"audit\((\d+(?:\.\d+)?):\d+\)", 1), F.lit("")),
             "_serial": F.nullif(F.regexp_extract(stamp, r"audit\(\d+(?:\.\d+)?:(\d+)\)", 1), F.lit("")),
             "_host": F.when(~name.isin("?", "(NONE)"), name),
-            "_args": F.array_compact(F.array(*[C.hex_decode(F.col("_f")[f"a{i}"]) for i in range(64)])),
+            "_args": F.array_compact(F.transform(_numbered(F.map_keys("_f")), lambda k: C.hex_decode(F.col("_f")[k["name"]]))),
             "_addr": F.coalesce(field("addr"), F.lit("")),
         }
     )

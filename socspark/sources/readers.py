@@ -70,10 +70,21 @@ def unwrap_search_export(lines: DataFrame, source_log: str = "search") -> DataFr
     return _placed(kept.select(F.when(inside.rlike(r"^\s*\{"), inside).otherwise(F.to_json(F.struct(F.from_json(result, "map<string,string>").alias("result")))).alias("raw"), F.lit(source_log).alias("source_log")))
 
 
-def incremental_pull(df: DataFrame, time: str, bookmark, most: int) -> tuple[DataFrame, DataFrame]:
-    """SRC-9: the oldest ``most`` rows after the bookmark, and a frame with the next bookmark."""
-    page = df.where(F.col(time) > F.lit(bookmark)).orderBy(time).limit(most)
-    return page, page.agg(F.coalesce(F.max(time), F.lit(bookmark)).alias("bookmark"))
+def incremental_pull(df: DataFrame, time: str, bookmark, most: int, id_col: str | None = None, last_id=None) -> tuple[DataFrame, DataFrame]:
+    """SRC-9: the oldest ``most`` rows after the bookmark, and a frame with the next bookmark.
+
+    With ``id_col`` rows of one time go on in order of their ids, and the next
+    bookmark has a ``last_id``, so that a page may end between them.
+    """
+    after = F.col(time) > F.lit(bookmark)
+    if id_col is None:
+        page = df.where(after).orderBy(time).limit(most)
+        return page, page.agg(F.coalesce(F.max(time), F.lit(bookmark)).alias("bookmark"))
+    if last_id is not None:
+        after = after | ((F.col(time) == F.lit(bookmark)) & (F.col(id_col) > F.lit(last_id)))
+    page = df.where(after).orderBy(time, id_col).limit(most)
+    last = page.agg(F.max(F.struct(F.col(time).alias("t"), F.col(id_col).alias("i"))).alias("x"))
+    return page, last.select(F.coalesce("x.t", F.lit(bookmark)).alias("bookmark"), F.coalesce("x.i", F.lit(last_id)).alias("last_id"))
 
 
 NEW_SYSLOG = r"^<\d{1,3}>1 (\S+) (\S+) (\S+) \S+ \S+ (?:-|(?:\[[^\]]*\])+) ?(.*)$"

@@ -116,3 +116,24 @@ def test_page_after_a_bookmark(spark):
     df = spark.range(10).select(F.col("id").alias("t"))
     page, bookmark = readers.incremental_pull(df, "t", 3, 2)
     assert [r.t for r in page.collect()] == [4, 5] and bookmark.first().bookmark == 5
+
+
+def test_pages_go_on_between_rows_of_one_time(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "d")], "t int, id string")
+    page, mark = readers.incremental_pull(rows, "t", 0, 2, "id")
+    b = mark.first()
+    rest, last = readers.incremental_pull(rows, "t", b.bookmark, 9, "id", b.last_id)
+    assert [r.id for r in page.collect() + rest.collect()] == ["a", "b", "c", "d"] and tuple(last.first()) == (2, "d")
+
+
+def test_far_hosts_and_late_arguments_are_not_cut(spark):
+    from socspark.operators import graph
+
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(24)], "a string, b string")
+    start = spark.createDataFrame([("n00",)], "id string")
+    assert graph.hops(chain, start).agg({"hops": "max"}).first()[0] == 24
+    assert graph.hops(chain, start, most=3).count() == 4
+    assert len(graph.attack_path(chain, "n00", "n24").first().path) == 25 and graph.attack_path(chain, "n00", "n24", most=5).count() == 0
+    keys = [f"a{i}" for i in range(70)][::-1] + ["argc", "auid"]
+    got = spark.createDataFrame([(keys,)], "k array<string>").select(N._numbered(F.col("k"))["name"]).first()[0]
+    assert got == [f"a{i}" for i in range(70)]
