@@ -37,6 +37,8 @@ PLACES = 128
 BANDS, ROWS = 25, 5
 #: Nodes of a bucket that one part of it holds, about.
 PART_ROWS = 256
+#: Tasks that the nodes of one family meet its shape in.
+SHAPE_COPIES = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -298,7 +300,9 @@ def verified_blocks(live: DataFrame, bags: DataFrame, block_rows: int = 128) ->
     nodes = live.select("node", "class").distinct().join(connected_components(stars), "node")
     sizes = nodes.groupBy("component", "class").agg(F.count(F.lit(1)).alias("n"))
     shape = sizes.groupBy("component").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.ceil(F.max("n") / block_rows).cast("int").alias("a"), F.ceil((F.sum("n") - F.max("n")) / block_rows).cast("int").alias("b"))
-    parts = nodes.join(shape, "component").where("b > 0").withColumn("is_main", F.col("class") == F.col("main"))
+    # A hot family is dealt to several tasks, each with a copy of its one row of shape.
+    copies = shape.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SHAPE_COPIES - 1))))
+    parts = nodes.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SHAPE_COPIES)).cast("int")).join(copies, ["component", "part"]).drop("part").where("b > 0").withColumn("is_main", F.col("class") == F.col("main"))
     parts = parts.withColumn("side", F.when(F.col("is_main"), F.pmod(F.xxhash64("node"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("node"), F.col("b"))).cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.when(F.col("is_main"), F.col("a")).otherwise(0), F.col("a") + F.col("b") - 1)))
     units = parts.select("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "class")
