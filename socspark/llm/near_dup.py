@@ -290,13 +290,14 @@ def links_within(nodes: list, classes: list, side: list[int], bags: list[Bag], l
 
 
 def verified_blocks(live: DataFrame, bags: DataFrame, block_rows: int = 128) -> DataFrame:
-    """(src, dst): verified links between the classes of each bucket family of ``live`` (band, node, class).
+    """(src, dst): verified links between the classes of each bucket family of ``live`` (band, node, class, parts).
 
     The nodes of a family's largest class and all its others are cut into blocks
     of about ``block_rows`` by a hash of the node; every block of others meets
     every block, and blocks of the largest class do not meet each other.
     """
-    stars = live.groupBy("band").agg(F.min("node").alias("src")).join(live.select("band", F.col("node").alias("dst")), "band").select("src", "dst").distinct()
+    heads = live.groupBy("band").agg(F.min("node").alias("src"), F.first("parts").alias("parts"))
+    stars = by_bucket(live, heads).select("src", F.col("node").alias("dst")).distinct()
     nodes = live.select("node", "class").distinct().join(connected_components(stars), "node")
     sizes = nodes.groupBy("component", "class").agg(F.count(F.lit(1)).alias("n"))
     shape = sizes.groupBy("component").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.ceil(F.max("n") / block_rows).cast("int").alias("a"), F.ceil((F.sum("n") - F.max("n")) / block_rows).cast("int").alias("b"))
