@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from socspark.functions import columns as C
-from socspark.operators import techniques
+from socspark.operators import entities, graph, predict, techniques
 from socspark.operators.components import connected_components
 from socspark.operators.correlate import correlate_pairs, lateral_movement
 from socspark.plans.config import CorrelationConfig
@@ -109,11 +109,26 @@ def roll_up(rows: DataFrame, links: DataFrame, movements: DataFrame, top_predict
     return out.select("chain_id", "chain_key", "risk", severity.alias("severity"), "status", "event_count", F.coalesce("link_count", F.lit(0)).cast("long").alias("link_count"), "mean_score", C.confidence_from_score(F.coalesce("mean_score", F.lit(0.0))).alias("confidence"), "lateral_count", "first_us", "last_us", "users", "initial_host", "current_host", "current_tactic", "reached", "targeted")
 
 
-def build_chains(events: DataFrame, config: CorrelationConfig = CorrelationConfig()) -> dict[str, DataFrame]:
-    """GRA-6: links, movements, members, chain events, stages and chains. Events and links are written once."""
+def build_chains(events: DataFrame, config: CorrelationConfig = CorrelationConfig(), hosts: DataFrame | None = None, users: DataFrame | None = None, topology: DataFrame | None = None) -> dict[str, DataFrame]:
+    """GRA-6: links, movements, members, chain events, stages, chains and root causes. Events and links are written once.
+
+    With an inventory of ``hosts`` and ``users`` the next ``targets`` of the
+    chains are scored too, and the best one counts in the risk; ``topology`` adds
+    known links to the observed ones, as entity edges.
+    """
     events = stored(events, "events")
     links = stored(correlate_pairs(events, config), "links")
     movements = stored(lateral_movement(events, correlation=config), "movements")
     members = stored(chain_members(events, links, movements, config.min_chain_events), "members")
     rows = stored(chain_events(events, members), "chain-events")
-    return {"events": events, "links": links, "movements": movements, "members": members, "rows": rows, "stages": chain_stages(rows), "chains": roll_up(rows, links, movements)}
+    stages, chains, targets = chain_stages(rows), roll_up(rows, links, movements), None
+    if hosts is not None and users is not None:
+        chains = stored(chains, "chains")
+        edges = graph.entity_edges(events)
+        known = hosts.select(F.concat(F.lit("host:"), F.upper("name")).alias("id")).distinct()
+        projection = stored(graph.host_projection(edges if topology is None else edges.unionByName(topology), known), "projection")
+        targets = stored(predict.score_targets(rows, chains, hosts, users, projection, predict.observed_access(events)), "targets")
+        chains = roll_up(rows, links, movements, targets)
+    built = {"events": events, "links": links, "movements": movements, "members": members, "rows": rows, "stages": stages, "chains": chains}
+    built["root_causes"] = entities.root_cause(rows, stages, chains, targets)
+    return built if targets is None else built | {"targets": targets}

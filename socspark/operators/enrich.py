@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,11 +61,34 @@ def auth_failures(events: DataFrame, config: DetectionConfig = DetectionConfig()
     ).select(*events.columns)
 
 
+def _repeats(rows: DataFrame, gap: int) -> DataFrame:
+    """(event_id, of): logons at most ``gap`` microseconds after the last kept one of the same account and host.
+
+    An account and host are one sorted run, of which a batch and the last kept
+    logon are in memory.
+    """
+    runs = rows.select("user", "_host", "_us", "event_id").repartition("user", "_host").sortWithinPartitions("user", "_host", "_us", "event_id")
+
+    def fold(batches):
+        key, kept_us, kept_id = None, 0, None
+        for batch in batches:
+            found, of = [], []
+            for user, host, us, event_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (user, host) != key or us - kept_us > gap:
+                    key, kept_us, kept_id = (user, host), us, event_id
+                else:
+                    found.append(event_id)
+                    of.append(kept_id)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(of, pa.string())], names=["event_id", "of"])
+
+    return runs.mapInArrow(fold, "event_id string, of string")
+
+
 def suppress_privileged(events: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     """WIN-1: privileged logons of service accounts, unnamed accounts and console users, and repeats of the last kept one.
 
     Only privileged and console rows are shuffled for the interval test, which
-    is a range window; repeats are folded per (account, host) in time order.
+    is a range window; repeats are found in one pass over each (account, host) in time order.
     """
     privileged = F.col("action") == "PRIVILEGED_LOGIN"
     console = (
@@ -87,13 +111,9 @@ def suppress_privileged(events: DataFrame, config: DetectionConfig = DetectionCo
     )
     rows = rows.withColumn("_why", why)
     gap = config.privileged_repeat_seconds * 1_000_000
-    ordered = F.array_sort(F.collect_list(F.struct("_us", "event_id")))
-    start = F.struct(F.lit(None).cast("long").alias("t"), F.lit(None).cast("string").alias("id"), F.array().cast("array<struct<event_id:string,of:string>>").alias("out"))
-    near_kept = lambda acc, x: x["_us"] - acc["t"] <= gap
-    step = lambda acc, x: F.when(near_kept(acc, x), F.struct(acc["t"].alias("t"), acc["id"].alias("id"), F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), acc["id"].alias("of")))).alias("out"))).otherwise(F.struct(x["_us"].alias("t"), x["event_id"].alias("id"), acc["out"].alias("out")))
-    repeats = rows.where("_why is null").groupBy("user", "_host").agg(ordered.alias("_x")).select(F.explode(F.aggregate("_x", start, step, lambda acc: acc["out"])).alias("r"))
+    repeats = _repeats(rows.where("_why is null"), gap)
     minutes = config.privileged_repeat_seconds // 60
-    marks = rows.where("_why is not null").select("event_id", "_why").unionByName(repeats.select("r.event_id", F.concat(F.lit("repeat of "), F.col("r.of"), F.lit(f" (same account and host within {minutes} minutes)")).alias("_why")))
+    marks = rows.where("_why is not null").select("event_id", "_why").unionByName(repeats.select("event_id", F.concat(F.lit("repeat of "), F.col("of"), F.lit(f" (same account and host within {minutes} minutes)")).alias("_why")))
     out = events.join(marks, "event_id", "left")
     return out.withColumn("suppressed", F.when(privileged, F.col("_why")).otherwise(F.col("suppressed"))).select(*events.columns)
 

@@ -66,13 +66,13 @@ def ordered_hosts(spark, sf_dir):
 
 @query(
     f"""WITH {EV}, p AS (SELECT 'user' || n_nationkey AS user, n_regionkey / 4 AS privilege, n_regionkey >= 3 AS is_privileged FROM nation), v AS (SELECT user, count(*) AS events FROM ev WHERE user IS NOT NULL GROUP BY user), k AS (SELECT DISTINCT user FROM ev WHERE suspicious AND action = 'RDP_LOGIN' AND user IS NOT NULL)
-SELECT coalesce(v.user, p.user) AS user, events, coalesce(privilege, 0.0) AS privilege, coalesce(is_privileged, false) AS is_privileged, k.user IS NOT NULL AS compromised FROM v FULL JOIN p ON p.user = v.user LEFT JOIN k ON k.user = coalesce(v.user, p.user)"""
+SELECT coalesce(v.user, p.user) AS user, coalesce(events, 0) AS events, coalesce(privilege, 0.0) AS privilege, coalesce(is_privileged, false) AS is_privileged, k.user IS NOT NULL AS compromised FROM v FULL JOIN p ON p.user = v.user LEFT JOIN k ON k.user = coalesce(v.user, p.user)"""
 )
 def account_views(spark, sf_dir):
     events = security_events(spark, sf_dir)
     held = events.where("suspicious AND action = 'RDP_LOGIN' AND user IS NOT NULL").select("user")
     out = entities.with_account_facts(views.user_views(events), inventory(spark, sf_dir)[1], held)
-    return entities.order_accounts(out).select("user", "events", "privilege", "is_privileged", "compromised")
+    return entities.order_accounts(out).select("user", F.coalesce("events", F.lit(0)).alias("events"), "privilege", "is_privileged", "compromised")
 
 
 @query(f"WITH {EV}, {INV}, {ACCESS} SELECT * FROM acc")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from socspark.functions import columns as C
-from socspark.operators import chains, correlate, detect, enrich, graph, techniques, views
+from socspark.operators import chains, correlate, detect, enrich, findings, graph, techniques, views
 from socspark.plans.schemas import NOTABLE_ACTIONS
 from socspark.plans.storage import stored
 
@@ -406,21 +406,17 @@ def apply_feedback(spark, sf_dir):
     return detect.apply_feedback(events, rejected).select("event_id", F.col("suppressed").isNotNull().alias("suppressed"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) SELECT conv_id, count(*) AS entries, min(CASE WHEN turn <> coalesce(p + 1, turn) THEN turn END) AS first_broken, min(CASE WHEN turn <> coalesce(p + 1, turn) THEN turn END) IS NULL AS intact FROM c GROUP BY conv_id""")
+@query(
+    """WITH b AS (SELECT conv_id, turn, coalesce(length(text) % 37 = 0, false) AS changed FROM conversations), c AS (SELECT *, turn <> coalesce(lag(turn) OVER w + 1, turn) OR changed OR coalesce(lag(changed) OVER w, false) AS bad FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, count(*) AS entries, min(turn) FILTER (WHERE bad) AS first_broken, NOT bool_or(bad) AS intact FROM c GROUP BY conv_id"""
+)
 def verify_hash_chain(spark, sf_dir):
-    """Entries are sealed in order of turn, then checked; a missing turn is the first broken entry."""
-    body = F.concat_ws("|", "role", F.coalesce("text", F.lit("")))
-    turns = F.array_sort(F.collect_list(F.struct("turn", body.alias("body"))))
-    sealed = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("x"))
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<turn:bigint,prev:string,hash:string,body:string>>").alias("out"))
-
-    def seal(acc, x):
-        digest = F.sha2(F.concat(acc["last"], x["body"]), 256)
-        entry = F.struct(x["turn"].cast("bigint").alias("turn"), acc["last"].alias("prev"), digest.alias("hash"), x["body"].alias("body"))
-        return F.struct(digest.alias("last"), F.concat(acc["out"], F.array(entry)).alias("out"))
-
-    log = sealed.select("conv_id", F.explode(F.aggregate("x", start, seal, lambda acc: acc["out"])).alias("e")).select("conv_id", "e.*")
-    return views.verify_hash_chain(log, "conv_id", "turn", "prev", "hash", F.col("body"))
+    """Entries are sealed in order of turn, then some hashes are changed; they, the entries after them and those after a missing turn are broken."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.concat_ws("|", "role", F.coalesce("text", F.lit(""))).alias("body"), F.coalesce(F.length("text") % 37 == 0, F.lit(False)).alias("changed"))
+    none = rows.select("conv_id", F.lit(0).cast("long").alias("seq"), F.lit("").alias("hash")).where(F.lit(False))
+    log = findings.append_hash_chain(rows, none, "conv_id", "turn", "body")
+    log = log.withColumn("hash", F.when(F.col("changed"), F.reverse("hash")).otherwise(F.col("hash")))
+    return views.verify_hash_chain(log, "conv_id", "turn", "prev_hash", "hash", F.col("body"))
 
 
 @query(
