@@ -90,7 +90,9 @@ def roll_up(rows: DataFrame, links: DataFrame, movements: DataFrame, top_predict
         F.array_distinct(F.flatten(F.collect_set(F.transform("maps", lambda m: m["tactic"])))).alias("_tactics"),
     )
     owner = rows.select("event_id", "chain_key")
-    link = links.join(owner.withColumnRenamed("event_id", "source_event_id"), "source_event_id").groupBy("chain_key").agg(F.count(F.lit(1)).alias("link_count"), F.round(F.avg("score"), 4).alias("mean_score"))
+    link = links.join(owner.withColumnRenamed("event_id", "source_event_id"), "source_event_id").groupBy("chain_key").agg(F.count(F.lit(1)).alias("link_count"), F.sum(F.round(F.col("score") * 10_000).cast("long")).alias("_sum"))
+    # Whole numbers, so that the mean does not depend on the order of the links.
+    link = link.select("chain_key", "link_count", (F.expr("(2 * _sum + link_count) div (2 * link_count)") / 10_000).alias("mean_score"))
     move = movements.join(owner, "event_id").groupBy("chain_key").agg(F.count(F.lit(1)).alias("lateral_count"))
     out = base.join(reached_and_targeted(rows), "chain_key").join(link, "chain_key", "left").join(move, "chain_key", "left")
     top = F.lit(0.0)

@@ -177,7 +177,7 @@ def chain_stage_rows(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {COMPONENTS}, {TECHNIQUES}, {STAGES}, old AS ({SQL['attack_chains']}), sc AS (SELECT mem.chain_key, round(avg(round(raw, 4)), 4) AS mean_score FROM links JOIN mem ON mem.event_id = source_event_id GROUP BY 1),
+    f"""WITH RECURSIVE {COMPONENTS}, {TECHNIQUES}, {STAGES}, old AS ({SQL['attack_chains']}), sc AS (SELECT mem.chain_key, ((2 * sum(CAST(round(round(raw, 4) * 10000) AS BIGINT)) + count(*)) // (2 * count(*))) / 10000 AS mean_score FROM links JOIN mem ON mem.event_id = source_event_id GROUP BY 1),
 now_ AS (SELECT chain_key, arg_max(t, o) AS tactic, arg_max({PRIMARY}, o) FILTER (WHERE event_type = 'endpoint') AS at_, arg_max(destination_host, o) FILTER (WHERE destination_host IS NOT NULL AND outcome <> 'failure') AS to_ FROM ct GROUP BY 1)
 SELECT 'ATTACK-' || lpad(CAST(row_number() OVER (ORDER BY risk DESC, last_us DESC, old.chain_key) AS VARCHAR), 3, '0') AS chain_id, old.chain_key, CASE WHEN risk >= 80 THEN 'critical' WHEN risk >= 60 THEN 'high' WHEN risk >= 40 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN (SELECT max(last_us) FROM old) - last_us > 3600000000 THEN 'dormant' ELSE 'active' END AS status, mean_score,
  CASE WHEN mean_score >= 0.8 THEN 'high' WHEN mean_score >= 0.55 THEN 'medium' ELSE 'low' END AS confidence, coalesce(at_, to_, split_part(reached, ',', -1)) AS current_host, tactic AS current_tactic FROM old LEFT JOIN sc ON sc.chain_key = old.chain_key LEFT JOIN now_ ON now_.chain_key = old.chain_key"""
