@@ -35,7 +35,7 @@ SHINGLE = 5
 LEAST = 0.8
 PLACES = 128
 BANDS, ROWS = 25, 5
-#: Nodes of a bucket that one part of it holds, about.
+#: Nodes of a bucket that one part of it holds at most, about; the number of parts is a power of two.
 PART_ROWS = 256
 #: Tasks that the nodes of one family meet its shape in.
 SHAPE_COPIES = 16
@@ -197,18 +197,20 @@ def similar(a: Bag, b: Bag, least: float = LEAST) -> bool:
     return both >= least * (int(a[1].sum()) + int(b[1].sum()) - both)
 
 
-def verified_stars(pairs: DataFrame, bags: DataFrame, salt_rows: int = 256) -> DataFrame:
-    """(src, dst): the pairs (leader, node) that are similar enough.
+def verified_stars(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """(src, dst): the pairs (leader, node, parts) that are similar enough.
 
-    The nodes of one leader are dealt in parts of about ``salt_rows``, each with
-    one copy of the leader's bag, and pass by it one at a time.
+    A pair comes once, with the number of parts of the largest bucket that it
+    shares, and is dealt by its node to one of them, so no join has to count a
+    leader's nodes first. A part holds about PART_ROWS nodes of each bucket of
+    its leader, at most BANDS times that; they pass by one copy of the leader's
+    bag one at a time.
     """
-    sizes = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("parts"))
-    dealt = pairs.join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    leaders = dealt.select("leader", "part", F.lit(0).alias("turn"), F.col("leader").alias("node")).distinct()
-    wanted = dealt.select("leader", "part", F.lit(1).alias("turn"), "node").unionByName(leaders)
-    rows = wanted.join(bags, "node").select("leader", "part", "turn", "node", "value", "count")
-    rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "turn")
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    leaders = dealt.select("leader", "parts", "part", F.lit(0).alias("turn"), F.col("leader").alias("node")).distinct()
+    wanted = dealt.select("leader", "parts", "part", F.lit(1).alias("turn"), "node").unionByName(leaders)
+    rows = wanted.join(bags, "node").select("leader", "part", "turn", "node", "value", "count", "parts")
+    rows = rows.repartition("leader", "parts", "part").sortWithinPartitions("leader", "parts", "part", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = None
@@ -358,7 +360,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct(F.col(id_col).alias("id"), "text_hash"))
     reps = stored(usable.groupBy(F.col("key").alias("node")).agg(first.alias("rep"), F.first("bands").alias("bands"), F.first("weight").alias("weight")), "distinct-texts")
     banded = reps.select("node", "weight", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / PART_ROWS, F.lit(1.0))))).cast("int").alias("parts"))
     live = stored(banded.join(shared, "band").select("band", "node", "weight", F.col("node").alias("class"), "parts"), "buckets")
     bags = stored(bags_of(rows, reps.join(live.select("node").distinct(), "node").select("node", "rep.*"), id_col, text_col), "shingles")
     links: DataFrame | None = None
@@ -370,7 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             order = F.struct(F.xxhash64(F.lit(n), "node").alias("h"), "node", "class", "weight")
             led = by_bucket(live, live.groupBy("band").agg(F.min(order).alias("to"), F.first("parts").alias("parts")))
             fits = F.least("weight", "to.weight") >= LEAST * F.greatest("weight", "to.weight")
-            pairs = led.where((F.col("class") != F.col("to.class")) & fits).select(F.col("to.node").alias("leader"), "node").distinct()
+            pairs = led.where((F.col("class") != F.col("to.class")) & fits).groupBy(F.col("to.node").alias("leader"), "node").agg(F.max("parts").alias("parts"))
             new = stored(verified_stars(stored(pairs, "stars"), bags), "links")
         else:
             new = stored(verified_blocks(live, bags), "links")
