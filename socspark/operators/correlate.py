@@ -73,12 +73,21 @@ def correlate_pairs(events: DataFrame, config: CorrelationConfig = CorrelationCo
 
 
 def correlate_bounded(events: DataFrame, config: CorrelationConfig = CorrelationConfig()) -> DataFrame:
-    """WIN-6: as `correlate_pairs`, but only the nearest earlier events of each key, and the best links of each event."""
+    """WIN-6: as `correlate_pairs`, but only the nearest earlier events of each key, and the best links of each event.
+
+    A key's events are windowed in bins of the window's length, into which the
+    events of the bin before are copied too: what is missing there is too far
+    off to link, so a busy key is many groups and the links are the same.
+    """
     rows = _sides(events.where(C.is_notable()))
     side = F.struct(*_SIDE)
-    w = Window.partitionBy("key").orderBy("_us", "event_id").rowsBetween(-config.neighbours_per_key, -1)
-    keyed = rows.select("event_id", "_us", F.explode(_keys()).alias("key")).withColumn("_before", F.collect_list(F.struct("event_id", "_us")).over(w))
-    near = keyed.select(F.col("event_id").alias("b_id"), F.col("_us").alias("b_us"), F.explode("_before").alias("x")).where(F.col("b_us") - F.col("x._us") <= config.window_seconds * 1_000_000)
+    width = config.window_seconds * 1_000_000
+    home = F.floor(F.col("_us") / width)
+    keyed = rows.select("event_id", "_us", F.explode(_keys()).alias("key"))
+    keyed = keyed.select("event_id", "_us", "key", F.explode(F.array(home, home + 1)).alias("bin"))
+    w = Window.partitionBy("key", "bin").orderBy("_us", "event_id").rowsBetween(-config.neighbours_per_key, -1)
+    keyed = keyed.withColumn("_before", F.collect_list(F.struct("event_id", "_us")).over(w)).where(F.col("bin") == home)
+    near = keyed.select(F.col("event_id").alias("b_id"), F.col("_us").alias("b_us"), F.explode("_before").alias("x")).where(F.col("b_us") - F.col("x._us") <= width)
     ids = near.select(F.col("x.event_id").alias("a_id"), "b_id").distinct()
     pairs = ids.join(rows.select(F.col("event_id").alias("a_id"), side.alias("a")), "a_id").join(rows.select(F.col("event_id").alias("b_id"), side.alias("b")), "b_id")
     best = Window.partitionBy("target_event_id").orderBy(F.desc("score"), "time_delta_seconds", F.desc("source_event_id"))

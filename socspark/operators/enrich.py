@@ -135,35 +135,45 @@ def mark_routine(events: DataFrame, config: DetectionConfig = DetectionConfig())
     return out.withColumn("suppressed", F.when(F.col("_able") & F.col("_days").isNotNull(), F.coalesce("suppressed", text)).otherwise(F.col("suppressed"))).select(*events.columns)
 
 
+def _learned_from(rows: DataFrame, key: str, config: DetectionConfig) -> DataFrame:
+    """(key, _nth): the place (time, id) of each key's event that completes its learning; a rank with a limit, so few rows of a key are shuffled."""
+    n = max(1, config.baseline_events)
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_us", "event_id"))).where(F.col("_n") <= n)
+    return ranked.where(F.col("_n") == n).select(key, F.struct("_us", "event_id").alias("_nth"))
+
+
 def baseline_anomalies(events: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     """WIN-2 to WIN-5: (event_id, kind) of first sign-ins to a host, unusual hours and first-ever processes.
 
-    An account or host counts as learned after enough events and hours. Each
-    test is a window over its own key in (time, id) order.
+    An account or host counts as learned after enough events and hours. What an
+    event must know of the past of its key is one row of the key: its first
+    time, the event that completed its learning, and the first sign-in of each
+    hour of the day (24 at most). No window runs over all events of a key.
     """
     host = F.upper(F.coalesce(C.primary_host(), F.lit("")))
     logon = (F.col("event_type") == "authentication") & (F.col("action") != "LOGIN_FAILURE") & F.col("suppressed").isNull()
     base = events.select("event_id", "event_type", "action", C.micros().alias("_us"), F.hour("timestamp").alias("_hour"), F.lower(F.coalesce("user", F.lit(""))).alias("_user"), host.alias("_host"), F.upper("source_host").alias("_src"), F.lower("process").alias("_proc"), F.coalesce(logon, F.lit(False)).alias("_logon"))
-    before = lambda key: Window.partitionBy(key).orderBy("_us", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    old = lambda n, first: (n >= config.baseline_events) & (F.col("_us") - first >= config.baseline_hours * 3_600_000_000)
+    place = F.struct("_us", "event_id")
+    learned = (F.col("_nth") < place) & (F.col("_us") - F.col("_start") >= config.baseline_hours * 3_600_000_000)
+    start = lambda rows, key: rows.groupBy(key).agg(F.min("_us").alias("_start"))
 
     users = base.where("_user <> ''")
-    u = before("_user")
-    teaches = F.col("_logon") & (F.col("_host") != "")
-    users = users.withColumns({"_learned": old(F.count(F.lit(1)).over(u), F.min("_us").over(u)), "_hours": F.collect_set(F.when(teaches, F.col("_hour"))).over(u)})
-    signed = users.where(teaches)
+    signed = users.where(F.col("_logon") & (F.col("_host") != ""))
     seen = signed.select("_user", "_us", "event_id", F.explode(F.array_distinct(F.array_compact(F.array("_host", "_src")))).alias("_h"))
-    first = seen.groupBy("_user", "_h").agg(F.min(F.struct("_us", "event_id")).alias("_first"))
-    able = signed.where(F.col("_learned"))
+    first = seen.groupBy("_user", "_h").agg(F.min(place).alias("_first"))
+    hours = signed.groupBy("_user", "_hour").agg(F.min(place).alias("first")).groupBy("_user").agg(F.collect_list(F.struct(F.col("_hour").alias("hour"), "first")).alias("_hours"))
+    past = _learned_from(users, "_user", config).join(start(users, "_user"), "_user").join(hours, "_user", "left")
+    able = signed.join(past, "_user").where(learned).withColumn("_known", F.filter("_hours", lambda x: x["first"] < place))
     new_host = able.where(F.col("action").isin(*MOVEMENT_ACTIONS, "LOGIN_SUCCESS")).join(first.select("_user", F.col("_h").alias("_host"), "_first"), ["_user", "_host"]).where(F.col("_first.event_id") == F.col("event_id"))
-    odd = able.where((F.size("_hours") > 0) & ~F.arrays_overlap("_hours", F.array(F.col("_hour") - 1, F.col("_hour"), F.col("_hour") + 1)))
-
-    counted = F.when((F.col("event_type") != "endpoint") | (F.length("_proc") > 0), 1)
-    h = before("_host")
-    on_host = base.where("_host <> ''").withColumn("_learned", old(F.count(counted).over(h), F.min("_us").over(h)))
-    ran = on_host.where((F.col("event_type") == "endpoint") & (F.length("_proc") > 0))
-    first_run = ran.groupBy("_proc").agg(F.min(F.struct("_us", "event_id")).alias("_first"))
-    new_process = ran.where("_learned").join(first_run, "_proc").where(F.col("_first.event_id") == F.col("event_id"))
+    odd = able.where((F.size("_known") > 0) & ~F.exists("_known", lambda x: F.abs(x["hour"] - F.col("_hour")) <= 1))
+
+    hosts = base.where("_host <> ''")
+    counted = hosts.where((F.col("event_type") != "endpoint") | (F.length("_proc") > 0))
+    ran = hosts.where((F.col("event_type") == "endpoint") & (F.length("_proc") > 0))
+    first_run = ran.groupBy("_proc").agg(F.min(place).alias("_first"))
+    host_past = _learned_from(counted, "_host", config).join(start(hosts, "_host"), "_host")
+    # A process has one first run, so few rows are left to meet their hosts.
+    new_process = ran.join(first_run, "_proc").where(F.col("_first.event_id") == F.col("event_id")).join(host_past, "_host").where(learned)
     kind = lambda df, k: df.select("event_id", F.lit(k).alias("kind"))
     return kind(new_host, "new-host").unionByName(kind(odd, "unusual-hour")).unionByName(kind(new_process, "new-process"))
 

@@ -171,7 +171,12 @@ def correlate_pairs(spark, sf_dir):
     return correlate.correlate_pairs(security_events(spark, sf_dir)).select("source_event_id", "target_event_id", "score")
 
 
-@query()
+@query(
+    f"""WITH {EV}, {PAIRS}, ky AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, event_id) AS n FROM (SELECT event_id, us, unnest(list_concat(list_transform(hs, lambda x: 'host:' || x), list_transform(list_distinct(ips), lambda x: 'ip:' || x), list_filter(['user:' || "user", 'domain:' || domain], lambda x: x IS NOT NULL))) AS key FROM nt)),
+nb AS (SELECT DISTINCT a.event_id AS source_event_id, b.event_id AS target_event_id, b.us - a.us AS du FROM ky a JOIN ky b ON a.key = b.key AND a.n BETWEEN b.n - 30 AND b.n - 1),
+bl AS (SELECT *, round(raw, 4) AS score FROM links JOIN nb USING (source_event_id, target_event_id))
+SELECT source_event_id, target_event_id, score FROM (SELECT *, row_number() OVER (PARTITION BY target_event_id ORDER BY score DESC, du, source_event_id DESC) AS k FROM bl) WHERE k <= 10"""
+)
 def correlate_bounded(spark, sf_dir):
     return correlate.correlate_bounded(security_events(spark, sf_dir)).select("source_event_id", "target_event_id", "score")
 

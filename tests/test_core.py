@@ -1,6 +1,7 @@
 """Core operators against small rows and DuckDB."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -10,6 +11,7 @@ import __spark_entry__
 from socspark.functions import columns as C
 from socspark.operators import chains, correlate, detect, enrich
 from socspark.operators.components import connected_components
+from socspark.plans.config import CorrelationConfig
 from socspark.plans.queries import oracle_sql, queries
 from socspark.plans.schemas import EVENT_SCHEMA
 
@@ -104,3 +106,19 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert os.path.isdir(os.path.dirname(__spark_entry__.__file__))
+
+
+def test_bounded_correlation_of_a_busy_key_takes_the_nearest(spark):
+    rng = random.Random(5)
+    times = sorted(rng.sample(range(5400), 150))
+    users = [rng.choice(("ann", "bob")) for _ in times]
+    rows = spark.createDataFrame([event(100 + i, t, "RDP_LOGIN", user=u, source_host="A", destination_host="B", suspicious=True) for i, (t, u) in enumerate(zip(times, users, strict=True))], EVENT_SCHEMA)
+    config = CorrelationConfig(neighbours_per_key=7, links_per_event=4)
+    exact = {(r.source_event_id, r.target_event_id): (r.score, -r.time_delta_seconds, r.source_event_id) for r in correlate.correlate_pairs(rows, config).collect()}
+    want = set()
+    for j in range(len(times)):
+        near = set(range(max(0, j - 7), j)) | set([i for i in range(j) if users[i] == users[j]][-7:])
+        pairs = [p for p in ((f"e{100 + i}", f"e{100 + j}") for i in near) if p in exact]
+        want |= set(sorted(pairs, key=exact.get, reverse=True)[:4])
+    got = {(r.source_event_id, r.target_event_id) for r in correlate.correlate_bounded(rows, config).collect()}
+    assert got == want and 0 < len(want) < len(exact)
