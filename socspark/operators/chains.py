@@ -104,8 +104,12 @@ def roll_up(rows: DataFrame, links: DataFrame, movements: DataFrame, top_predict
     lateral = F.coalesce("lateral_count", F.lit(0))
     risk = 15.0 + F.least(F.lit(20.0), 5.0 * F.size("_tactics")) + points(has("TA0006"), 20) + points(has("TA0008") | (lateral > 0), 20) + points(has("TA0011"), 10) + points(F.coalesce("_critical", F.lit(False)), 10) + 0.15 * top
     out = out.withColumns({"risk": F.least(F.lit(100.0), F.bround(risk)).cast("int"), "current_host": F.coalesce("_at", "_to", F.try_element_at("reached", F.lit(-1))), "lateral_count": lateral.cast("long")})
-    out = out.join(F.broadcast(base.agg(F.max("last_us").alias("_latest"))))
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("risk"), F.desc("last_us"), "chain_key"))
+    # Numbers of all chains: the place within a risk and day, and how many come before those.
+    out = stored(out.withColumn("_day", F.coalesce(F.floor(F.col("last_us") / 86_400_000_000), F.lit(-1 << 40))), "chain-facts")
+    before = Window.orderBy(F.desc("risk"), F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = out.groupBy("risk", "_day").agg(F.count(F.lit(1)).alias("_n")).select("risk", "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = out.join(F.broadcast(out.agg(F.max("last_us").alias("_latest")))).join(offsets, ["risk", "_day"])
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("risk", "_day").orderBy(F.desc("last_us"), "chain_key"))
     out = out.withColumns({"status": F.when(F.col("_latest") - F.col("last_us") > 3_600_000_000, F.lit("dormant")).otherwise(F.lit("active")), "chain_id": F.format_string("ATTACK-%03d", rank)})
     severity = F.when(F.col("risk") >= 80, "critical").when(F.col("risk") >= 60, "high").when(F.col("risk") >= 40, "medium").otherwise("low")
     return out.select("chain_id", "chain_key", "risk", severity.alias("severity"), "status", "event_count", F.coalesce("link_count", F.lit(0)).cast("long").alias("link_count"), "mean_score", C.confidence_from_score(F.coalesce("mean_score", F.lit(0.0))).alias("confidence"), "lateral_count", "first_us", "last_us", "users", "initial_host", "current_host", "current_tactic", "reached", "targeted")
