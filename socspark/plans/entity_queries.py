@@ -385,11 +385,11 @@ def host_roles(spark, sf_dir):
     return datasets.derive_host_roles(hosts, addresses, addresses.where("ip = '10.1.0.3'"), "1").select("host", "ip", "role", "criticality")
 
 
-@query(f"WITH {EV}, e AS (SELECT CAST(timestamp AS DATE) AS day, {PRIMARY} AS host, event_id, epoch_us(timestamp) AS us FROM ev WHERE process = 'powershell.exe') SELECT day, host, min(us) AS us FROM e WHERE host <> 'HOST-3' GROUP BY ALL")
+@query(f"WITH {EV}, e AS (SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day, {PRIMARY} AS host, event_id, epoch_us(timestamp) AS us FROM ev WHERE process = 'powershell.exe') SELECT day, host, min(us) AS us FROM e WHERE host <> 'HOST-3' GROUP BY ALL")
 def first_remote_exec(spark, sf_dir):
     events = security_events(spark, sf_dir)
     starts = events.select(F.to_date("timestamp").alias("day"), F.lit("HOST-3").alias("host")).distinct()
-    return datasets.first_remote_exec(events, starts, ("powershell.exe",)).select("day", "host", "us")
+    return datasets.first_remote_exec(events, starts, ("powershell.exe",)).select(F.col("day").cast("string").alias("day"), "host", "us")
 
 
 @query(
