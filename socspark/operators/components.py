@@ -13,9 +13,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     In each round a node joins the neighbour, or itself, that comes first in a
     hashed order of that round, and edges are relabelled and made distinct;
-    the hashed order keeps long paths from taking a round a node. All steps are
-    joins and partial aggregations, so a hub is split between tasks. Rounds are
-    written to the shared folder. Edges with a null end are left out, a loop
+    the hashed order keeps long paths from taking a round a node. Aggregations
+    are partial; the joins on a hub's key are split by adaptive execution only.
+    Rounds are written to the shared folder. Edges with a null end are left out, a loop
     makes its node a component, and no edges give an empty result.
     """
     a, b = F.col(src).alias("a"), F.col(dst).alias("b")
