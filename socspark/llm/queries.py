@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, html_text, langid, near_dup, packing, pii, quality_rules, secrets, warc
+from . import bpe, classifier, decontaminate, html_text, kmeans, langid, near_dup, packing, pii, prefix_trie, quality_rules, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "longest_match", "longest_at")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_documents(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,11 +83,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_packing, op2_html_text, op3_quality_classifier, op4_quality_rules, op5_warc, op6_secrets, op7_language_id, op8_near_duplicates, op9_pii, op10_decontamination)
+    operators = (op1_packing, op2_html_text, op3_quality_classifier, op4_quality_rules, op5_warc, op6_secrets, op7_language_id, op8_near_duplicates, op9_pii, op10_decontamination, op11_centroid_clustering, op12_prefix_trie, op13_word_bpe)
     return {f.__name__: f for f in (*operators, pipeline)}
 
 
-
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP4_SQL = rf"""
@@ -116,5 +128,41 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(item.n,
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN item USING (rid) LEFT JOIN best USING (rid)"""
 
 
+def clustering_sql(k: int = 16, rounds: int = 3) -> str:
+    """k-means in whole numbers, one pair of steps a round."""
+    steps = [
+        """v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY s, e) - 1 AS c, e FROM (SELECT sha256('1:' || vec_id) AS s, e FROM v WHERE vec_id IS NOT NULL ORDER BY s, e LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT rid, best.c AS c, best.d AS d FROM (SELECT rid, min(struct_pack(d := list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c{r}.e[i]) * (v.e[i] - c{r}.e[i])))::BIGINT, c := c{r}.c)) AS best
+  FROM v, c{r} GROUP BY rid))""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS (SELECT c, coalesce(m.e, c{r}.e) AS e FROM c{r} LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS e
+  FROM (SELECT c, i, sum(e[i]) AS s, count(*) AS n FROM a{r} JOIN v USING (rid), (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i) GROUP BY c) m USING (c))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (rid) JOIN c{rounds} USING (c)"""
+
+
+OP12_SQL = """
+WITH t AS (SELECT c, role, tx, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, left(sha256(length(role) || ':' || role || tx), 30)) - 1 AS p
+  FROM (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS tx FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda w, i: xor(w >> 1, 3988292384 * (w & 1)))), 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+conv AS (SELECT own.c, h, least(h, coalesce(n, 0)) AS k FROM own LEFT JOIN (SELECT c, count(*) AS n FROM t GROUP BY c) b ON b.c = own.c - own.c % 100),
+turns AS (SELECT conv.c, p AS d, role, tx FROM conv JOIN t ON t.c = conv.c - conv.c % 100 WHERE p < h
+  UNION ALL SELECT c, p - h + k AS d, role, tx FROM conv JOIN t USING (c) WHERE p >= h),
+seq AS (SELECT conv.c, coalesce(s, []) AS s, coalesce(z, []) AS z FROM conv LEFT JOIN (SELECT c, list(length(role) || ':' || role || tx ORDER BY d) AS s, list(length(tx) ORDER BY d) AS z FROM turns GROUP BY c) USING (c)),
+node AS (SELECT d, k, min(c) AS m, count(*) AS n, max(CASE WHEN d > 0 THEN z[d] ELSE 0 END) AS size, string_agg(CASE WHEN len(s) = d THEN c::VARCHAR END, ',' ORDER BY c) AS ends
+  FROM (SELECT *, s[1:d] AS k FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seq)) GROUP BY d, k),
+kid AS (SELECT d - 1 AS d, k[1:d-1] AS k, count(*) AS kids FROM node WHERE d > 0 GROUP BY 1, 2),
+below AS (SELECT a AS d, k[1:a] AS k, sum(CASE WHEN kids IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * size) AS saved
+  FROM (SELECT node.*, kids, unnest(range(0, node.d + 1)) AS a FROM node LEFT JOIN kid ON kid.d = node.d AND kid.k = node.k) GROUP BY 1, 2)
+SELECT node.m AS conv_id, node.d AS depth, up.m AS parent_conv_id, node.n AS n_convs, coalesce(kids, 0) AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN below ON below.d = node.d AND below.k = node.k LEFT JOIN kid ON kid.d = node.d AND kid.k = node.k LEFT JOIN node up ON up.d = node.d - 1 AND up.k = node.k[1:node.d-1]"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op5_warc": OP5_SQL, "op10_decontamination": OP10_SQL}
+    return {"op11_centroid_clustering": clustering_sql(), "op12_prefix_trie": OP12_SQL, "op4_quality_rules": OP4_SQL, "op5_warc": OP5_SQL, "op10_decontamination": OP10_SQL}
