@@ -1,15 +1,18 @@
 """Main text of web pages by a consensus of each host's pages.
 
-Every page's containers are scored by their running text; the page votes for
-the generalised path (tags with their classes, digits masked) of its best
-container, with the share of the page's text that it holds. Votes are summed
-per host in Spark, and each page is then extracted from the first of its host's
-winning paths that it has, or from its own best container if it has none.
+Every page's containers are scored by their running text. A page's context is its
+outermost ``article`` and ``main`` elements where these hold most of it, else the
+lowest container that holds all of it, so that only lists of links stand
+outside. The page votes for the generalised path (tags with their classes, digits
+masked) of its context. Votes are summed per host in Spark. A page is then
+extracted from its articles or, without any, from the path for which most of its
+host's votes are, if it has that path and most of its text there; else from its own
+context. A headline before the context, with what follows it there, belongs to it.
 
 Noise is decided for whole elements, before the vote: by tag, role and the
 ``hidden`` marks, and by names. A name counts only where all its words are words
-of noise or of layout (``ad-box``, not ``legal-analysis``), and never for an
-element that the page's article turns out to be in.
+of noise or of layout (``ad-box``, not ``legal-analysis``). Readers' comments stay
+noise however long they are; no element is noise or dropped because of its size.
 """
 
 from __future__ import annotations
@@ -17,12 +20,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .shared import annotate, fresh, small_enough, stored
 
@@ -48,6 +51,10 @@ LAYOUT_WORDS = frozenset(
     "secondary section side site slot small space sticky stories text thread tools top unit wrap wrapper zone".split()
 )
 HEADER_WORDS = frozenset("header siteheader pageheader topbar".split())
+COMMENT_WORDS = frozenset("comment comments commentlist respond disqus discussion replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Text of a link in such a block is running text, elsewhere it may be a menu.
+PROSE = HEADINGS | frozenset("p pre blockquote figcaption caption".split())
 #: What a character of a link counts for, next to one of running text.
 LINK_WEIGHT = 0.2
 
@@ -63,15 +70,24 @@ _MAY_HIDE = re.compile("hidden|none", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+class Block(NamedTuple):
+    """A block's container, text and tag."""
+
+    box: Container
+    text: str
+    tag: str
+
+
 class Container:
-    __slots__ = ("full", "heavy", "hidden", "inside", "key", "loose", "mark", "noise", "own", "parent", "scope", "tag", "total")
+    __slots__ = ("comment", "full", "hidden", "inside", "key", "lifted", "mark", "noise", "own", "parent", "plain", "running", "scope", "tag", "total")
 
     def __init__(self, tag: str, key: str, mark: bool, hidden: bool, parent: Container | None, inside: bool):
         self.tag, self.key, self.mark, self.hidden, self.parent, self.inside = tag, key, mark, hidden, parent, inside
         #: The nearest element, itself included, that is no plain division.
         self.scope = self if parent is None or tag not in ("div", "center") else parent.scope
-        self.heavy: Container | None = None
-        self.noise, self.own, self.total, self.full, self.loose = False, 0.0, 0.0, 0.0, 0.0
+        self.noise = self.comment = self.lifted = False
+        #: Its own text and the text below it, with links for less; the same without lists of links, noise left out.
+        self.own, self.full, self.plain, self.running, self.total = 0.0, 0.0, 0.0, 0.0, 0.0
 
     def path(self) -> str:
         keys, at = [], self
@@ -87,6 +103,10 @@ def _noisy_name(name: str) -> bool:
     return any(x in NOISE_WORDS for x in pieces) and all(x in NOISE_WORDS or x in LAYOUT_WORDS for x in pieces)
 
 
+def _names_comments(name: str) -> bool:
+    return _noisy_name(name) and any(x.lower() in COMMENT_WORDS for x in _PIECES.findall(name))
+
+
 def _attributes(attrs: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
@@ -99,7 +119,7 @@ def _is_hidden(found: dict[str, str]) -> bool:
 
 
 def _open(tag: str, attrs: str, parent: Container | None) -> Container:
-    key, noise, hidden, inside = tag, tag in NOISE_TAGS, False, parent is not None and (parent.inside or parent.tag in ("article", "main"))
+    key, noise, hidden, comment, inside = tag, tag in NOISE_TAGS, False, False, parent is not None and (parent.inside or parent.tag in ("article", "main"))
     if tag == "header" and not inside:
         noise = True
     if attrs:
@@ -108,67 +128,59 @@ def _open(tag: str, attrs: str, parent: Container | None) -> Container:
         if names:
             key = tag + "".join("." + re.sub(r"\d+", "#", x.replace(">", "_")) for x in sorted(names))
         known = [*names, found.get("id", "")]
-        noise = noise or tag not in ("body", "html", "main", "article") and any(map(_noisy_name, known))
+        comment = tag not in ("body", "html", "main") and any(map(_names_comments, known))
+        noise = noise or comment or tag not in ("body", "html", "main", "article") and any(map(_noisy_name, known))
         noise = noise or not inside and any(x.lower().replace("-", "").replace("_", "") in HEADER_WORDS for x in known)
         noise = noise or found.get("role", "").lower() in NOISE_ROLES
         hidden = _is_hidden(found)
-    return Container(tag, key, noise, hidden or parent is not None and parent.hidden, parent, inside)
+    box = Container(tag, key, noise, hidden or parent is not None and parent.hidden, parent, inside)
+    box.comment = comment or parent is not None and parent.comment
+    return box
 
 
 def _settle(boxes: list[Container]) -> None:
     """Decides which of a page's containers, parents first, are noise; ``own`` holds the text of each.
 
-    A marked container is noise with all below it. Marks go from around the
-    page's main article where no article is free of them, and from a container
-    that holds most of the page's text if little is left without it. Where only
-    noise has text, nothing is noise.
+    A marked container is noise with all below it. Marks around an article are
+    lifted where no article is free of them and it holds more than all that is.
+    Where nothing is left, the mark of the largest form or named element is lifted,
+    else all such marks, else all. Comments and hidden elements keep theirs.
     """
     for box in reversed(boxes):
         box.full += 0.0 if box.hidden else box.own
         if box.parent is not None:
             box.parent.full += box.full
-            if box.parent.heavy is None or box.full > box.parent.heavy.full:
-                box.parent.heavy = box
-    whole = boxes[0].full
 
-    def spread() -> None:
+    def spread() -> float:
+        left = 0.0
         for box in boxes:
-            box.noise = box.mark or box.hidden or box.parent is not None and box.parent.noise
+            box.noise = box.mark or box.hidden or box.comment or box.parent is not None and box.parent.noise
+            left += 0.0 if box.noise else box.own
+        return left
 
-    spread()
-    articles = [b for b in boxes if b.tag in ("article", "main") and b.full and b.full >= 0.25 * whole]
+    left = spread()
+    articles = [b for b in boxes if b.tag in ("article", "main") and b.full and not b.comment and not b.hidden]
     if articles and all(b.noise for b in articles):
         at: Container | None = max(articles, key=lambda b: b.full)
-        while at is not None:
-            at.mark, at = False, at.parent
-        spread()
-    # ``loose`` is the text below a container that no mark below it covers.
-    free = {id(b) for b in boxes if b.tag in ("article", "main") and b.full and not b.noise}
-    for box in boxes:
-        box.loose = 0.0
-    for box in reversed(boxes):
-        box.loose += 0.0 if box.hidden else box.own
-        if box.parent is not None and not box.mark:
-            box.parent.loose += box.loose
-    clean, at = boxes[0].loose, boxes[0]
-    while at is not None and 2 * at.full > whole:
-        if at.mark:
-            if clean >= 0.25 * whole or free:
+        if at.full > left:
+            while at is not None:
+                at.lifted, at.mark, at = True, False, at.parent
+            left = spread()
+    if not left:
+        marked = [b for b in boxes if b.mark and b.full and b.tag not in NOISE_TAGS - {"form"} and not b.comment and not b.hidden]
+        for some in ([max(marked, key=lambda b: b.full)], marked) if marked else ():
+            for box in some:
+                box.mark = False
+            left = spread()
+            if left:
                 break
-            at.mark = False
-            clean += at.loose
-            if at.tag in ("article", "main"):
-                free.add(id(at))
-        at = at.heavy
-    spread()
-    if not any(b.own for b in boxes if not b.noise):
-        visible = any(b.own for b in boxes if not b.hidden)
+    if not left:
         for box in boxes:
-            box.noise = visible and box.hidden
+            box.noise = box.hidden or box.comment
 
 
-def parse(html: str) -> tuple[list[Container], list[tuple[Container, str]]]:
-    """The containers of a page, parents first, and the text of each block with its container, in page order.
+def parse(html: str) -> tuple[list[Container], list[Block]]:
+    """The containers of a page, parents first, and its blocks in page order.
 
     References are decoded in every stretch between tags by itself. Only
     containers are nested, so unclosed paragraphs and inline tags do no harm; a
@@ -180,7 +192,7 @@ def parse(html: str) -> tuple[list[Container], list[tuple[Container, str]]]:
     """
     root = Container("", "", False, False, None, False)
     boxes, blocks, parts = [root], [], []
-    here, leaf, in_link, at = root, None, False, 0
+    here, leaf, in_link, at, block = root, None, False, 0, ""
     opened: dict[str, int] = {}
     unseen: list | None = None  # tag, depth and container of an inline element that is left out
 
@@ -188,13 +200,15 @@ def parse(html: str) -> tuple[list[Container], list[tuple[Container, str]]]:
         if end > at and unseen is None:
             part = unescape(html[at:end])
             parts.append(part)
-            (leaf or here).own += (len("".join(part.split())) if part.isspace() else len(part.strip())) * (LINK_WEIGHT if in_link else 1.0)
+            size = 0 if part.isspace() else len(part.strip())
+            (leaf or here).own += size * (LINK_WEIGHT if in_link else 1.0)
+            (leaf or here).plain += 0 if in_link and block not in PROSE else size
 
     def close() -> None:
         nonlocal parts
         if parts:
             if text := " ".join("".join(parts).split()):
-                blocks.append((leaf or here, text))
+                blocks.append(Block(leaf or here, text, block))
             parts = []
 
     def pop_to(box: Container) -> None:
@@ -231,7 +245,7 @@ def parse(html: str) -> tuple[list[Container], list[tuple[Container, str]]]:
                 unseen = [tag, 1, here]
             continue
         close()
-        leaf = None
+        leaf, block = None, "" if ends else tag
         if tag not in CONTAINERS:
             if ends:
                 if unseen is not None and unseen[2] is here:
@@ -272,41 +286,70 @@ def _end_items(tag: str, here, pop_to) -> None:
         pop_to(up)
 
 
-def best_container(boxes: list[Container]) -> tuple[Container | None, float]:
-    """The container to extract and its share of the page's text, noise left out.
+def context(boxes: list[Container]) -> tuple[list[Container], float, bool]:
+    """The containers to extract, their share of the page's running text, and whether they are marked as the article.
 
-    Text of links counts for less. The search goes down from the root while one
-    child holds most of the text; ``article`` and ``main`` win over their
-    surroundings with a smaller share.
+    Outermost ``article`` and ``main`` elements are the context where they hold
+    half at least of the running text. Else the search goes down from the root
+    as long as one child holds all of it, so nothing but links is left behind.
     """
     children: dict[int, list[Container]] = {}
     for box in boxes:
-        box.total = 0.0 if box.noise else box.own
-        if box.parent is not None and not box.noise and box.tag not in ITEMS:
+        box.total, box.running = (0.0, 0.0) if box.noise else (box.own, box.plain)
+        if box.parent is not None and not box.noise:
             children.setdefault(id(box.parent), []).append(box)
     for box in reversed(boxes):
         if box.parent is not None:
             box.parent.total += box.total
+            box.parent.running += box.running
     root = boxes[0]
     if not root.total:
-        return None, 0.0
+        return [], 0.0, False
+    weight = (lambda b: b.running) if root.running else lambda b: b.total
+    within: set[int] = set()
+    outer = []
+    for box in boxes:
+        if box.parent is not None and id(box.parent) in within:
+            within.add(id(box))
+        elif box.tag in ("article", "main") and not box.noise and not box.lifted:
+            within.add(id(box))
+            if box.total:
+                outer.append(box)
+    if outer and 2 * sum(map(weight, outer)) >= weight(root):
+        return outer, sum(map(weight, outer)) / weight(root), True
     here = root
     while True:
-        below = children.get(id(here), [])
-        marked = [b for b in below if b.tag in ("article", "main") and b.total >= 0.25 * here.total]
-        top = max(marked or below, key=lambda b: b.total, default=None)
-        if top is None or not marked and top.total < 0.7 * here.total or top.total < 0.8 * here.total and sum(b.key == top.key for b in below) > 1:
-            return here, here.total / root.total
-        here = top
+        below = [b for b in children.get(id(here), []) if b.tag not in ITEMS and weight(b) >= weight(here)]
+        if not below:
+            return [here], 1.0, False
+        here = below[0]
 
 
-def text_of(boxes: list[Container], blocks: list[tuple[Container, str]], chosen: set[int]) -> str:
-    """Blocks below the chosen containers, without noise, joined by line feeds."""
-    under: set[int] = set()
+def text_of(boxes: list[Container], blocks: list[Block], chosen: list[Container]) -> str:
+    """The blocks below the chosen containers, after the headline before them, joined by line feeds; noise is left out.
+
+    The headline is each ``h1`` before the first of them where they hold none, and
+    whatever stands from a heading on in the elements around them.
+    """
+    wanted, under, around = set(map(id, chosen)), set(), set()
     for box in boxes:
-        if id(box) in chosen or box.parent is not None and id(box.parent) in under:
+        if id(box) in wanted or box.parent is not None and id(box.parent) in under:
             under.add(id(box))
-    return "\n".join(text for box, text in blocks if not box.noise and id(box) in under)
+    for box in chosen:
+        at = box.parent
+        while at is not None and id(at) not in around:
+            around.add(id(at))
+            at = at.parent
+    seen = [b for b in blocks if not b.box.noise]
+    first = next((i for i, b in enumerate(seen) if id(b.box) in under), 0)
+    titled, lead, begun = any(b.tag == "h1" for b in seen if id(b.box) in under), [], False
+    for b in seen[:first]:
+        direct = id(b.box) in around
+        title = b.tag == "h1" and not titled
+        begun = begun or title or direct and b.tag in HEADINGS
+        if title or direct and begun:
+            lead.append(b.text)
+    return "\n".join(lead + [b.text for b in seen[first:] if id(b.box) in under])
 
 
 def _at_path(boxes: list[Container], path: str) -> list[Container]:
@@ -325,36 +368,36 @@ def _at_path(boxes: list[Container], path: str) -> list[Container]:
     return found
 
 
-def analyse(html: str) -> tuple[list[Container], list[tuple[Container, str]], Container | None, float]:
+def analyse(html: str) -> tuple[list[Container], list[Block], list[Container], float, bool]:
     boxes, blocks = parse(html)
     _settle(boxes)
-    return boxes, blocks, *best_container(boxes)
+    return boxes, blocks, *context(boxes)
 
 
 def extract(html: str | None, paths: list[str]) -> str:
-    """The main text of a page, given its host's winning paths in order.
+    """The main text of a page, given the paths that its host agrees on.
 
-    A path wins only where it holds half at least of what the page's own best
-    container holds.
+    A path counts only where the page has no article of its own and half at least of its
+    running text there.
     """
     if not html:
         return ""
-    boxes, blocks, best, _ = analyse(html)
-    if best is None:
+    boxes, blocks, mine, _, article = analyse(html)
+    if not mine:
         return ""
-    for path in paths:
+    for path in [] if article else paths:
         found = _at_path(boxes, path)
-        if found and sum(b.total for b in found) >= 0.5 * best.total:
-            return text_of(boxes, blocks, set(map(id, found)))
-    return text_of(boxes, blocks, {id(best)})
+        if found and 2 * sum(b.running for b in found) >= boxes[0].running > 0:
+            return text_of(boxes, blocks, found)
+    return text_of(boxes, blocks, mine)
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
 
 
-def vote(pages: DataFrame, url_col: str = "url", html_col: str = "html", most_paths: int = 3) -> DataFrame:
-    """(host, paths): the paths with the most votes of each host, ties by name."""
+def vote(pages: DataFrame, url_col: str = "url", html_col: str = "html", agreement: float = 0.5) -> DataFrame:
+    """(host, paths): the path that more than ``agreement`` of each host's votes are for, if there is one."""
     fields = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("share", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,17 +405,17 @@ def vote(pages: DataFrame, url_col: str = "url", html_col: str = "html", most_pa
             votes: dict[tuple[str, str], float] = {}
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = html.as_py()
-                best, share = analyse(text)[2:] if text else (None, 0.0)
-                if best is not None:
-                    key = name, best.path()
+                best, share = analyse(text)[2:4] if text else ([], 0.0)
+                if best:
+                    key = name, best[0].path()
                     votes[key] = votes.get(key, 0.0) + share
             keys = list(votes)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([votes[k] for k in keys], pa.float64())], names=fields.names)
 
     votes = pages.select(host(F.col(url_col)).alias("host"), html_col).mapInArrow(run, fields)
     sums = votes.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
-    first = sums.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("n") <= most_paths)
-    return first.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("n", "path"))).alias("paths")).select("host", F.col("paths.path").alias("paths"))
+    won = sums.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"), F.max("votes").alias("most"), F.sum("votes").alias("all"))
+    return won.where(F.col("most") > agreement * F.col("all")).select("host", F.array("path").alias("paths"))
 
 
 def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 16 << 20) -> DataFrame:
@@ -380,7 +423,9 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
     A null html, or one without text, has an empty text. Rows without a usable
     url share one unnamed host. Other columns pass through, save those named
-    ``text`` or ``n_chars``; repeated rows are extracted each for itself. The
+    ``text`` or ``n_chars``; repeated rows are extracted each for itself but vote each,
+    of equal votes no path wins, and an empty table gives no rows. A page of any length is read whole, in
+    memory in proportion to it. The
     winners' table is broadcast where its measured size is below
     ``broadcast_bytes`` and joined by host beyond that.
     """

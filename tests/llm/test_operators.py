@@ -194,7 +194,9 @@ def test_html_wrappers_with_noise_words_and_two_templates():
     assert html_text.extract(f"<body><div class='content'>{story}</div><div id='comments'>{story * 2}</div></body>", []) == want
     assert html_text.extract("<body><footer><p>Only a foot</p></footer></body>", []) == "Only a foot"
     teaser = f"<body><div class='a'><p>Teaser</p></div><div class='b'>{story}</div></body>"
-    assert html_text.extract(teaser, [">body>div.a"]) == want
+    # A path that holds little of the page does not count, and nothing unmarked is dropped.
+    assert html_text.extract(teaser, [">body>div.a"]) == "Teaser\n" + want
+    assert html_text.extract(teaser, [">body>div.b"]) == want
 
 
 def test_quality_rules(spark, odd):
