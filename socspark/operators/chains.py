@@ -56,17 +56,22 @@ def reached_and_targeted(rows: DataFrame) -> DataFrame:
     return out.select("chain_key", "reached", F.array_sort(F.array_except("_aimed", "reached")).alias("targeted"))
 
 
-def chain_stages(rows: DataFrame) -> DataFrame:
-    """AGG-6: one stage for each (chain, tactic, host), in order of first time."""
+def stage_host() -> Column:
+    """The host of an event's stage: where a failed sign-in came from, else the primary host."""
     failed_login = (F.col("event_type") == "authentication") & F.coalesce(F.col("outcome") == "failure", F.lit(False))
     host = F.when(failed_login, F.coalesce(F.nullif("source_host", F.lit("")), F.nullif("destination_host", F.lit("")))).otherwise(F.col("_primary"))
-    keyed = rows.withColumn("_host", F.upper(F.coalesce(host, F.lit("unknown"))))
+    return F.upper(F.coalesce(host, F.lit("unknown")))
+
+
+def chain_stages(rows: DataFrame) -> DataFrame:
+    """AGG-6: one stage for each (chain, tactic, host), in order of first time."""
+    keyed = rows.withColumn("_host", stage_host())
     out = keyed.groupBy("chain_key", "tactic", "_host").agg(
         F.min("_us").alias("first_us"),
         F.max("_us").alias("last_us"),
         F.min_by("user", F.when(F.length("user") > 0, F.col("_order"))).alias("user"),
         F.count(F.lit(1)).alias("events"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("maps", lambda m: m["technique"]))))).alias("technique_ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_sort(F.transform("maps", lambda m: m["technique"])))))).alias("technique_ids"),
         F.min("_order").alias("_first"),
     )
     w = Window.partitionBy("chain_key").orderBy("_first")

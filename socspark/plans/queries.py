@@ -244,12 +244,6 @@ def attack_chains(spark, sf_dir):
     return out.select("chain_key", "risk", "event_count", "link_count", "lateral_count", "first_us", "last_us", text("users"), "initial_host", text("reached"), text("targeted"))
 
 
-@query()
-def chain_stages(spark, sf_dir):
-    out = chains.build_chains(security_events(spark, sf_dir))["stages"]
-    return out.withColumn("technique_ids", F.array_join("technique_ids", ","))
-
-
 EDGES = f"""ed AS (SELECT src, dst, kind, count(*) AS weight FROM (
  SELECT 'event:' || event_id AS src, 'host:' || {PRIMARY} AS dst, 'OCCURRED_ON' AS kind FROM ev
  UNION ALL SELECT 'event:' || event_id, 'user:' || user, 'INVOLVES' FROM ev
@@ -434,12 +428,12 @@ def precision_recall(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from socspark.plans import case_queries, entity_queries, rule_queries, source_queries, stream_queries  # noqa: F401
+    from socspark.plans import case_queries, entity_queries, graph_queries, rule_queries, source_queries, stream_queries  # noqa: F401
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from socspark.plans import case_queries, entity_queries, rule_queries, source_queries, stream_queries  # noqa: F401
+    from socspark.plans import case_queries, entity_queries, graph_queries, rule_queries, source_queries, stream_queries  # noqa: F401
 
     return dict(SQL)
