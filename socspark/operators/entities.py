@@ -28,7 +28,7 @@ def _names(values: Column) -> Column:
 def evidence_row(events: DataFrame) -> DataFrame:
     """FLT-11: the columns that a search shows, a summary line, and the findings of the tags."""
     tags = F.coalesce("tags", F.array().cast("array<string>"))
-    findings = F.transform(F.filter(tags, lambda t: t.startswith("finding:")), lambda t: F.substring(t, 9, 1_000_000))
+    findings = C.extract_findings(tags)
     shown = "event_id timestamp event_type action user source_host destination_host source_ip process parent_process domain outcome severity suspicious".split()
     return events.select(*shown, C.event_summary().alias("summary"), findings.alias("findings"))
 
@@ -96,7 +96,7 @@ def host_neighbors(projection: DataFrame, observed: DataFrame, hosts: DataFrame)
     """JOIN-16: (host, neighbor) of the host projection with the neighbour's facts, and whether the host was observed to connect (``observed.id``)."""
     both = projection.select(F.col("a").alias("id"), F.col("b").alias("nbr")).union(projection.select(F.col("b").alias("id"), F.col("a").alias("nbr"))).distinct()
     both = both.join(observed.select("id").distinct().withColumn("_seen", F.lit(True)), "id", "left")
-    name = lambda c: F.substring(c, 6, 1000)
+    name = lambda c: F.expr(f"substr({c}, 6)")
     out = both.select(name("id").alias("host"), name("nbr").alias("neighbor"), F.coalesce("_seen", F.lit(False)).alias("observed"))
     facts = hosts.select(F.upper("name").alias("neighbor"), "role", "criticality").dropDuplicates(["neighbor"])
     return out.join(facts, "neighbor", "left").withColumns({"role": F.coalesce("role", F.lit("unknown")), "criticality": F.coalesce("criticality", F.lit(0.0))})
@@ -154,7 +154,7 @@ def chain_anomalies(events: DataFrame, members: DataFrame) -> DataFrame:
     """FLT-16: (chain_key, event_id, anomaly) of a chain's events."""
     found = F.filter("tags", lambda t: t.startswith("anomaly:"))
     each = events.where(F.exists("tags", lambda t: t.startswith("anomaly:"))).select("event_id", F.explode(F.array_distinct(found)).alias("_t"))
-    return each.join(members.select("event_id", "chain_key"), "event_id").select("chain_key", "event_id", F.substring("_t", 9, 1_000_000).alias("anomaly"))
+    return each.join(members.select("event_id", "chain_key"), "event_id").select("chain_key", "event_id", F.expr("substr(_t, 9)").alias("anomaly"))
 
 
 def chain_hypothesis(chains: DataFrame, events: DataFrame, trace: DataFrame, movements: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 """Next targets, case checks, exports and alerts on small rows."""
 
+import collections
 import json
+import random
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
 
@@ -125,3 +128,44 @@ def test_tables(spark, tmp_path):
     sinks.write_scenario(raw, str(tmp_path))
     assert [r.value for r in spark.read.text(f"{tmp_path}/records/source_log=s1").collect()] == ["a", "b"]
     assert {r.source_log: r.records for r in spark.read.json(f"{tmp_path}/manifest").collect()} == {"s1": 2, "s2": 1}
+
+
+def test_targets_on_a_large_connected_network_without_all_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    names = [f"H{i:04}" for i in range(1000)]
+    links = {tuple(sorted(rng.sample(names, 2))) for _ in range(3000)} | {(names[i], names[i + 1]) for i in range(999)}
+    value = {n: rng.randrange(0, 101) / 100 for n in names}
+    nbrs = collections.defaultdict(set)
+    for a, b in links:
+        nbrs[a].add(b)
+        nbrs[b].add(a)
+    starts, reached, may = {}, {}, {}
+    for i in range(12):
+        starts[f"c{i}"] = rng.choice(names)
+        reached[f"c{i}"] = [starts[f"c{i}"], *rng.sample(names, 3)]
+        may[f"u{i}"] = rng.sample(names, 5)
+    hosts = spark.createDataFrame(sorted(value.items()), "name string, criticality double")
+    users = spark.createDataFrame([(u, 0.0, False, x) for u, x in may.items()], "name string, privilege double, is_privileged boolean, accessible_hosts array<string>")
+    found = spark.createDataFrame([(c, at, [c.replace("c", "u")], reached[c]) for c, at in starts.items()], "chain_key string, current_host string, users array<string>, reached array<string>")
+    edges = spark.createDataFrame([("host:" + a, "host:" + b) for a, b in links], "a string, b string")
+    rows = spark.createDataFrame([], EVENT_SCHEMA).withColumns({"chain_key": F.lit("c0")})
+    none = spark.createDataFrame([], "user string, host string, n long")
+    sizes = []
+    plain = predict._round
+    monkeypatch.setattr(predict, "_round", lambda waiting, own, pairs, out, projection, size, level, config: sizes.append((waiting.count(), size)) or plain(waiting, own, pairs, out, projection, size, level, config))
+    got = {(r.chain_key, r.rank): (r.host, r.score) for r in predict.score_targets(rows, found, hosts, users, edges, none).collect()}
+    most = max(len(x) for x in nbrs.values())
+    for c, at in starts.items():
+        far, front, d = {at: 0}, [at], 0
+        while front:
+            d += 1
+            front = [y for y in {y for x in front for y in nbrs[x]} if y not in far]
+            far |= dict.fromkeys(front, d)
+        points = {}
+        for n in names:
+            share = round(len(nbrs[n]) / most, 6)
+            parts = [3000 if n in may[c.replace("c", "u")] else 0, round(2000 * share), round(2000 * value[n]), round(2000 / max(far[n], 1)) if n in far else 0]
+            points[n] = min(100.0, float((Decimal(sum(parts)) / Decimal(140)).quantize(Decimal("0.1"), ROUND_HALF_UP)))
+        want = sorted((n for n in names if n not in reached[c] and points[n]), key=lambda n: (-points[n], n))[:4]
+        assert [got[c, k][0] for k in (1, 2, 3, 4)] == want
+    assert max(size for _, size in sizes) < 1000  # settled before every host is met
