@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,7 +24,23 @@ INTERNAL_SUFFIXES = (".corp.local", ".internal", "in-addr.arpa")
 SYSTEM_USERS = ("SYSTEM", "LOCAL SERVICE", "NETWORK SERVICE", "ANONYMOUS LOGON")
 
 IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
-IPV6 = r"^(?=.*:)[0-9A-Fa-f:]{2,39}(?:%[0-9A-Za-z]+)?$"
+_GROUP, _TAIL = "[0-9A-Fa-f]{1,4}", IPV4[1:-1]
+
+
+def _ipv6_pattern() -> str:
+    """Eight groups, the last two maybe as an IPv4 address, or fewer around one ``::``."""
+    def end(n: int) -> str:
+        """Up to ``n`` groups, an IPv4 address standing for two."""
+        groups = f"(?:{_GROUP}:){{0,{n - 1}}}{_GROUP}" if n else ""
+        dotted = f"(?:{_GROUP}:){{0,{n - 2}}}{_TAIL}" if n >= 2 else ""
+        return "(?:" + "|".join(x for x in (groups, dotted) if x) + ")?" if n else ""
+
+    whole = f"(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{6}}{_TAIL}"
+    short = "|".join((f"(?:{_GROUP}:){{{left - 1}}}{_GROUP}" if left else "") + "::" + end(7 - left) for left in range(8))
+    return f"^(?:{whole}|{short})(?:%[0-9A-Za-z]+)?$"
+
+
+IPV6 = _ipv6_pattern()
 
 
 def any_of(conditions) -> Column:
@@ -234,12 +251,26 @@ def ipv4_number(ip: Column) -> Column:
     return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x)
 
 
+def ipv6_hex(ip: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, null for anything else; their order is that of the addresses."""
+    text = F.lower(F.substring_index(F.when(ip.rlike(IPV6), ip), "%", 1))
+    last = F.substring_index(text, ":", -1)
+    dotted = F.lpad(F.hex(ipv4_number(last)), 8, "0")
+    text = F.when(F.contains(last, F.lit(".")), F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(last)), F.substring(dotted, 1, 4), F.lit(":"), F.substring(dotted, 5, 4))).otherwise(text)
+    halves = F.split(text, "::", -1)
+    groups = lambda half: F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
+    return F.when(text.isNotNull(), F.lower(F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), "")))
+
+
 def ip_in_cidr(ip: Column, network: str) -> Column:
-    """For IPv4 networks; false for other addresses."""
-    base, _, bits = network.partition("/")
-    size = 1 << (32 - int(bits or 32))
-    start = sum(int(x) << s for x, s in zip(base.split("."), (24, 16, 8, 0), strict=True)) // size * size
-    return F.coalesce(ipv4_number(ip).between(start, start + size - 1), F.lit(False))
+    """Whether an address lies in an IPv4 or IPv6 network; false for anything else."""
+    net = ipaddress.ip_network(network, strict=False)
+    first, last = int(net.network_address), int(net.broadcast_address)
+    if net.version == 4:
+        return F.coalesce(ipv4_number(ip).between(first, last), F.lit(False))
+    return F.coalesce(ipv6_hex(ip).between(f"{first:032x}", f"{last:032x}"), F.lit(False))
 
 
 def is_private_ip(ip: Column) -> Column:

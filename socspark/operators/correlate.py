@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from socspark.functions import columns as C
+from socspark.operators.components import connected_components
 from socspark.plans.config import CorrelationConfig, LateralConfig
+from socspark.plans.storage import stored
 
 _SIDE = ["event_id", "_us", "user", "hosts", "ips", "process", "domain", "suspicious", "primary", "source_host", "destination_host"]
 
@@ -72,6 +76,65 @@ def correlate_pairs(events: DataFrame, config: CorrelationConfig = CorrelationCo
     return _scored(pairs, config)
 
 
+def _joint_keys(config: CorrelationConfig) -> Column:
+    """Keys of which linked events share one: the two properties that any sufficient score needs at least, with their values.
+
+    A pair scores at most the weights of what it shares and the time's share,
+    so each single property that is too light alone is joined with a second.
+    """
+    hosts, ips = F.col("hosts"), F.col("ips")
+    one = lambda kind, c: F.when(c.isNotNull(), F.array(F.concat(F.lit(kind), c))).otherwise(F.array().cast("array<string>"))
+    many = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(kind), x))
+    user, domain, process, odd = one("user:", F.col("user")), one("domain:", F.col("domain")), one("process:", F.col("process")), one("odd:", F.when(F.col("suspicious"), F.lit("")))
+    parts = {"user": (user, config.same_user), "host": (many("host:", hosts), config.same_host), "ip": (many("ip:", ips), config.shared_ip), "domain": (domain, config.domain_overlap), "process": (process, config.process_host), "odd": (odd, config.suspicious_coincidence)}
+    product = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(x, F.lit("\x00"), y))))
+    alone = [k for k, (_, w) in parts.items() if k not in ("process", "odd") and w + config.time_proximity >= config.min_score]
+    pairs = [(a, b) for a, b in itertools.combinations(parts, 2) if a not in alone and b not in alone and not {a, b} <= {"process", "odd"}]
+    return F.array_distinct(F.flatten(F.array(*[parts[k][0] for k in alone], *[product(parts[a][0], parts[b][0]) for a, b in pairs])))
+
+
+def _pivot_keys(config: CorrelationConfig) -> tuple[Column, Column]:
+    """The key under which an event follows another's host, for the earlier and the later side."""
+    key = lambda c: F.when(c.isNotNull(), F.concat(F.lit("pivot:"), c))
+    return key(F.col("primary")), key(F.col("source_host"))
+
+
+def connecting_links(events: DataFrame, config: CorrelationConfig = CorrelationConfig(), near: int = 3) -> DataFrame:
+    """Links that connect the same events as all of ``correlate_pairs`` do, but far fewer of them.
+
+    First each event meets its ``near`` predecessors under each of its keys in
+    its bin of time and the one before. What then still lies in different components meets in full,
+    save within the largest component of a key and bin: of two events there at least
+    one must be outside it. So no pair that could connect two components is
+    left out, and a busy key costs its events times the few outside.
+    """
+    rows = stored(_sides(events.where(C.is_notable())).withColumns({"bin": F.floor(F.col("_us") / (config.window_seconds * 1_000_000))}), "link-sides")
+    first, second = _pivot_keys(config)
+    earlier, later = F.array_compact(F.array_append(_joint_keys(config), first)), F.array_compact(F.array_append(_joint_keys(config), second))
+    side = F.struct(*_SIDE)
+    width = config.window_seconds * 1_000_000
+    order = Window.partitionBy("key", "bin").orderBy("_us", "event_id")
+    marked = rows.select("event_id", "_us", "bin", F.explode(F.array_union(earlier, later)).alias("key")).withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("bin", F.when(F.col("_own"), F.col("bin")).otherwise(F.col("bin") + 1))
+    before = [F.lag("event_id", n).over(order).alias(f"p{n}") for n in range(1, near + 1)]
+    close = marked.select("event_id", "_own", *before).where("_own").select(F.col("event_id").alias("b_id"), F.explode(F.array_compact(F.array(*[f"p{n}" for n in range(1, near + 1)]))).alias("a_id")).distinct()
+    named = lambda n: rows.select(F.col("event_id").alias(f"{n}_id"), side.alias(n))
+    found = stored(_scored(close.join(named("a"), "a_id").join(named("b"), "b_id").where(F.col("b._us") - F.col("a._us") <= width), config), "near-links")
+    labels = connected_components(found.select(F.col("source_event_id").alias("src"), F.col("target_event_id").alias("dst")))
+    owned = stored(rows.join(labels.select(F.col("node").alias("event_id"), "component"), "event_id", "left").withColumn("component", F.coalesce("component", "event_id")), "link-labels")
+    a_side = owned.select("component", F.col("event_id").alias("a_id"), F.col("_us").alias("a_us"), "bin", F.explode(earlier).alias("key")).withColumn("bin", F.explode(F.array("bin", F.col("bin") + 1)))
+    b_side = owned.select("component", F.col("event_id").alias("b_id"), F.col("_us").alias("b_us"), "bin", F.explode(later).alias("key"))
+    sizes = a_side.select("key", "bin", "component").unionByName(b_side.select("key", "bin", "component")).groupBy("key", "bin", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key", "bin").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    main = stored(main.select("key", "bin", "main"), "link-main")
+    a_side, b_side = (x.join(main, ["key", "bin"]) for x in (a_side, b_side))
+    outside = F.col("component") != F.col("main")
+    other = lambda x, n: x.select("key", "bin", F.col("component").alias(f"{n}_c"), f"{n}_id", f"{n}_us")
+    meet = other(a_side.where(outside), "a").join(other(b_side, "b"), ["key", "bin"]).unionByName(other(a_side.where(~outside), "a").join(other(b_side.where(outside), "b"), ["key", "bin"]))
+    ordered = (F.col("b_us") - F.col("a_us")).between(0, width) & ((F.col("a_us") < F.col("b_us")) | (F.col("a_id") < F.col("b_id")))
+    rest = meet.where((F.col("a_c") != F.col("b_c")) & ordered).select("a_id", "b_id").distinct()
+    return found.unionByName(_scored(rest.join(named("a"), "a_id").join(named("b"), "b_id"), config))
+
+
 def correlate_bounded(events: DataFrame, config: CorrelationConfig = CorrelationConfig()) -> DataFrame:
     """WIN-6: as `correlate_pairs`, but only the nearest earlier events of each key, and the best links of each event.
 

@@ -82,9 +82,10 @@ def keep_newest(events: DataFrame, n: int, scope: list[str]) -> DataFrame:
 
 
 def dedupe_known(events: DataFrame, known: DataFrame) -> DataFrame:
-    """JOIN-17: events whose id is new, each id once (the earliest row)."""
-    w = Window.partitionBy("event_id").orderBy("timestamp")
-    return events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").join(known.select("event_id"), "event_id", "left_anti")
+    """JOIN-17: events whose id is new, each id once: the earliest row, of rows of one time the first by all columns."""
+    row = F.struct("timestamp", *[c for c in events.columns if c not in ("timestamp", "event_id")])
+    once = events.groupBy("event_id").agg(F.min(row).alias("_r")).select("event_id", "_r.*").select(*events.columns)
+    return once.join(known.select("event_id"), "event_id", "left_anti")
 
 
 def first_seen(events: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from socspark.operators import chain_graph, chains, correlate, graph, predict, techniques
 from socspark.plans.case_queries import DAYS, TARGETS, day_chains, day_rows, inventory
 from socspark.plans.entity_queries import STAGES
-from socspark.plans.queries import EV, MOVES, PRIMARY, TECHNIQUES, query, security_events
+from socspark.plans.queries import COMPONENTS, EV, MOVES, PRIMARY, TECHNIQUES, query, security_events
 from socspark.plans.storage import stored
 
 #: Some parents are processes of the chain, and some processes drop files.
@@ -78,3 +78,10 @@ def chain_graph_edges(spark, sf_dir):
 def chain_graph_members(spark, sf_dir):
     """AGG-35: the chains of each entity."""
     return built(spark, sf_dir)["node_chains"]
+
+
+@query(f"WITH RECURSIVE {COMPONENTS} SELECT event_id, chain_key FROM mem")
+def chain_components_by_few_links(spark, sf_dir):
+    """GRA-6: the members of chains from connecting links alone."""
+    events = stored(security_events(spark, sf_dir), "events")
+    return chains.chain_members(events, correlate.connecting_links(events)).select("event_id", "chain_key")

@@ -1,5 +1,6 @@
 """Rule trees, the rule index and the search of many patterns."""
 
+import ipaddress
 import itertools
 import random
 import time
@@ -7,7 +8,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from socspark.operators import search, sigma
+from socspark.functions import columns as C
+from socspark.operators import correlate, search, sigma
+from socspark.operators.components import connected_components
 from socspark.plans import rule_queries
 from socspark.plans.schemas import EVENT_SCHEMA
 from tests.test_core import event
@@ -115,3 +118,44 @@ def test_search_does_not_slow_down_with_the_patterns(spark):
         assert search.occurrences(lines, "text", patterns, "p").count() == min(n, 20_000)
         seconds[n] = time.perf_counter() - began
     assert seconds[200_000] < seconds[10] + 20
+
+
+def test_addresses_of_both_families(spark):
+    rng = random.Random(2)
+    texts = ["::", "::1", ":::", "1::2::3", "fe80::1%eth0", "::ffff:10.1.2.3", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "12345::", "g::", "1:2", "", None, "10.1.2.3", "256.1.1.1", "1::1.2.3.4", "::1.2.3", "2001:DB8::A", "64:ff9b::192.0.2.33", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4"]
+    texts += [str(ipaddress.IPv6Address(rng.getrandbits(128) & (rng.getrandbits(128) if i % 2 else -1))) for i in range(200)]
+    nets = ["::/0", "2000::/3", "fe80::/10", "::ffff:0:0/96", "2001:db8::/33", "::1/128", "10.0.0.0/8", "2::/15"]
+
+    def address(text):
+        try:
+            return ipaddress.ip_address(text.split("%")[0])
+        except (ValueError, AttributeError):
+            return None
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.coalesce(C.is_ip(F.col("t")), F.lit(False)).alias("ip"), F.array(*[C.ip_in_cidr(F.col("t"), n) for n in nets]).alias("within")).collect()
+    for r in rows:
+        a = address(r.t)
+        assert r.ip == (a is not None), r.t
+        assert r.within == [a is not None and a.version == ipaddress.ip_network(n).version and a in ipaddress.ip_network(n) for n in nets], r.t
+
+
+def parts_of(links):
+    return {r.node: r.component for r in connected_components(links.select(F.col("source_event_id").alias("src"), F.col("target_event_id").alias("dst"))).collect()}
+
+
+def test_few_links_connect_what_all_links_connect(spark):
+    rng = random.Random(3)
+    rows = [event(i, rng.randrange(9000), rng.choice(["RDP_LOGIN", "POWERSHELL_EXEC", "SUSPICIOUS_DOMAIN"]), user=rng.choice([None, "ann", "bob", "cid", "dan"]), source_host=rng.choice("ABCDEFGH"), destination_host=rng.choice([None, *"ABCDEFGH"]), source_ip=rng.choice([None, "10.0.0.1", "10.0.0.2"]), process=rng.choice([None, "x.exe"]), domain=rng.choice([None, "d.example"]), suspicious=rng.random() < 0.3) for i in range(400)]
+    for n in (40, 400):
+        events = spark.createDataFrame(rows[:n], EVENT_SCHEMA)
+        few, every = correlate.connecting_links(events), correlate.correlate_pairs(events)
+        assert parts_of(few) == parts_of(every) and few.count() <= every.count()
+
+
+def test_few_links_of_one_busy_host(spark):
+    n = 5_000
+    base = spark.createDataFrame([event(0, 0, "POWERSHELL_EXEC", event_type="endpoint", source_host="HUB", destination_host="HUB", suspicious=True)], EVENT_SCHEMA)
+    number = F.col("n")
+    events = base.join(spark.range(n).withColumnRenamed("id", "n")).withColumns({"event_id": F.concat(F.lit("e"), number.cast("string")), "timestamp": F.timestamp_seconds(F.unix_seconds("timestamp") + number), "user": F.concat(F.lit("u"), (number % 50).cast("string"))}).select(*EVENT_SCHEMA.fieldNames())
+    links = correlate.connecting_links(events)
+    assert len(set(parts_of(links).values())) == 1 and links.count() < 20 * n  # all pairs within six minutes would be 1.8 million
