@@ -87,8 +87,10 @@ def _repeats(rows: DataFrame, gap: int) -> DataFrame:
 def suppress_privileged(events: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     """WIN-1: privileged logons of service accounts, unnamed accounts and console users, and repeats of the last kept one.
 
-    Only privileged and console rows are shuffled for the interval test, which
-    is a range window; repeats are found in one pass over each (account, host) in time order.
+    Service and unnamed accounts need no other row. The rest meets the last and the
+    next console sign-in of its account and host, by running maxima in bins of the
+    interval's length, to which sign-ins of the bins around are copied; so the work is
+    linear and a busy account is split by time. Repeats are found in one pass over each (account, host) in time order.
     """
     privileged = F.col("action") == "PRIVILEGED_LOGIN"
     console = (
@@ -99,17 +101,21 @@ def suppress_privileged(events: DataFrame, config: DetectionConfig = DetectionCo
         & (F.col("source_ip").isNull() | F.col("source_ip").isin("127.0.0.1", "::1"))
         & (F.col("source_host").isNull() | (F.col("source_host") == F.col("destination_host")))
     )
-    rows = events.where(privileged | console).select("event_id", "user", C.micros().alias("_us"), C.primary_host().alias("_host"), privileged.alias("_p"))
-    hours = config.console_hours * 3600 * 1_000_000
-    near = Window.partitionBy(F.lower("user"), F.upper("_host")).orderBy("_us").rangeBetween(-hours, hours)
-    rows = rows.withColumn("_console", F.max(~F.col("_p")).over(near)).where("_p")
-    service = F.col("user").rlike(SERVICE_ACCOUNT)
-    why = (
-        F.when(service, F.lit("routine: privileged logon by a Windows service account"))
-        .when(F.coalesce(F.length("user"), F.lit(0)) == 0, F.lit("routine: privileged logon with no named account (computer or system account)"))
-        .when(F.col("_console"), F.lit("routine: privileged logon by this computer's own console user (local sign-in, unlock or administrator approval)"))
-    )
-    rows = rows.withColumn("_why", why)
+    width = config.console_hours * 3600 * 1_000_000
+    unnamed = F.coalesce(F.length("user"), F.lit(0)) == 0
+    told = lambda holds: events.where(holds).select("event_id", "user", C.micros().alias("_us"), C.primary_host().alias("_host"))
+    why = F.when(F.col("user").rlike(SERVICE_ACCOUNT), F.lit("routine: privileged logon by a Windows service account")).when(unnamed, F.lit("routine: privileged logon with no named account (computer or system account)"))
+    logons = told(privileged).withColumn("_why", why)
+    bin_of = F.floor(F.col("_us") / width)
+    asking = logons.where("_why is null").withColumns({"_p": F.lit(True), "_bin": bin_of})
+    local = told(console).withColumns({"_why": F.lit(None).cast("string"), "_p": F.lit(False), "_bin": F.explode(F.array(bin_of - 1, bin_of, bin_of + 1))})
+    keys = [F.lower("user"), F.upper("_host"), F.col("_bin")]
+    upto = lambda order: Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    sign_in = F.when(~F.col("_p"), F.col("_us"))
+    met = asking.unionByName(local).withColumns({"_last": F.max(sign_in).over(upto(F.col("_us"))), "_next": F.min(sign_in).over(upto(F.col("_us").desc()))}).where("_p")
+    beside = F.coalesce(F.col("_us") - F.col("_last") <= width, F.lit(False)) | F.coalesce(F.col("_next") - F.col("_us") <= width, F.lit(False))
+    met = met.withColumn("_why", F.when(beside, F.lit("routine: privileged logon by this computer's own console user (local sign-in, unlock or administrator approval)")))
+    rows = logons.where("_why is not null").unionByName(met.select(*logons.columns))
     gap = config.privileged_repeat_seconds * 1_000_000
     repeats = _repeats(rows.where("_why is null"), gap)
     minutes = config.privileged_repeat_seconds // 60

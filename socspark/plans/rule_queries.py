@@ -7,8 +7,9 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from socspark.operators import detect, search, sigma
-from socspark.plans.queries import EV, query, security_events
+from socspark.operators import detect, enrich, search, sigma
+from socspark.plans.config import DetectionConfig
+from socspark.plans.queries import EV, PRIMARY, query, security_events
 
 NUMBER = "CAST(substr(event_id, 4) AS INT)"
 
@@ -88,3 +89,30 @@ def rule_tests(spark, sf_dir):
         test({"IntegrityLevel|re": "^h.gh$"}).alias("level"),
         test({"SourceIp|cidr": "10.0.2.0/24"}).alias("net"),
     )
+
+
+#: Sign-ins at the console, service accounts, and the rest as it is.
+CONSOLE = {
+    "action": "CASE WHEN action = 'RDP_LOGIN' AND logon_type = 'Interactive' THEN 'LOGIN_SUCCESS' ELSE action END",
+    "source_host": "CASE WHEN action = 'RDP_LOGIN' AND logon_type = 'Interactive' THEN destination_host ELSE source_host END",
+    "source_ip": "CASE WHEN action = 'RDP_LOGIN' AND logon_type = 'Interactive' THEN CASE WHEN severity = 'info' THEN '127.0.0.1' END ELSE source_ip END",
+    "user": f"CASE WHEN {NUMBER} % 23 = 0 AND action = 'PRIVILEGED_LOGIN' THEN 'DWM-1' WHEN {NUMBER} % 2 = 0 THEN upper(user) ELSE user END",
+}
+
+
+@query(
+    f"""WITH RECURSIVE {EV}, e AS (SELECT * REPLACE ({', '.join(f"{sql} AS {name}" for name, sql in CONSOLE.items())}) FROM ev),
+b AS (SELECT *, epoch_us(timestamp) AS us, {PRIMARY} AS host FROM e), s AS (SELECT lower(user) AS u, host AS h, us AS at_us FROM b WHERE action = 'LOGIN_SUCCESS' AND user IS NOT NULL AND destination_host IS NOT NULL),
+w AS (SELECT *, CASE WHEN user = 'DWM-1' THEN 'service' WHEN user IS NULL THEN 'unnamed' WHEN EXISTS (SELECT 1 FROM s WHERE u = lower(b.user) AND h = b.host AND at_us BETWEEN b.us - 21600000000 AND b.us + 21600000000) THEN 'console' END AS why FROM b WHERE action = 'PRIVILEGED_LOGIN'),
+p AS (SELECT *, row_number() OVER (PARTITION BY user, host ORDER BY us, event_id) AS n FROM w WHERE why IS NULL),
+walk AS (SELECT event_id, user, host, n, us AS kept, event_id AS keeper, false AS again FROM p WHERE n = 1
+  UNION ALL SELECT p.event_id, p.user, p.host, p.n, CASE WHEN p.us - kept <= 14400000000 THEN kept ELSE p.us END, CASE WHEN p.us - kept <= 14400000000 THEN keeper ELSE p.event_id END, p.us - kept <= 14400000000 FROM walk JOIN p ON p.user = walk.user AND p.host = walk.host AND p.n = walk.n + 1)
+SELECT b.event_id, coalesce(why, CASE WHEN again THEN 'repeat of ' || keeper END) AS why FROM b LEFT JOIN w ON w.event_id = b.event_id LEFT JOIN walk ON walk.event_id = b.event_id"""
+)
+def console_suppression(spark, sf_dir):
+    """WIN-1 and JOIN-9 over rows of all four kinds: service and unnamed accounts, console users, repeats."""
+    events = security_events(spark, sf_dir)
+    events = events.select(*[F.expr(CONSOLE[c]).alias(c) if c in CONSOLE else F.col(c) for c in events.columns])
+    out = enrich.suppress_privileged(events, DetectionConfig(console_hours=6, privileged_repeat_seconds=14400))
+    kind = F.when(F.contains("suppressed", F.lit("service account")), "service").when(F.contains("suppressed", F.lit("no named account")), "unnamed").when(F.contains("suppressed", F.lit("console user")), "console")
+    return out.select("event_id", F.coalesce(kind, F.regexp_extract("suppressed", "^(repeat of [^ ]+)", 1)).alias("why"))
