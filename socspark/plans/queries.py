@@ -428,12 +428,12 @@ def precision_recall(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from socspark.plans import case_queries, entity_queries, graph_queries, rule_queries, source_queries, stream_queries  # noqa: F401
+    from socspark.plans import case_queries, entity_queries, file_queries, graph_queries, rule_queries, source_queries, stream_queries  # noqa: F401
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from socspark.plans import case_queries, entity_queries, graph_queries, rule_queries, source_queries, stream_queries  # noqa: F401
+    from socspark.plans import case_queries, entity_queries, file_queries, graph_queries, rule_queries, source_queries, stream_queries  # noqa: F401
 
     return dict(SQL)

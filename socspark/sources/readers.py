@@ -20,8 +20,8 @@ def _placed(df: DataFrame) -> DataFrame:
 
 
 def read_csv_logs(spark: SparkSession, path) -> DataFrame:
-    """SRC-1: rows of files with a header, every value as text."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """SRC-1: rows of files with a header, every value as text; a quote inside quotes is doubled."""
+    df = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
     return _placed(df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("raw"), F.col("_metadata.file_name").alias("source_log")))
 
 
