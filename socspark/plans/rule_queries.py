@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from socspark.operators import detect, enrich, search, sigma
+from socspark.operators import detect, enrich, search, sigma, techniques
 from socspark.plans.config import DetectionConfig
 from socspark.plans.queries import EV, PRIMARY, query, security_events
 
@@ -116,3 +116,49 @@ def console_suppression(spark, sf_dir):
     out = enrich.suppress_privileged(events, DetectionConfig(console_hours=6, privileged_repeat_seconds=14400))
     kind = F.when(F.contains("suppressed", F.lit("service account")), "service").when(F.contains("suppressed", F.lit("no named account")), "unnamed").when(F.contains("suppressed", F.lit("console user")), "console")
     return out.select("event_id", F.coalesce(kind, F.regexp_extract("suppressed", "^(repeat of [^ ]+)", 1)).alias("why"))
+
+
+#: What an event does in each case, so that every technique rule meets rows: number, action, command line, process, tags, raw record, suspicious, whether it goes to another host.
+CASES = [
+    (0, "MALICIOUS_ATTACHMENT", None, None, ["file-create"], None, True, False),
+    (1, "MALICIOUS_ATTACHMENT", None, None, [], None, True, False),
+    (2, "POWERSHELL_EXEC", "powershell.exe -EncodedCommand x", "powershell.exe", [], None, True, False),
+    (3, "COMMAND_EXEC", "dir", "cmd.exe", [], None, False, False),
+    (4, "COMMAND_EXEC", "WHOAMI", "sh", ["linux"], None, False, False),
+    (5, "PROCESS_CREATE", "net localgroup administrators", "net.exe", None, None, False, False),
+    (6, "CREDENTIAL_ACCESS", "procdump -ma LSASS.exe", "procdump.exe", [], None, True, False),
+    (7, "CREDENTIAL_ACCESS", "reg.exe save x", "reg.exe", [], None, True, False),
+    (8, "LOGIN_FAILURE", None, None, ["credential-guessing"], None, True, False),
+    (9, "RDP_LOGIN", None, None, [], None, False, True),
+    (10, "RDP_LOGIN", None, None, [], None, False, False),
+    (11, "SMB_AUTH", None, None, ["admin-share"], None, False, True),
+    (12, "REMOTE_SERVICE_EXEC", "\\\\srv\\share\\x", "x", [], None, True, True),
+    (13, "PRIVILEGED_LOGIN", None, None, [], None, False, False),
+    (14, "SUSPICIOUS_DOMAIN", None, None, ["beaconing", "finding:DGA-like name"], None, True, False),
+    (15, "DNS_QUERY", None, None, ["beaconing"], None, False, False),
+    (16, "PROCESS_CREATE", None, "a.exe", [], '{"Image":"C:\\\\Users\\\\Temp\\\\a.exe"}', False, False),
+    (17, "PROCESS_CREATE", None, "b.exe", [], '{"TargetFilename":"c:\\\\temp\\\\x.PS1"}', False, False),
+    (18, "CLOUD_LOGGING_DISABLED", None, "StopLogging", [], None, True, False),
+    (19, "CLOUD_PRIVILEGE_CHANGE", None, "CreateAccessKey", [], None, True, False),
+    (20, "CLOUD_PRIVILEGE_CHANGE", None, "PutUserPolicy", [], None, True, False),
+    (21, "LOGIN_SUCCESS", None, None, ["entra"], None, True, False),
+    (22, "COMMAND_EXEC", "bash -i", "bash", ["auditd", "linux", "finding:reverse shell"], None, True, False),
+    (23, "CREDENTIAL_ACCESS", None, "x.exe", ["finding:LSASS opened"], None, True, False),
+    (24, "LOGIN_SUCCESS", None, None, ["entra"], None, False, False),
+    (25, "PROCESS_CREATE", None, "c.exe", [], '{"TargetFilename":"c:\\\\temp\\\\x.txt"}', False, False),
+]
+EXPECTED = """(0, 'T1566.001', 'TA0001', 'high'), (1, 'T1204.002', 'TA0002', 'high'), (2, 'T1059.001', 'TA0002', 'high'), (2, 'T1027', 'TA0005', 'medium'), (3, 'T1059.003', 'TA0002', 'medium'), (4, 'T1033', 'TA0007', 'medium'),
+ (5, 'T1069.002', 'TA0007', 'medium'), (6, 'T1003.001', 'TA0006', 'high'), (7, 'T1003.002', 'TA0006', 'high'), (8, 'T1110', 'TA0006', 'medium'), (9, 'T1021.001', 'TA0008', 'high'), (11, 'T1021.002', 'TA0008', 'high'),
+ (12, 'T1569.002', 'TA0002', 'high'), (12, 'T1021.002', 'TA0008', 'high'), (13, 'T1078', 'TA0004', 'medium'), (14, 'T1071.004', 'TA0011', 'high'), (14, 'T1568.002', 'TA0011', 'medium'), (15, 'T1071.001', 'TA0011', 'medium'),
+ (16, 'T1105', 'TA0011', 'medium'), (17, 'T1105', 'TA0011', 'medium'), (18, 'T1562.008', 'TA0005', 'high'), (19, 'T1098.001', 'TA0003', 'medium'), (20, 'T1098.003', 'TA0004', 'medium'), (21, 'T1078.004', 'TA0001', 'medium'),
+ (22, 'T1059.004', 'TA0002', 'high'), (23, 'T1003.001', 'TA0006', 'high')"""
+
+
+@query(f"WITH {EV}, x AS (SELECT * FROM (VALUES {EXPECTED}) AS t(c, technique, tactic, confidence)) SELECT event_id, technique, tactic, confidence FROM ev JOIN x ON {NUMBER} % {len(CASES)} = c")
+def every_technique(spark, sf_dir):
+    """DET-7: all rules, each with rows that it claims, and rows that none claims."""
+    given = "c int, action string, command_line string, process string, tags array<string>, raw string, suspicious boolean, away boolean"
+    told = spark.createDataFrame(CASES, given)
+    events = security_events(spark, sf_dir).drop(*[c for c in told.columns if c != "c"]).withColumn("c", F.expr(NUMBER) % len(CASES))
+    events = events.join(F.broadcast(told), "c").withColumns({"source_host": F.lit("A"), "destination_host": F.when(F.col("away"), "B").otherwise("A")})
+    return techniques.map_techniques(events)
