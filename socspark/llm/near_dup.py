@@ -1,11 +1,14 @@
 """Near-duplicate classes by BagMinHash, banding and exact verification.
 
-A document is the multiset of its five-word shingles. Each shingle's count is
-covered by dyadic blocks of unit levels; every block runs its own Poisson
-process, whose points carry a time, a signature place and, in a block that the
-count covers in part, a level that must lie below the count. A place holds the
-earliest time, so two signatures agree in a place with the probability of the
-weighted Jaccard similarity. A process stops once its time is past all places.
+A document is the multiset of its five-word shingles. The weights of a shingle
+are unit levels, cut at time zero into octaves, each with a Poisson process of
+its width as rate. A point carries a time, a signature place and a level, and
+counts where its level lies below the shingle's count. At its point a process
+splits into two of half its range, which go on from that time with numbers of
+their own, down to single levels; halves above the count are dropped. A place
+holds the earliest time, so two signatures agree in a place with the
+probability of the weighted Jaccard similarity. A process that cannot beat its
+document's latest place any more stops and splits no further.
 
 Equal texts are one node. Nodes that share a band of signature places are a
 bucket. In a star round every bucket picks a leader, and the others are verified
@@ -35,6 +38,8 @@ SHINGLE = 5
 LEAST = 0.8
 PLACES = 128
 BANDS, ROWS = 25, 5
+#: Constants that tell the numbers of a process apart: its next time, its point, and its two halves.
+NEXT, POINT, LOWER, UPPER = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 #: Nodes of a bucket that one part of it holds at most, about; the number of parts is a power of two.
 PART_ROWS = 256
 #: Tasks that the nodes of one family meet its shape in.
@@ -95,31 +100,38 @@ def shingles(docs: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, n
 
 
 def signatures(n_docs: int, owner: np.ndarray, value: np.ndarray, count: np.ndarray, places: int = PLACES) -> np.ndarray:
-    """BagMinHash signatures, one row of ``places`` times for each document; infinite where a document has no shingle."""
-    parts = [(owner, value, count, np.zeros(len(owner)), np.ones(len(owner)))]
+    """BagMinHash signatures, one row of ``places`` times for each document; infinite where a document has no shingle.
+
+    The processes of a shingle form a tree that depends on the shingle alone, so documents of
+    different counts see the same points. All processes whose next point can still be earlier than
+    the latest place of their document take it together.
+    """
+    parts = [(owner, value, count, np.zeros(len(owner), dtype=np.int64), np.ones(len(owner), dtype=np.int64))]
     low = 1
     while (more := count > low).any():
-        k = int(more.sum())
-        parts.append((owner[more], _mix(value[more] + np.uint64(low)), count[more], np.full(k, float(low)), np.full(k, float(low))))
+        octave = np.full(int(more.sum()), low, dtype=np.int64)
+        parts.append((owner[more], _mix(value[more] + np.uint64(low)), count[more], octave, octave))
         low *= 2
     owner, seed, count, low_end, width = (np.concatenate(x) for x in zip(*parts, strict=True))
-    part = low_end + width > count
-    sig = np.full(n_docs * places, np.inf)
     time = np.zeros(len(owner))
-    active, step = np.arange(len(owner)), np.uint64(0)
-    while len(active):
-        seed[active] = draw = _mix(seed[active] + np.uint64(0x9E3779B97F4A7C15))
-        time[active] += -np.log(_uniform(draw)) / width[active]
-        draw = _mix(draw ^ np.uint64(0xD6E8FEB86659FD93))
-        place = (draw % np.uint64(places)).astype(np.int64)
-        take = ~part[active]
-        if not take.all():
-            take |= low_end[active] + width[active] * _uniform(_mix(draw + np.uint64(1))) < count[active]
-        to = active[take]
-        np.minimum.at(sig, owner[to] * places + place[take], time[to])
+    sig = np.full(n_docs * places, np.inf)
+    latest = np.full(n_docs, np.inf)
+    while len(owner):
+        seed = _mix(seed + NEXT)
+        time = time - np.log(_uniform(seed)) / width
+        early = time < latest[owner]
+        owner, seed, count, low_end, width, time = (x[early] for x in (owner, seed, count, low_end, width, time))
+        draw = _mix(seed ^ POINT)
+        level = low_end + (width * _uniform(_mix(draw + np.uint64(1)))).astype(np.int64)
+        hit = level < count
+        np.minimum.at(sig, owner[hit] * places + (draw[hit] % np.uint64(places)).astype(np.int64), time[hit])
         latest = sig.reshape(n_docs, places).max(axis=1)
-        active = active[time[active] < latest[owner[active]]]
-        step += np.uint64(1)
+        half = width // 2
+        upper = (half > 0) & (low_end + half < count)
+        if (split := half > 0).any():
+            right = (owner[upper], _mix(seed[upper] ^ UPPER), count[upper], (low_end + half)[upper], half[upper], time[upper])
+            left = (owner, np.where(split, _mix(seed ^ LOWER), seed), count, low_end, np.where(split, half, width), time)
+            owner, seed, count, low_end, width, time = (np.concatenate(x) for x in zip(left, right, strict=True))
     return sig.reshape(n_docs, places)
 
 

@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import heapq
 import re
 import zlib
 from html.parser import HTMLParser
@@ -461,6 +462,56 @@ def test_signatures_estimate_the_weighted_similarity():
     assert abs(np.mean(got) - true) < 0.02
 
 
+def queued_signature(bag: dict[int, int], places: int) -> list[float]:
+    """One process after another, by next time, each with numbers of its own."""
+    mix, uniform = (lambda x: int(near_dup._mix(np.array([x & (2**64 - 1)], dtype=np.uint64))[0])), (lambda x: float(near_dup._uniform(np.array([x], dtype=np.uint64))[0]))
+    step, point, lower, upper = map(int, (near_dup.NEXT, near_dup.POINT, near_dup.LOWER, near_dup.UPPER))
+    sig, queue = [float("inf")] * places, []
+
+    def wait(seed, time, count, low, width):
+        seed = mix(seed + step)
+        heapq.heappush(queue, (time - float(np.log(np.array([uniform(seed)]))[0]) / width, seed, count, low, width))
+
+    for value, count in bag.items():
+        wait(value, 0.0, count, 0, 1)
+        low = 1
+        while low < count:
+            wait(mix(value + low), 0.0, count, low, low)
+            low *= 2
+    while queue and queue[0][0] < max(sig):
+        time, seed, count, low, width = heapq.heappop(queue)
+        draw = mix(seed ^ point)
+        if low + int(width * uniform(mix(draw + 1))) < count:
+            sig[draw % places] = min(sig[draw % places], time)
+        if width == 1:
+            wait(seed, time, count, low, 1)
+            continue
+        wait(mix(seed ^ lower), time, count, low, width // 2)
+        if low + width // 2 < count:
+            wait(mix(seed ^ upper), time, count, low + width // 2, width // 2)
+    return sig
+
+
+def test_signatures_are_those_of_one_queue_of_processes():
+    rng = np.random.default_rng(5)
+    bags = [{int(v): int(c) for v, c in zip(rng.integers(1, 2**63, n), rng.integers(1, most, n), strict=True)} for n, most in ((1, 2), (1, 300), (3, 70), (40, 2), (25, 40), (300, 9))]
+    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    value = np.array([v for b in bags for v in b], dtype=np.uint64)
+    count = np.array([c for b in bags for c in b.values()])
+    sig = near_dup.signatures(len(bags) + 1, owner, value, count, 32)
+    for bag, row in zip(bags, sig, strict=False):
+        assert row.tolist() == pytest.approx(queued_signature(bag, 32), rel=1e-12)
+    assert np.isinf(sig[-1]).all()
+
+
+def test_a_smaller_count_sees_the_same_points():
+    value = np.array([77], dtype=np.uint64)
+    one = lambda c: near_dup.signatures(1, np.zeros(1, dtype=np.int64), value, np.array([c]), 4096)[0]
+    for small, large in ((1, 2), (5, 6), (9, 15), (33, 64)):
+        a, b = one(small), one(large)
+        assert (b <= a).all() and abs((a == b).mean() - small / large) < 0.05
+
+
 def test_pii(spark, sf_dir, odd):
     rows = [(1, "card 4539 1488 0343 6467, 4539148803436467 and 4539148803436468"), (2, "from 10.20.30.40 and 999.1.1.1 on 2024-02-29 or 2023-02-30"), (3, "call +1 (743) 555-3824 or 743-555-3824; a.b@mail.example.com"), (4, None), (5, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
