@@ -10,6 +10,8 @@ are; only the benchmark, cut into blocks of bounded size, goes to the tasks.
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,15 +93,31 @@ def _longest(place: np.ndarray, window: np.ndarray, block: Block) -> tuple[np.nd
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, most_chars: int) -> Iterator[Block]:
-    """The benchmark in blocks of at most ``most_chars`` characters, or one longer item."""
-    items, size = [], 0
-    for name, text in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        if items and size + len(text or "") > most_chars:
-            yield Block(items, window)
-            items, size = [], 0
-        items.append((name, words_of(text)))
-        size += len(text or "")
-    yield Block(items, window)
+    """The benchmark in blocks of at most ``most_chars`` characters, or one longer item; one empty block if it has no text.
+
+    Tasks form the blocks and write them to the shared folder; the driver passes one at a time on to the broadcast.
+    """
+    rows = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+
+    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda items: pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Block(items, window))], pa.binary())], names=["block"])
+        items, size = [], 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if items and size + len(text) > most_chars:
+                    yield made(items)
+                    items, size = [], 0
+                items.append((name, words_of(text)))
+                size += len(text)
+        if items:
+            yield made(items)
+
+    blocks = stored(rows.repartition(max(1, math.ceil(chars / most_chars))).mapInArrow(form, "block binary"), "benchmark-blocks")
+    if not chars:
+        yield Block([], window)
+    for row in blocks.toLocalIterator():
+        yield pickle.loads(bytes(row["block"]))
 
 
 def find_contamination(
