@@ -13,6 +13,10 @@ ESCALATING_ACTIONS = ("CREDENTIAL_ACCESS", "MALICIOUS_ATTACHMENT", "SUSPICIOUS_D
 # The weight of a mapping's confidence.
 CONFIDENCE_WEIGHTS = {"high": 0.9, "medium": 0.65, "low": 0.4}
 
+# Fields that hold a record's time, in order, and the texts that stand for a missing host and code.
+TIME_FIELDS = ("_time", "timestamp", "UtcTime")
+ABSENT = {"host": "?", "EventCode": "-"}
+
 
 def triage_chains(rows: DataFrame) -> DataFrame:
     """AGG-20: severity of each chain and whether it is worth a case, from its flagged events.
@@ -81,15 +85,32 @@ def stage_checks(stages: DataFrame) -> DataFrame:
     return out.select("chain_key", "stages", "out_of_order", F.col("c.text").alias("crossings"))
 
 
-def stream_status(events: DataFrame, ids_before: DataFrame | None = None) -> DataFrame:
-    """AGG-24: accepted rows, repeats and last time of each source; ``ids_before`` holds event ids that were there already."""
-    rows = events.select("source_log", "event_id", C.micros().alias("us"))
-    ids = rows.groupBy("source_log", "event_id").agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("us"))
+def stream_status(events: DataFrame, ids_before: DataFrame | None = None, rejected: DataFrame | None = None, received: str | None = None, now=None) -> DataFrame:
+    """AGG-24: accepted rows, repeats and last time of each source; ``ids_before`` holds event ids that were there already.
+
+    ``rejected`` holds quarantined rows, which are counted by source, also where
+    nothing was accepted. With ``received``, a column of arrival times, come
+    ``last_received_us``, the arrivals of the last 60 seconds before ``now`` and
+    whether the newest is less than 30 seconds old.
+    """
+    arrived = F.unix_micros(received) if received else F.lit(None).cast("long")
+    at = F.unix_micros(F.lit(now).cast("timestamp")) if received else F.lit(None).cast("long")
+    rows = events.select("source_log", "event_id", C.micros().alias("us"), arrived.alias("got"))
+    recent = F.count_if((F.col("got") <= at) & (F.col("got") > at - 60_000_000)).alias("recent")
+    ids = rows.groupBy("source_log", "event_id").agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("us"), F.max("got").alias("got"), recent)
     old = F.lit(False)
     if ids_before is not None:
         ids = ids.join(ids_before.select("event_id").distinct().withColumn("_old", F.lit(True)), "event_id", "left")
         old = F.coalesce("_old", F.lit(False))
-    return ids.groupBy("source_log").agg(F.count_if(~old).alias("accepted"), F.sum(F.when(old, F.col("n")).otherwise(F.col("n") - 1)).alias("duplicates"), F.max("us").alias("last_us"))
+    repeats = F.sum(F.when(old, F.col("n")).otherwise(F.col("n") - 1))
+    out = ids.groupBy("source_log").agg(F.count_if(~old).alias("accepted"), repeats.alias("duplicates"), F.max("us").alias("last_us"), F.max("got").alias("last_received_us"), F.sum("recent").alias("last_minute"))
+    if rejected is not None:
+        bad = rejected.groupBy("source_log").agg(F.count(F.lit(1)).alias("rejected"))
+        out = out.withColumnRenamed("source_log", "_s").join(bad, F.col("_s").eqNullSafe(F.col("source_log")), "full").withColumn("source_log", F.coalesce("_s", "source_log")).drop("_s")
+        out = out.fillna(0, ["accepted", "duplicates", "rejected", "last_minute"])
+    if received is None:
+        return out.drop("last_received_us", "last_minute")
+    return out.withColumn("receiving", F.coalesce(at - F.col("last_received_us") < 30_000_000, F.lit(False)))
 
 
 def time_window_select(events: DataFrame, start, end) -> tuple[DataFrame, DataFrame]:
@@ -117,8 +138,42 @@ def selection_manifest(rows: DataFrame, kept) -> DataFrame:
     return rows.groupBy("source_log", "action").agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("dropped"))
 
 
+def _profiled(raw: DataFrame, *more: str) -> DataFrame:
+    """(source_log, record, more) of JSON objects, out of their ``result`` where they are wrapped; each record is read once."""
+    parsed = lambda text: F.from_json(text, "map<string,string>")
+    inner = F.try_element_at("record", F.lit("result"))
+    rows = raw.select("source_log", parsed(F.col("raw")).alias("record"), *more)
+    return rows.withColumn("record", F.when(inner.startswith("{"), parsed(inner)).otherwise(F.col("record"))).where("record IS NOT NULL")
+
+
 def profile_fields(raw: DataFrame) -> DataFrame:
-    """AGG-25: for each top-level field of JSON rows its source, rows and distinct values (approximate, within 5 %)."""
-    fields = raw.select("source_log", "raw", F.explode(F.json_object_keys("raw")).alias("field"))
-    value = F.get(F.map_values(F.map_filter(F.from_json("raw", "map<string,string>"), lambda k, _: k == F.col("field"))), F.lit(0))
-    return fields.select("source_log", "field", value.alias("value")).groupBy("source_log", "field").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("filled"), F.approx_count_distinct("value").alias("about_distinct"))
+    """AGG-25: for each top-level field of JSON rows its source, rows, rows with a value and distinct values, all exact. Text that is no object has no fields."""
+    each = _profiled(raw).select("source_log", F.explode("record").alias("field", "value"))
+    values = each.groupBy("source_log", "field", "value").agg(F.count(F.lit(1)).alias("n"))
+    filled = F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0))
+    return values.groupBy("source_log", "field").agg(F.sum("n").alias("rows"), filled.alias("filled"), F.count("value").alias("n_distinct"))
+
+
+def profile_span(raw: DataFrame) -> DataFrame:
+    """AGG-25: records of each source and the first and last of their times as written."""
+    stamp = F.coalesce(*[F.nullif(F.try_element_at("record", F.lit(f)), F.lit("")) for f in TIME_FIELDS])
+    return _profiled(raw).groupBy("source_log").agg(F.count(F.lit(1)).alias("records"), F.min(stamp).alias("first"), F.max(stamp).alias("last"))
+
+
+def profile_values(raw: DataFrame, fields: tuple[str, ...] = (), top: int = 12) -> DataFrame:
+    """AGG-25: (source_log, field, place, value, n), the most frequent values of host, event code and ``fields``; equals by value.
+
+    A list counts by its first member, a missing value as the text that stands
+    for it. Counts are partial, and each task keeps its ``top`` values of a field before they meet.
+    """
+    names = [*ABSENT, *[f for f in fields if f not in ABSENT]]
+
+    def entry(f: str):
+        v = F.try_element_at("record", F.lit(f))
+        one = F.when(v.startswith("["), F.try_element_at(F.from_json(v, "array<string>"), F.lit(1))).otherwise(v)
+        return F.struct(F.lit(f).alias("field"), F.coalesce(one, F.lit(ABSENT.get(f, "None"))).alias("value"))
+
+    each = _profiled(raw).select("source_log", F.explode(F.array(*[entry(f) for f in names])).alias("e"))
+    counts = each.groupBy("source_log", "e.field", "e.value").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("source_log", "field").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("place", place).where(F.col("place") <= top).select("source_log", "field", "place", "value", "n")

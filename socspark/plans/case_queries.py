@@ -148,10 +148,51 @@ def selection_manifest(spark, sf_dir):
     return cases.selection_manifest(security_events(spark, sf_dir), C.severity_rank(F.col("severity")) >= 2)
 
 
-@query("SELECT event_type AS source_log, 'k' AS field, count(*) AS rows, count(*) AS filled FROM events GROUP BY event_type")
+@query("SELECT event_type AS source_log, 'k' AS field, count(*) AS rows, count(*) AS filled, count(DISTINCT regexp_extract(props, '([0-9]+)', 1)) AS n_distinct FROM events GROUP BY event_type")
 def profile_fields(spark, sf_dir):
     raw = table(spark, sf_dir, "events").select(F.col("event_type").alias("source_log"), F.col("props").alias("raw"))
-    return cases.profile_fields(raw).select("source_log", "field", "rows", "filled")
+    return cases.profile_fields(raw)
+
+
+def export_rows(events: DataFrame) -> DataFrame:
+    """Search-export rows with times in one of two fields, codes that may be missing and lists; some stand without a wrapper, some are cut off."""
+    stamp = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
+    lookup = F.col("event_type") == "dns"
+    inner = F.struct(
+        F.when(~lookup, stamp).alias("_time"),
+        F.when(lookup, stamp).alias("UtcTime"),
+        F.when(F.col("user").isNotNull(), F.col("source_host")).alias("host"),
+        F.when(F.col("action") == "LOGIN_FAILURE", "4625").when(F.col("action") == "RDP_LOGIN", "4624").alias("EventCode"),
+        F.array(F.coalesce("process", F.lit("none")), F.lit("other")).alias("Process"),
+    )
+    text = F.when(F.col("event_type") == "endpoint", F.to_json(inner)).otherwise(F.to_json(F.struct(inner.alias("result"))))
+    return events.select(F.col("event_type").alias("source_log"), F.when(F.col("severity") == "high", F.substring(text, 1, 40)).otherwise(text).alias("raw"))
+
+
+@query(f"""WITH {EV} SELECT event_type AS source_log, count(*) AS records, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS last FROM ev WHERE severity <> 'high' GROUP BY event_type""")
+def profile_span(spark, sf_dir):
+    return cases.profile_span(export_rows(security_events(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {EV}, r AS (SELECT event_type AS source_log, CASE WHEN user IS NOT NULL THEN source_host ELSE '?' END AS host, CASE action WHEN 'LOGIN_FAILURE' THEN '4625' WHEN 'RDP_LOGIN' THEN '4624' ELSE '-' END AS code, coalesce(process, 'none') AS process FROM ev WHERE severity <> 'high'),
+v AS (SELECT source_log, 'host' AS field, host AS value FROM r UNION ALL SELECT source_log, 'EventCode', code FROM r UNION ALL SELECT source_log, 'Process', process FROM r UNION ALL SELECT source_log, 'Absent', 'None' FROM r),
+c AS (SELECT source_log, field, value, count(*) AS n FROM v GROUP BY ALL) SELECT source_log, field, row_number() OVER (PARTITION BY source_log, field ORDER BY n DESC, value) AS place, value, n FROM c QUALIFY place <= 5"""
+)
+def profile_values(spark, sf_dir):
+    return cases.profile_values(export_rows(security_events(spark, sf_dir)), ("Process", "Absent"), 5)
+
+
+@query(
+    f"""WITH {EV}, s AS (SELECT event_type AS source_log, count(*) FILTER (WHERE severity <> 'high') AS accepted, CAST(0 AS BIGINT) AS duplicates, max(epoch_us(timestamp)) FILTER (WHERE severity <> 'high') AS last_us,
+ count(*) FILTER (WHERE severity = 'high') AS rejected, count(*) FILTER (WHERE severity <> 'high' AND timestamp > TIMESTAMP '2024-01-10' - INTERVAL 60 SECOND AND timestamp <= TIMESTAMP '2024-01-10') AS last_minute FROM ev GROUP BY event_type)
+SELECT *, last_us AS last_received_us, epoch_us(TIMESTAMP '2024-01-10') - last_us < 30000000 AS receiving FROM s UNION ALL SELECT 'silent', 0, 0, NULL, count(*), 0, NULL, false FROM ev WHERE severity = 'info' HAVING count(*) > 0"""
+)
+def source_arrivals(spark, sf_dir):
+    """The moment is fixed, and rows arrive at their own time; rows of severity high were rejected, and one source sent nothing else."""
+    events = security_events(spark, sf_dir).withColumn("source_log", F.col("event_type"))
+    bad = events.where("severity = 'high'").select("source_log").union(events.where("severity = 'info'").select(F.lit("silent")))
+    return cases.stream_status(events.where("severity <> 'high'"), None, bad, "timestamp", "2024-01-10")
 
 
 @query(
