@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from socspark.plans.queries import EV, query, security_events
 from socspark.sources import normalize as N
-from socspark.sources import readers
+from socspark.sources import readers, translate
 
 HAS = lambda text: F.exists("tags", lambda t: t.contains(text))
 
@@ -187,3 +187,81 @@ def normalize_mixed(spark, sf_dir):
     for part in (sysmon_records(e), dns_records(e), cef_records(e), audit_records(e), cloud_records(e), sign_in_records(e), junk):
         raw = raw.unionByName(part)
     return N.normalize(raw).groupBy("source_log", "event_type").agg(F.count(F.lit(1)).alias("n"), F.count("parse_error").alias("errors"))
+
+
+def foreign_objects(events: DataFrame) -> DataFrame:
+    """Objects of another tool's OCSF export, of which process starts that are no shell come as findings."""
+    kind, code = F.col("event_type"), F.col("action")
+    number = F.when(kind == "dns", 4003).when(code == "PRIVILEGED_LOGIN", 3003).when(kind == "authentication", 3002).when(code == "POWERSHELL_EXEC", 1007).otherwise(2004)
+    field = lambda when, value: F.when(when, value)
+    return _raw(
+        events,
+        "lake",
+        class_uid=number,
+        activity_id=F.lit(1),
+        time=F.unix_millis("timestamp"),
+        status_id=F.when(F.col("outcome") == "failure", 2).otherwise(1),
+        logon_type_id=field(kind == "authentication", F.lit(10)),
+        metadata=F.struct(F.col("event_id").alias("uid")),
+        user=field(kind == "authentication", F.struct(F.col("user").alias("name"))),
+        device=field(kind != "dns", F.struct(F.coalesce(F.when(kind == "endpoint", F.col("source_host")), "destination_host").alias("hostname"))),
+        src_endpoint=F.struct(F.col("source_ip").alias("ip"), F.when(kind == "authentication", F.col("source_host")).alias("hostname")),
+        query=field(kind == "dns", F.struct(F.col("domain").alias("hostname"), F.lit("A").alias("type"))),
+        actor=field(kind == "endpoint", F.struct(F.struct(F.col("user").alias("name")).alias("user"))),
+        process=field(kind == "endpoint", F.struct(F.col("process").alias("name"), F.col("command_line").alias("cmd_line"), F.struct(F.col("parent_process").alias("name")).alias("parent_process"))),
+    )
+
+
+@query(
+    f"""WITH {EV} SELECT event_id, epoch_us(timestamp) // 1000 AS ms, CASE WHEN event_type = 'dns' THEN CASE WHEN domain LIKE '%.xyz' THEN 'SUSPICIOUS_DOMAIN' WHEN domain LIKE '%.corp.local' OR domain LIKE '%site1.example.com' OR domain LIKE '%site2.example.com' THEN 'DNS_QUERY' ELSE 'NEWLY_OBSERVED_DOMAIN' END ELSE action END AS action,
+ CASE event_type WHEN 'dns' THEN NULL ELSE user END AS user, domain, command_line, NULL AS parse_error FROM ev WHERE event_type <> 'endpoint' OR action = 'POWERSHELL_EXEC'
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'a finding is no input event' FROM ev WHERE event_type = 'endpoint' AND action <> 'POWERSHELL_EXEC'"""
+)
+def normalize_foreign_ocsf(spark, sf_dir):
+    known = spark.createDataFrame([("site1.example.com",), ("site2.example.com",)], "domain string")
+    out = translate.normalize_ocsf(foreign_objects(security_events(spark, sf_dir)), None, known)
+    good = lambda c: F.when(F.col("parse_error").isNull(), F.col(c))
+    return out.select(good("event_id").alias("event_id"), F.when(F.col("parse_error").isNull(), F.unix_millis("timestamp")).alias("ms"), good("action").alias("action"), good("user").alias("user"), good("domain").alias("domain"), good("command_line").alias("command_line"), "parse_error")
+
+
+def search_export_rows(events: DataFrame) -> DataFrame:
+    """Search-export rows of three source types with local and UTC times and lists, and rows of a source type that is not read."""
+    local = F.date_format(F.col("timestamp") - F.expr("INTERVAL 6 HOURS"), "yyyy-MM-dd HH:mm:ss.SSS 'UTC'")
+    kind, number = F.col("event_type"), F.substring("event_id", 4, 9)
+    source = F.when(kind == "endpoint", translate.EXPORT_SYSMON).when(kind == "dns", translate.EXPORT_DNS).when(F.col("action") == "PRIVILEGED_LOGIN", "stream:tcp").otherwise(translate.EXPORT_SECURITY)
+    logon = kind == "authentication"
+    inner = F.struct(
+        source.alias("sourcetype"),
+        F.when(kind != "dns", local).alias("_time"),
+        F.when(kind == "dns", _iso()).alias("timestamp"),
+        F.when(logon, number).alias("RecordNumber"),
+        F.when(kind == "endpoint", number).alias("RecordID"),
+        F.when(kind == "dns", number).alias("transaction_id"),
+        F.when(kind == "endpoint", "1").when(F.col("action") == "LOGIN_FAILURE", "4625").when(logon, "4624").alias("EventCode"),
+        F.when(logon, F.concat("destination_host", F.lit(".corp.local"))).alias("ComputerName"),
+        F.when(kind == "endpoint", F.concat("source_host", F.lit(".corp.local"))).alias("Computer"),
+        F.when(logon, F.array(F.lit("-"), F.coalesce("user", F.lit("guest")))).alias("Account_Name"),
+        F.when(logon, F.array(F.lit("-"), F.lit("CORP"))).alias("Account_Domain"),
+        F.when(logon, F.lit("10")).alias("Logon_Type"),
+        F.when(logon, F.col("source_ip")).alias("Source_Network_Address"),
+        F.when(kind == "endpoint", F.col("user")).alias("User"),
+        F.when(kind == "endpoint", F.concat(F.lit("C:\\Windows\\"), "process")).alias("Image"),
+        F.when(kind == "endpoint", F.concat(F.lit("C:\\Windows\\"), "parent_process")).alias("ParentImage"),
+        F.col("command_line").alias("CommandLine"),
+        F.when(kind == "dns", F.col("source_ip")).alias("src_ip"),
+        F.when(kind == "dns", F.array("domain")).alias("query{}"),
+    )
+    return events.select(F.to_json(F.struct(inner.alias("result"))).alias("raw"), F.lit("export").alias("source_log"), F.monotonically_increasing_id().alias("position"))
+
+
+@query(
+    f"""WITH {EV}, g AS (SELECT *, substr(event_id, 4) AS number FROM ev WHERE action <> 'PRIVILEGED_LOGIN')
+SELECT CASE event_type WHEN 'authentication' THEN 'set-sec-' || destination_host || '-' || number WHEN 'endpoint' THEN 'set-sysmon-' || source_host || '-' || number ELSE 'set-dns-' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') || 'Z-' || source_ip || '-' || number END AS event_id,
+ CASE event_type WHEN 'dns' THEN epoch_us(timestamp) ELSE epoch_us(timestamp) // 1000000 * 1000000 END AS us, CASE event_type WHEN 'authentication' THEN coalesce(user, 'guest') WHEN 'endpoint' THEN user END AS user, process, domain, source_ip, true AS tagged, NULL AS parse_error
+FROM (SELECT * REPLACE (CASE event_type WHEN 'endpoint' THEN NULL ELSE source_ip END AS source_ip) FROM g)
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, true, 'source type stream:tcp is not read' FROM ev WHERE action = 'PRIVILEGED_LOGIN'"""
+)
+def normalize_search_export(spark, sf_dir):
+    out = translate.normalize_export(search_export_rows(security_events(spark, sf_dir)), "set")
+    good = lambda c: F.when(F.col("parse_error").isNull(), c)
+    return out.select(good(F.col("event_id")).alias("event_id"), good(F.unix_micros("timestamp")).alias("us"), *[good(F.col(c)).alias(c) for c in ("user", "process", "domain", "source_ip")], F.array_contains("tags", "dataset:set").alias("tagged"), "parse_error")

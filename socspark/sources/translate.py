@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from socspark.functions import columns as C
+from socspark.plans.storage import shared_path
 from socspark.sources import normalize as N
 from socspark.sources.sinks import from_ocsf
 
@@ -21,16 +21,30 @@ EXPORT_SYSMON = "XmlWinEventLog:Microsoft-Windows-Sysmon/Operational"
 EXPORT_DNS = "stream:dns"
 EXPORT_OFFSET_HOURS = 6
 
+#: The formats that records are translated to.
+FORMATS = ("windows_security", "zeek_dns", "sysmon")
+
 
 def _record(**fields: Column) -> Column:
     return F.to_json(F.struct(*[v.alias(k.replace("__", ".")) for k, v in fields.items()]))
 
 
-def _normalised(rows: DataFrame, native: Column, log_format: str, hosts: DataFrame | None, known: DataFrame | None = None) -> DataFrame:
-    """Events of ``native`` texts by the normaliser of a format; their ``raw`` stays the original."""
-    r = N.prepared(rows.select(native.alias("raw"), "source_log", "position", F.col("raw").alias("_original")), hosts, log_format)
-    r = r.withColumn("raw", F.col("_original"))
-    return N.dns(r, known) if log_format == "zeek_dns" else N.NORMALIZERS[log_format][1](r)
+def _normalised(rows: DataFrame, native: Column, log_format: Column, refused: Column, hosts: DataFrame | None, known: DataFrame | None) -> DataFrame:
+    """Events of ``native`` texts by the normalisers of their formats, their ``raw`` the original; where the format is null, an error.
+
+    The translated records are written once, with their fields, in a folder for each format, so that a
+    normaliser reads its own records only and no plan holds a translation and a normaliser in one.
+    """
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "translated")
+    kind = F.coalesce(log_format, F.lit("none"))
+    texts = rows.select(F.when(kind != "none", native).alias("raw"), "source_log", "position", F.col("raw").alias("_original"), F.when(kind == "none", refused).alias("_why"), kind.alias("log_format"))
+    written = N.resolve_hosts(N.route_ecs(N.with_fields(texts)), hosts)
+    written.write.partitionBy("log_format").parquet(path)
+    again = spark.read.schema(written.schema).parquet(path).withColumn("raw", F.col("_original"))
+    of = lambda name: again.where(F.col("log_format") == name)
+    parts = [N.dns(of(name), known) if name == "zeek_dns" else N.NORMALIZERS[name][1](of(name)) for name in FORMATS]
+    parts.append(_refused(of("none"), F.col("_why")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _refused(rows: DataFrame, why: Column) -> DataFrame:
@@ -87,16 +101,11 @@ def normalize_ocsf(raw: DataFrame, hosts: DataFrame | None = None, known: DataFr
     opened = _record(EventID=F.lit("10"), **base, SourceImage=_program("actor.process"), Image=_program("actor.process"), TargetImage=_program("process"), GrantedAccess=_value("unmapped.granted_access"), CommandLine=_value("actor.process.cmd_line"))
     dropped = _record(EventID=F.lit("11"), **base, TargetFilename=F.coalesce(_value("file.path"), _value("file.name")), Image=_program("actor.process"), ParentImage=_program("actor.process.parent_process"))
     started = _record(EventID=F.lit("1"), **base, Image=_program("process"), CommandLine=_value("process.cmd_line"), ParentImage=_program("process.parent_process"))
-    of = lambda *classes: rest.where(F.col("_class").isin(*classes))
-    process = F.when(F.col("_class") == FILE, dropped).when(_value("activity_id") == "3", opened).otherwise(started)
-    parts = [
-        restored,
-        _normalised(of(LOGON, PRIVILEGE), F.when(F.col("_class") == LOGON, logon).otherwise(privilege), "windows_security", hosts),
-        _normalised(of(LOOKUP), lookup, "zeek_dns", hosts, known),
-        _normalised(of(FILE, PROCESS), process, "sysmon", hosts),
-        _refused(rest.where(~F.col("_class").isin(LOGON, PRIVILEGE, LOOKUP, FILE, PROCESS)), F.when(F.col("_class") == FINDING, "a finding is no input event").otherwise(F.concat(F.lit("class "), "_class", F.lit(" is not read")))),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    of = lambda *classes: F.col("_class").isin(*classes)
+    native = F.when(of(LOGON), logon).when(of(PRIVILEGE), privilege).when(of(LOOKUP), lookup).when(of(FILE), dropped).when(_value("activity_id") == "3", opened).otherwise(started)
+    log_format = F.when(of(LOGON, PRIVILEGE), "windows_security").when(of(LOOKUP), "zeek_dns").when(of(FILE, PROCESS), "sysmon")
+    why = F.when(of(FINDING), "a finding is no input event").otherwise(F.concat(F.lit("class "), "_class", F.lit(" is not read")))
+    return restored.unionByName(_normalised(rest, native, log_format, why, hosts, known))
 
 
 def normalize_export(raw: DataFrame, dataset: str, hosts: DataFrame | None = None, known: DataFrame | None = None, offset_hours: int = EXPORT_OFFSET_HOURS) -> DataFrame:
@@ -138,7 +147,8 @@ def normalize_export(raw: DataFrame, dataset: str, hosts: DataFrame | None = Non
         ServiceFileName=value("Service_File_Name"),
     )
     machine = short(F.coalesce(first("Computer"), first("host")))
-    copied = "User Image SourceImage ParentImage CommandLine TargetFilename TargetImage GrantedAccess SourceIp DestinationIp".split()
+    # Field names that a Sysmon row keeps.
+    copied = ("User", "Image", "SourceImage", "ParentImage", "CommandLine", "TargetFilename", "TargetImage", "GrantedAccess", "SourceIp", "DestinationIp")
     sysmon = _record(RecordId=uid("sysmon", machine, value("RecordID")), EventID=value("EventCode"), UtcTime=utc, Computer=machine, **{f: value(f) for f in copied})
     lookup = _record(
         uid=F.concat_ws("-", F.lit(f"{dataset}-dns"), utc, F.coalesce(value("src_ip"), F.lit("")), F.coalesce(value("transaction_id"), F.lit(""))),
@@ -151,13 +161,9 @@ def normalize_export(raw: DataFrame, dataset: str, hosts: DataFrame | None = Non
     )
     kind = F.coalesce(value("sourcetype"), F.lit(""))
     typed = rows.withColumn("_kind", kind)
-    of = lambda k: typed.where(F.col("_kind") == k)
-    parts = [
-        _normalised(of(EXPORT_SECURITY), security, "windows_security", hosts),
-        _normalised(of(EXPORT_SYSMON), sysmon, "sysmon", hosts),
-        _normalised(of(EXPORT_DNS), lookup, "zeek_dns", hosts, known),
-        _refused(typed.where(~F.col("_kind").isin(EXPORT_SECURITY, EXPORT_SYSMON, EXPORT_DNS)), F.concat(F.lit("source type "), "_kind", F.lit(" is not read"))),
-    ]
-    out = reduce(DataFrame.unionByName, parts)
+    of = lambda k: F.col("_kind") == k
+    native = F.when(of(EXPORT_SECURITY), security).when(of(EXPORT_SYSMON), sysmon).otherwise(lookup)
+    log_format = F.when(of(EXPORT_SECURITY), "windows_security").when(of(EXPORT_SYSMON), "sysmon").when(of(EXPORT_DNS), "zeek_dns")
+    out = _normalised(typed, native, log_format, F.concat(F.lit("source type "), "_kind", F.lit(" is not read")), hosts, known)
     tag = F.array(F.lit(f"dataset:{dataset}"))
     return out.withColumn("tags", F.array_union(F.coalesce("tags", F.array().cast("array<string>")), tag))
