@@ -169,3 +169,16 @@ def test_targets_on_a_large_connected_network_without_all_pairs(spark, monkeypat
         want = sorted((n for n in names if n not in reached[c] and points[n]), key=lambda n: (-points[n], n))[:4]
         assert [got[c, k][0] for k in (1, 2, 3, 4)] == want
     assert max(size for _, size in sizes) < 1000  # settled before every host is met
+
+
+def test_raw_profile_of_awkward_records(spark):
+    rows = [("a", None), ("a", "not json"), ("a", "{}"), ("a", '{"result": {"host": "h1", "EventCode": 7, "x": [], "_time": "", "UtcTime": "2024-01-02"}}'), ("a", '{"host": "h1", "x": ["p", "q"], "timestamp": "2024-01-01"}'), ("a", '{"host": null, "x": "p"}'), (None, '{"x": "r"}')]
+    raw = spark.createDataFrame(rows, "source_log string, raw string")
+    span = {r["source_log"]: (r["records"], r["first"], r["last"]) for r in cases.profile_span(raw).collect()}
+    assert span == {"a": (4, "2024-01-01", "2024-01-02"), None: (1, None, None)}
+    top = {(r["source_log"], r["field"], r["place"]): (r["value"], r["n"]) for r in cases.profile_values(raw, ("x",), 2).collect()}
+    assert top["a", "host", 1] == ("?", 2) and top["a", "host", 2] == ("h1", 2) and top["a", "EventCode", 1] == ("-", 3) and top["a", "EventCode", 2] == ("7", 1)
+    assert top["a", "x", 1] == ("None", 2) and top["a", "x", 2] == ("p", 2) and top[None, "x", 1] == ("r", 1)
+    fields = {(r["source_log"], r["field"]): (r["rows"], r["filled"], r["n_distinct"]) for r in cases.profile_fields(raw).collect()}
+    assert fields["a", "host"] == (3, 2, 1) and fields["a", "x"] == (3, 3, 3) and fields[None, "x"] == (1, 1, 1)
+    assert cases.profile_values(raw.limit(0)).count() == cases.profile_fields(raw.limit(0)).count() == 0
