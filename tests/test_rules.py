@@ -159,3 +159,23 @@ def test_few_links_of_one_busy_host(spark):
     events = base.join(spark.range(n).withColumnRenamed("id", "n")).withColumns({"event_id": F.concat(F.lit("e"), number.cast("string")), "timestamp": F.timestamp_seconds(F.unix_seconds("timestamp") + number), "user": F.concat(F.lit("u"), (number % 50).cast("string"))}).select(*EVENT_SCHEMA.fieldNames())
     links = correlate.connecting_links(events)
     assert len(set(parts_of(links).values())) == 1 and links.count() < 20 * n  # all pairs within six minutes would be 1.8 million
+
+
+def test_pairs_are_scored_where_they_meet(spark, monkeypatch):
+    rng = random.Random(11)
+    host = lambda: rng.choice([None, "", *"ABC"])
+    rows = [event(i, rng.randrange(20_000), rng.choice(["RDP_LOGIN", "POWERSHELL_EXEC"]), user=rng.choice([None, "ann", "bob"]), source_host=host(), destination_host=host(), source_ip=rng.choice([None, "10.0.0.1", "10.0.0.2"]), destination_ip=rng.choice([None, "10.0.0.1"]), process=rng.choice([None, "x.exe"]), domain=rng.choice([None, "d.example"]), suspicious=rng.random() < 0.5) for i in range(500)]
+    events = spark.createDataFrame(rows, EVENT_SCHEMA)
+    monkeypatch.setattr(correlate._pieces, "__defaults__", (70,))
+    found, few = correlate.correlate_pairs(events), correlate.connecting_links(events)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Repartition") == 1
+    sides = [r.s for r in correlate._sides(events.where(C.is_notable())).select(F.struct("*").alias("s")).collect()]
+    pairs = [(a, b) for a in sides for b in sides if (a._us, a.event_id) < (b._us, b.event_id) and b._us - a._us <= 1_800_000_000 and ((a.user and a.user == b.user) or (a.domain and a.domain == b.domain) or set(a.hosts) & set(b.hosts) or set(a.ips) & set(b.ips))]
+    score, factors = correlate.score_pair()
+    side = correlate._sides(events).schema.simpleString()
+    given = spark.createDataFrame(pairs, f"a {side}, b {side}").select("a.event_id", F.col("b.event_id").alias("other"), F.round(score, 4).alias("score"), factors.alias("factors"), score.alias("raw")).where("raw >= 0.7").drop("raw")
+    want = {(r[0], r[1]): (r.score, tuple(f.name for f in r.factors)) for r in given.collect()}
+    rows = found.collect()
+    assert {(r[0], r[1]): (r.score, tuple(f.name for f in r.factors)) for r in rows} == want and len(rows) == len(want) > 1000
+    assert parts_of(few) == parts_of(found) and few.count() < len(rows) / 4
