@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from socspark.operators import detect, enrich, search, sigma, techniques
 from socspark.plans.config import DetectionConfig
-from socspark.plans.queries import EV, PRIMARY, query, security_events
+from socspark.plans.queries import EV, PRIMARY, as_security_events, query, security_events, table
 
 NUMBER = "CAST(substr(event_id, 4) AS INT)"
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Security events whose raw record holds hashes, a process number, a level and a nested zone, all from the event's number."""
-    events = security_events(spark, sf_dir)
+def raw_events(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Security events whose raw record holds hashes, a process number, a level and a nested zone, all from the event's number.
+
+    With ``spread`` the narrow table is dealt over all cores first, as a small file is one task.
+    """
+    rows = table(spark, sf_dir, "events")
+    events = as_security_events(rows.repartition(spark.sparkContext.defaultParallelism, "event_id") if spread else rows)
     n = F.expr(NUMBER)
     fields = F.struct(
         F.concat(F.lit("MD5=00,SHA256="), F.sha2((n % 750).cast("string"), 256)).alias("hashes"),
@@ -55,7 +59,7 @@ FROM ev LEFT JOIN (SELECT event_id, count(*) AS c, string_agg('sigma:g' || lpad(
 @query(MANY_SQL)
 def match_many_rules(spark, sf_dir):
     """DET-3 with 3,000 rules, through the index."""
-    out = sigma.match_sigma(raw_events(spark, sf_dir), [sigma.compile_sigma(r) for r in generated_rules()])
+    out = sigma.match_sigma(raw_events(spark, sf_dir, spread=True), [sigma.compile_sigma(r) for r in generated_rules()])
     found = F.filter("tags", lambda t: t.startswith("sigma:"))
     return out.select("event_id", F.size(found).cast("long").alias("n_rules"), F.array_join(found, ",").alias("rules"), "suspicious")
 

@@ -179,3 +179,13 @@ def test_pairs_are_scored_where_they_meet(spark, monkeypatch):
     rows = found.collect()
     assert {(r[0], r[1]): (r.score, tuple(f.name for f in r.factors)) for r in rows} == want and len(rows) == len(want) > 1000
     assert parts_of(few) == parts_of(found) and few.count() < len(rows) / 4
+
+
+def test_rules_of_equal_fields_are_looked_up_and_equal_trees_checked_once(monkeypatch):
+    held = []
+    monkeypatch.setattr(sigma, "tree_holds", lambda tree, record, holds=sigma.tree_holds: held.append(tree) or holds(tree, record))
+    rules = [sigma.compile_sigma({"id": f"n{i}", "detection": {"s": {"User": "USER7", "ProcessId|cased": str(i)}, "condition": "1 of s"}}) for i in range(500)]
+    rules += [sigma.compile_sigma({"id": f"w{i}", "detection": {"words": ["net group"], "condition": "words"}}) for i in range(500)]
+    row = dict.fromkeys(sigma.READ) | {"raw": '{"processid":42}', "user": "User7", "command_line": "NET group", "_sources": [], "_primary": None}
+    assert [rules[i].id for i in sigma.RuleIndex(rules).hits(row)] == ["n42", *(f"w{i}" for i in range(500))]
+    assert len([t for t in held if isinstance(t, sigma.Words)]) == 1 and len(held) < 10
