@@ -1,4 +1,7 @@
-"""Detections as a whole: rules, indicators, feedback, baselines and routine in their order, and what is loaded."""
+"""Detections as a whole: rules, indicators, feedback, baselines and routine in their order, and what is loaded.
+
+Steps that read their events more than once get them from a written table, so that plans do not multiply.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from socspark.functions import columns as C
 from socspark.operators import detect, enrich, techniques
 from socspark.plans.config import DetectionConfig
+from socspark.plans.storage import stored
 
 #: Tags that an evaluation writes, and so takes back.
 WRITTEN_TAGS = ("sigma:", "intel:", "finding:Sigma: ", "finding:Threat intel: ", "anomaly:")
@@ -77,17 +81,19 @@ def apply_detections(events: DataFrame, rules: list[detect.SigmaRule], indicator
     """DET-6: rules, indicators, feedback, baselines, routine, in this order, from the base state on."""
     out = detect.match_sigma(reset(events), rules)
     if indicators is not None:
-        out = apply_intel(out, indicators)
+        out = apply_intel(stored(out, "ruled"), indicators)
     if suppressions is not None:
         out = detect.apply_feedback(out, suppressions)
     if baselines:
-        out = enrich.mark_routine(enrich.with_anomalies(out, config), config)
+        out = stored(enrich.with_anomalies(stored(out, "detected"), config), "with-anomalies")
+        out = enrich.mark_routine(out, config)
     return out
 
 
 def enrich_and_detect(events: DataFrame, rules: list[detect.SigmaRule], indicators: DataFrame | None = None, suppressions: DataFrame | None = None, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     """DET-10: volume, guessing and privileged logons, then `apply_detections`."""
-    out = enrich.suppress_privileged(enrich.auth_failures(enrich.dns_volume(events, config), config), config)
+    out = stored(enrich.auth_failures(enrich.dns_volume(events, config), config), "frequent")
+    out = stored(enrich.suppress_privileged(out, config), "privileged")
     return apply_detections(out, rules, indicators, suppressions, config)
 
 

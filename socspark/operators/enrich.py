@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from socspark.functions import columns as C
 from socspark.plans.config import DetectionConfig
 from socspark.plans.schemas import MOVEMENT_ACTIONS
+from socspark.plans.storage import stored
 
 SERVICE_ACCOUNT = r"(?i)^(system|local service|network service|anonymous logon|dwm-\d+|umfd-\d+|.*\$)$"
 CONSOLE_LOGONS = ("Interactive", "Unlock", "CachedInteractive", "2", "7", "11")
@@ -192,5 +193,7 @@ def with_anomalies(events: DataFrame, config: DetectionConfig = DetectionConfig(
 
 
 def enrich(events: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """DET-10 without rules: volume, guessing, privileged suppression, baselines, routine."""
-    return mark_routine(with_anomalies(suppress_privileged(auth_failures(dns_volume(events, config), config), config), config), config)
+    """DET-10 without rules: volume, guessing, privileged suppression, baselines, routine; written between, as each reads its events more than once."""
+    out = stored(auth_failures(dns_volume(events, config), config), "frequent")
+    out = stored(suppress_privileged(out, config), "privileged")
+    return mark_routine(stored(with_anomalies(out, config), "with-anomalies"), config)

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from socspark.operators import chains, composition, detect, entities, findings
+from socspark.operators import chains, composition, detect, enrich, entities, findings
 from socspark.plans.schemas import EVENT_SCHEMA
 from socspark.sources import datasets, rules, translate
 from tests.test_core import event
@@ -66,6 +66,12 @@ def test_full_detection_keeps_the_order_of_its_parts(spark):
     assert got["e10"].suspicious and got["e20"].suppressed is None and got["e21"].suppressed.startswith("repeat of e20 ")
 
 
+def test_the_plan_of_all_detections_stays_small(spark):
+    events = events_of(spark, event(1, 0, "RDP_LOGIN", user="ann"))
+    for out in (composition.enrich_and_detect(events, [], spark.createDataFrame([], INDICATORS)), enrich.enrich(events)):
+        assert out._jdf.queryExecution().analyzed().toString().count("Join") <= 2
+
+
 def test_findings_lose_confidence_for_each_kind_of_failure(spark):
     rows = events_of(spark, event(1, 0, "RDP_LOGIN", user="ann"), event(2, 9000, "RDP_LOGIN", user="ann"))
     claims = spark.createDataFrame(
