@@ -55,9 +55,9 @@ LEGACY_CLIENTS = ("Exchange ActiveSync", "IMAP4", "POP3", "Authenticated SMTP",
 OBJECT = "map<string,string>"
 
 
-def lower_keys(fields: Column) -> Column:
-    """The map with lower-case keys; of two spellings the first stays."""
-    names = F.transform(F.map_keys(fields), F.lower)
+def lower_keys(fields: Column, names: Column | None = None) -> Column:
+    """The map with lower-case keys; of two spellings the first stays. ``names`` are those keys where a column has them."""
+    names = F.transform(F.map_keys(fields), F.lower) if names is None else names
     pairs = F.arrays_zip(names.alias("k"), F.map_values(fields).alias("v"))
     single = F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1)
     return F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_arrays(names, F.map_values(fields))).otherwise(F.map_from_entries(single))
@@ -65,7 +65,8 @@ def lower_keys(fields: Column) -> Column:
 
 def with_fields(raw: DataFrame) -> DataFrame:
     """``raw`` with ``_f``: its top-level fields as text by lower-case name, null where the text is no JSON object."""
-    return raw.withColumn("_m", F.from_json("raw", OBJECT)).withColumn("_f", lower_keys(F.col("_m"))).drop("_m")
+    parsed = raw.withColumn("_m", F.from_json("raw", OBJECT)).withColumn("_n", F.transform(F.map_keys("_m"), F.lower))
+    return parsed.withColumn("_f", lower_keys(F.col("_m"), F.col("_n"))).drop("_m", "_n")
 
 
 def field(*names: str) -> Column:
@@ -376,16 +377,16 @@ def route_ecs(rows: DataFrame) -> DataFrame:
     return changed.drop("_channel", "_number", "_name", "_record", "_when", "_data", "_query")
 
 
-def _pairs(text: Column, pattern: str, value: Callable[[Column], Column]) -> Column:
-    """The key-value pairs a two-group pattern finds, as a map; the first value of a key stays."""
-    keys, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.map_from_entries(F.filter(F.arrays_zip(F.transform(keys, F.lower).alias("k"), F.transform(values, value).alias("v")), lambda p, i: F.array_position(F.transform(keys, F.lower), p["k"]) == i + 1))
+def _with_pairs(rows: DataFrame, text: Column, pattern: str, value: Callable[[Column], Column]) -> DataFrame:
+    """``_f`` with the pairs that a two-group pattern finds in a text line, where it lacks them; the first value of a key stays.
 
-
-def _with_pairs(rows: DataFrame, pairs: Column) -> DataFrame:
-    """``_f`` with the pairs of its text line where it lacks them."""
-    r = rows.withColumn("_p", F.coalesce(pairs, F.create_map().cast(OBJECT)))
-    return r.withColumn("_f", F.map_concat("_f", F.map_filter("_p", lambda k, v: ~F.map_contains_key(F.col("_f"), k)))).drop("_p")
+    Keys and values are columns, so that the line is searched once for each and not again for every pair.
+    """
+    found = lambda group: F.regexp_extract_all("_text", F.lit(pattern), F.lit(group))
+    r = rows.withColumn("_text", text).withColumns({"_keys": F.transform(found(1), F.lower), "_values": F.transform(found(2), value)})
+    first = F.filter(F.arrays_zip(F.col("_keys").alias("k"), F.col("_values").alias("v")), lambda p, i: F.array_position(F.col("_keys"), p["k"]) == i + 1)
+    r = r.withColumn("_p", F.coalesce(F.map_from_entries(first), F.create_map().cast(OBJECT)))
+    return r.withColumn("_f", F.map_concat("_f", F.map_filter("_p", lambda k, v: ~F.map_contains_key(F.col("_f"), k)))).drop("_text", "_keys", "_values", "_p")
 
 
 CEF_PART = r"((?:[^|\\]|\\.)*+)"
@@ -397,7 +398,7 @@ def cef(rows: DataFrame) -> DataFrame:
     """NORM-9: firewall lines, or records with the same fields."""
     line = field("message", "raw", "_raw")
     r = rows.withColumn("_line", F.when(line.contains("CEF:"), line)).withColumn("_ext", F.regexp_extract("_line", CEF_HEADER, 7))
-    r = _with_pairs(r, _pairs(F.col("_ext"), CEF_PAIR, C.cef_unescape))
+    r = _with_pairs(r, F.col("_ext"), CEF_PAIR, C.cef_unescape)
     r = r.withColumns({"_vendor": F.coalesce(field("deviceVendor"), F.nullif(F.regexp_extract("_line", CEF_HEADER, 1), F.lit(""))), "_at": field("rt", "end", "start", "timestamp", "@timestamp"), "_port": F.coalesce(field("dpt"), F.lit("")), "_act": F.lower(F.coalesce(field("act", "outcome", "deviceAction"), F.lit("")))})
     src, dst = field("src"), field("dst")
     milliseconds = F.timestamp_millis(F.expr("try_cast(_at AS BIGINT)"))
@@ -452,7 +453,7 @@ def auditd(rows: DataFrame) -> DataFrame:
     line = field("message", "raw")
     r = rows.withColumn("_line", F.when(line.contains("type="), line))
     flat = F.replace(F.regexp_replace("_line", r"msg='", " "), F.lit("'"), F.lit(" "))
-    r = _with_pairs(r, _pairs(flat, AUDIT_PAIR, lambda v: F.regexp_replace(v, '^"|"$', "")))
+    r = _with_pairs(r, flat, AUDIT_PAIR, lambda v: F.regexp_replace(v, '^"|"$', ""))
     stamp = F.coalesce(F.col("_line"), field("msg"))
     name = F.upper(field("node", "hostname", "host"))
     r = r.withColumns(

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from socspark.functions import columns as C
 from socspark.sources import normalize as N
 from socspark.sources import datasets, readers
 
@@ -156,3 +157,22 @@ def test_export_lines_are_parsed_once_for_all_fields(spark):
     kept = {k: v for k, v in record.items() if k != "other"} | {"dataset": "d"}
     assert sorted((r.code, json.loads(r.record)["RecordNumber"]) for r in out.collect()) == [("4624", "0"), ("4624", "1")]
     assert all(json.loads(r.record).items() >= kept.items() and "other" not in r.record for r in out.collect())
+
+
+def test_text_lines_are_searched_once_for_all_their_pairs(spark):
+    text = lambda line: F.to_json(F.struct(F.concat(F.lit(line), F.col("id").cast("string")).alias("message")))
+    rows = lambda line: N.prepared(spark.range(1).select(text(line).alias("raw"), F.lit("log").alias("source_log"), F.col("id").alias("position")), log_format="x")
+    firewall = N.cef(rows("CEF:0|a|b|1|1|x|1|src=10.0.0.5 SRC=10.0.0.6 dst=10.0.0.9 dpt=445 act=accept externalId=2"))
+    audit = N.auditd(rows("type=USER_LOGIN msg=audit(1.0:1): acct=\"ann\" acct=\"bob\" addr=10.0.0.5 res=success node=a"))
+    for out in (firewall, audit):
+        assert planned(spark, out).count("regexp_extract_all(") == 2
+    (r,) = firewall.collect()
+    assert (r.event_id, r.source_ip, r.destination_ip) == ("20", "10.0.0.5", "10.0.0.9") and any(t.endswith("10.0.0.5 -> 10.0.0.9") for t in r.tags)
+    (r,) = audit.collect()
+    assert (r.user, r.destination_host, r.action) == ("ann", "A0", "NETWORK_LOGON")
+
+
+def test_private_addresses(spark):
+    cases = {"10.0.0.0": True, "11.0.0.0": False, "172.31.255.255": True, "172.32.0.0": False, "192.168.1.1": True, "127.0.0.1": True, "169.254.0.9": True, "0.0.0.1": True, "8.8.8.8": False, "::1": False, "x": False, None: False}
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "ip string, holds boolean")
+    assert rows.where(~F.col("holds").eqNullSafe(C.is_private_ip(F.col("ip")))).count() == 0
