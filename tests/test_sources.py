@@ -176,3 +176,14 @@ def test_private_addresses(spark):
     cases = {"10.0.0.0": True, "11.0.0.0": False, "172.31.255.255": True, "172.32.0.0": False, "192.168.1.1": True, "127.0.0.1": True, "169.254.0.9": True, "0.0.0.1": True, "8.8.8.8": False, "::1": False, "x": False, None: False}
     rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "ip string, holds boolean")
     assert rows.where(~F.col("holds").eqNullSafe(C.is_private_ip(F.col("ip")))).count() == 0
+
+
+def test_degrees_count_pairs_and_not_sets_of_neighbours(spark, monkeypatch):
+    from socspark.operators import graph
+
+    plans = []
+    monkeypatch.setattr(graph, "stored", lambda df, name: plans.append(planned(spark, df)) or df)
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "c"), ("a", None), (None, "c")], "a string, b string")
+    got = {r.id: (r.degree, r.score) for r in graph.connectivity(pairs, spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")).collect()}
+    assert got == {"a": (2, 1.0), "b": (1, 0.5), "c": (2, 1.0), "d": (0, 0.0)}
+    assert len(plans) == 1 and "distinct" not in plans[0].lower()
