@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from socspark.operators import correlate
+from socspark.operators import cases, correlate
 from socspark.plans.config import LateralConfig
 from socspark.plans.schemas import EVENT_SCHEMA
 
@@ -65,3 +65,77 @@ def test_movements_are_looked_up_and_equal_all_pairs(spark, monkeypatch):
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.values())) and len(got) > 10
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Window" not in plan
+
+
+def copied(events, n):
+    """Each event ``n`` times, under ids that lie among those of others of its time."""
+    return events.withColumn("event_id", F.explode(F.array(*[F.concat(F.lit(f"{i}-"), "event_id", F.lit(f"-{i}")) for i in range(n)])))
+
+
+def scored_pairs(monkeypatch):
+    """Counts the pairs that are scored; for functions called in this process."""
+    seen, weighing = [], correlate._weighing
+
+    def counted(rows, config):
+        weigh, event = weighing(rows, config)
+        return (lambda a, b: seen.append(len(a)) or weigh(a, b)), event
+
+    monkeypatch.setattr(correlate, "_weighing", counted)
+    return seen
+
+
+def pieces_of(events, work, at_once):
+    """What an Arrow step gives, run in this process on one partition."""
+    config = correlate.CorrelationConfig()
+    placed = correlate._placed(correlate._by_key(events), correlate.linking_kinds(config), config).coalesce(1).sortWithinPartitions("kind", "value", "bin", "_us", "event_id")
+    return [r for b in correlate._pieces(work(config), config, at_once)(iter(placed.toArrow().to_batches(max_chunksize=50))) for r in b.to_pylist()]
+
+
+def test_factors_are_counted_where_pairs_meet_and_copies_are_scored_once(spark, monkeypatch):
+    events = copied(busy_events(spark, 120, 60, 4, 9.0), 3)
+    events = events.unionByName(events.limit(20)).cache()  # some rows twice
+    for at_once in (70, 50_000):
+        monkeypatch.setattr(correlate._pieces, "__defaults__", (at_once,))
+        found = correlate.factor_totals(events)
+        links = cases.factor_counts(correlate.correlate_pairs(events)).collect()
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, links)) and len(links) == 7
+    seen = scored_pairs(monkeypatch)
+    once, few = busy_events(spark, 120, 60, 4, 9.0), 50_000
+    pieces_of(once, correlate._factoring, few)
+    base = sum(seen)
+    seen.clear()
+    pieces_of(copied(once, 6), correlate._factoring, few)
+    assert 0 < sum(seen) < 2 * base
+
+
+def test_links_of_chains_are_counted_and_copies_are_scored_once(spark, monkeypatch):
+    events = copied(busy_events(spark, 120, 60, 5, 9.0), 3)
+    events = events.unionByName(events.limit(20)).cache()
+    every = [(r[0], r[1], round(r[2] * 10_000)) for r in correlate.correlate_pairs(events).select("source_event_id", "target_event_id", "score").collect()]
+    part = {e: e for pair in every for e in pair[:2]}
+
+    def root(e):
+        while part[e] != e:
+            e = part[e]
+        return e
+
+    for a, b, _ in every:
+        part[root(a)] = root(b)
+    want, got = {}, {}
+    for a, _, points in every:
+        n, total = want.get(root(a), (0, 0))
+        want[root(a)] = n + 1, total + points
+    for at_once in (70, 50_000):
+        monkeypatch.setattr(correlate._pieces, "__defaults__", (at_once,))
+        got = {}
+        for r in correlate.connecting_totals(events).where("link_count > 0").collect():
+            n, total = got.get(root(r.source_event_id), (0, 0))
+            got[root(r.source_event_id)] = n + r.link_count, total + r.score_sum
+        assert got == want
+    seen, once = scored_pairs(monkeypatch), busy_events(spark, 120, 60, 5, 9.0)
+    work = lambda config: correlate._spanning(config, True)
+    pieces_of(once, work, 50_000)
+    base = sum(seen)
+    seen.clear()
+    pieces_of(copied(once, 6), work, 50_000)
+    assert 0 < sum(seen) < 4 * base  # the connecting links of all copies, and pairs once
