@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from socspark.functions import columns as C
 from socspark.operators import cases, correlate
 from socspark.plans.config import LateralConfig
 from socspark.plans.schemas import EVENT_SCHEMA
@@ -139,3 +140,21 @@ def test_links_of_chains_are_counted_and_copies_are_scored_once(spark, monkeypat
     seen.clear()
     pieces_of(copied(once, 6), work, 50_000)
     assert 0 < sum(seen) < 4 * base  # the connecting links of all copies, and pairs once
+
+
+def test_pairs_of_copies_are_scored_once_and_told_each(spark, monkeypatch):
+    events = copied(busy_events(spark, 120, 60, 6, 9.0), 2)
+    events = events.unionByName(events.limit(20)).cache()
+    pairs = all_pairs(events.where(C.is_notable()), "true", "true").where("a.event_id < b.event_id AND a._us = b._us OR a._us < b._us").where("b._us - a._us <= 1800000000 AND _raw >= 0.7")
+    want = sorted(map(str, pairs.select("a.event_id", F.col("b.event_id").alias("other"), F.round("_raw", 4), F.transform("_factors", lambda f: f["name"])).collect()))
+    monkeypatch.setattr(correlate._pieces, "__defaults__", (70,))
+    found = correlate.correlate_pairs(events)
+    got = sorted(map(str, found.select(F.col("source_event_id").alias("event_id"), F.col("target_event_id").alias("other"), F.col("score").alias("round(_raw, 4)"), F.transform("factors", lambda f: f["name"])).collect()))
+    assert [g.split("=", 1)[1].split(", transform")[0] for g in got] == [w.split("=", 1)[1].split(", transform")[0] for w in want] and len(want) > 1000
+    assert "round" not in found.select("score")._jdf.queryExecution().optimizedPlan().toString()
+    seen, once = scored_pairs(monkeypatch), busy_events(spark, 120, 60, 6, 9.0)
+    work = lambda config: correlate._pairing(config, (), None)
+    pieces_of(once, work, 50_000)
+    base = sum(seen)
+    seen.clear()
+    assert pieces_of(copied(once, 4), work, 50_000) and 0 < sum(seen) <= base
